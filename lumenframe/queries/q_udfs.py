@@ -46,8 +46,9 @@ def udf_two_columns(spark, root):
     return table(spark, root, "part").select("p_partkey", g.map_values(add, "bigint")("p_name", "p_size").alias("both"))
 
 
-@query("batch_map", "SELECT item_id, text, upper(text) AS response FROM benchmark")
+@query("batch_map", "SELECT doc_id, text, CAST(length(text) AS VARCHAR) || ' characters' AS response FROM documents")
 def batch_map(spark, root):
+    # A stand-in for a model: the step takes any function from prompts to answers.
     def answer(prompts: list[str]) -> list[str]:
-        return [p.upper() for p in prompts]
-    return g.batch_generate(table(spark, root, "benchmark"), answer, "text", "response", batch=16)
+        return [f"{len(p)} characters" for p in prompts]
+    return g.batch_generate(table(spark, root, "documents").select("doc_id", "text"), answer, "text", "response", batch=64)

@@ -28,6 +28,12 @@ def count_items(c: Column, test) -> Column:
     return F.size(F.filter(c, test)).cast("bigint")
 
 
+def not_whole_number(c: Column) -> Column:
+    """Whether a text does not cast to a bigint. The pattern goes first: a failed cast
+    is far slower than a failed match."""
+    return ~c.rlike(r"^[\s\x00-\x1F]*[+-]?[0-9]+[\s\x00-\x1F]*\z") | c.try_cast("bigint").isNull()
+
+
 def list_sum(c: Column) -> Column:
     return F.aggregate(c, F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0)))
 

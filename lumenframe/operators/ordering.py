@@ -157,44 +157,69 @@ def running_total(df: DataFrame, name: str, value: str, order: str, tie: str | N
 
 
 def fill(
-    df: DataFrame, names: dict[str, str], order: str, tie: str | None = None, keys: list[str] | None = None, *,
-    backward: bool = False, bucketed: bool = False,
+    df: DataFrame, forward: dict[str, str], order: str, tie: str | None = None, keys: list[str] | None = None, *,
+    backward: dict[str, str] | None = None, bucketed: bool = False,
 ) -> DataFrame:
-    """For each `target: source`, the last (or, backward, the next) value that is
-    not null, the row's own value included. `bucketed`: the frame has its bucket."""
-    keys = keys or []
+    """For each `target: source`, the last value so far (forward) or the next value
+    (backward) that is not null, the row's own value included. `bucketed`: the frame
+    has its bucket already, and keeps it."""
+    keys, backward = keys or [], backward or {}
     b = df if bucketed else with_order_bucket(df, order, tie)
     at = F.struct(*[F.col(f"`{c}`") for c in ([order] + ([tie] if tie else []))])
-    pick, edge = (F.min_by, F.first) if backward else (F.max_by, F.last)
-    # max_by skips rows of which the ordering value is null.
-    ends = b.groupBy(*keys, BUCKET).agg(*[
-        pick(F.col(f"`{s}`"), F.when(F.col(f"`{s}`").isNotNull(), at)).alias(f"_e_{t}") for t, s in names.items()
-    ])
-    span = (1, Window.unboundedFollowing) if backward else (Window.unboundedPreceding, -1)
-    carry = ends.select(*keys, BUCKET, *[
-        edge(f"_e_{t}", ignorenulls=True).over(_across(keys).rowsBetween(*span)).alias(f"_c_{t}") for t in names
-    ])
-    span = (0, Window.unboundedFollowing) if backward else (Window.unboundedPreceding, 0)
-    local = Window.partitionBy(*keys, BUCKET).orderBy(*_sort_cols(order, tie, False)).rowsBetween(*span)
-    out = join_back(b.select("*", *[edge(s, ignorenulls=True).over(local).alias(f"_l_{t}") for t, s in names.items()]),
-                    carry, [*keys, BUCKET])
-    out = out.withColumns({t: F.coalesce(F.col(f"_l_{t}"), F.col(f"_c_{t}")) for t in names})
-    drop = [f"_l_{t}" for t in names] + [f"_c_{t}" for t in names]
+    # max_by and min_by skip rows of which the ordering value is null.
+    where = lambda s: F.when(F.col(f"`{s}`").isNotNull(), at)
+    ends = b.groupBy(*keys, BUCKET).agg(
+        *[F.max_by(F.col(f"`{s}`"), where(s)).alias(f"_e_{t}") for t, s in forward.items()],
+        *[F.min_by(F.col(f"`{s}`"), where(s)).alias(f"_e_{t}") for t, s in backward.items()])
+    past, future = _across(keys).rowsBetween(Window.unboundedPreceding, -1), _across(keys).rowsBetween(1, Window.unboundedFollowing)
+    carry = ends.select(
+        *keys, BUCKET, *[F.last(f"_e_{t}", ignorenulls=True).over(past).alias(f"_c_{t}") for t in forward],
+        *[F.first(f"_e_{t}", ignorenulls=True).over(future).alias(f"_c_{t}") for t in backward])
+    local = Window.partitionBy(*keys, BUCKET).orderBy(*_sort_cols(order, tie, False))
+    so_far, ahead = local.rowsBetween(Window.unboundedPreceding, 0), local.rowsBetween(0, Window.unboundedFollowing)
+    inside = b.select(
+        "*", *[F.last(s, ignorenulls=True).over(so_far).alias(f"_l_{t}") for t, s in forward.items()],
+        *[F.first(s, ignorenulls=True).over(ahead).alias(f"_l_{t}") for t, s in backward.items()])
+    made = [*forward, *backward]
+    out = join_back(inside, carry, [*keys, BUCKET]).withColumns({t: F.coalesce(F.col(f"_l_{t}"), F.col(f"_c_{t}")) for t in made})
+    drop = [f"_l_{t}" for t in made] + [f"_c_{t}" for t in made]
     return out.drop(*drop) if bucketed else out.drop(*drop, BUCKET)
 
 
 def interpolate(df: DataFrame, target: str, source: str, order: str, tie: str | None = None,
-                keys: list[str] | None = None) -> DataFrame:
-    """Linear fill between known values by row position; outer nulls stay."""
-    numbered = number_rows(df, "_pos", order, tie, keys, keep_bucket=True)
-    known = F.when(F.col(f"`{source}`").isNotNull(), F.struct(F.col("_pos").alias("p"), F.col(f"`{source}`").alias("v")))
-    spots = numbered.withColumn("_known", known)
-    spots = fill(spots, {"_prev": "_known"}, order, tie, keys, bucketed=True)
-    spots = fill(spots, {"_next": "_known"}, order, tie, keys, backward=True, bucketed=True)
-    a, b = F.col("_prev"), F.col("_next")
-    share = (F.col("_pos") - a["p"]).cast("double") / F.nullif(b["p"] - a["p"], F.lit(0)).cast("double")
-    value = F.when(F.col(f"`{source}`").isNotNull(), F.col(f"`{source}`")).otherwise(a["v"] + (b["v"] - a["v"]) * share)
-    return spots.withColumn(target, value).drop("_pos", "_known", "_prev", "_next", BUCKET)
+                keys: list[str] | None = None, *, forward: dict[str, str] | None = None) -> DataFrame:
+    """Linear fill between known values by row position; outer nulls stay.
+
+    `forward` fills more columns forward in the same scan. Positions inside a bucket
+    become positions in the key by adding the rows of earlier buckets.
+    """
+    keys, forward = keys or [], forward or {}
+    local = Window.partitionBy(*keys, BUCKET).orderBy(*_sort_cols(order, tie, False))
+    placed = with_order_bucket(df, order, tie).withColumn("_p", F.row_number().over(local).cast("bigint"))
+    value = F.col(f"`{source}`")
+    placed = placed.withColumn("_k", F.when(value.isNotNull(), F.struct(F.col("_p").alias("p"), value.cast("double").alias("v"))))
+    ends = placed.groupBy(*keys, BUCKET).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_k").alias("_last"), F.min("_k").alias("_first"),
+        *[F.max_by(F.col(f"`{s}`"), F.when(F.col(f"`{s}`").isNotNull(), F.col("_p"))).alias(f"_e_{t}") for t, s in forward.items()])
+    past, future = _across(keys).rowsBetween(Window.unboundedPreceding, -1), _across(keys).rowsBetween(1, Window.unboundedFollowing)
+    moved = lambda k: F.when(k.isNotNull(), F.struct((k["p"] + F.col("_before")).alias("p"), k["v"].alias("v")))
+    ends = ends.withColumn("_before", F.coalesce(F.sum("_n").over(past), F.lit(0)))
+    ends = ends.withColumns({"_last": moved(F.col("_last")), "_first": moved(F.col("_first"))})
+    carry = ends.select(
+        *keys, BUCKET, "_before", F.last("_last", ignorenulls=True).over(past).alias("_c_prev"),
+        F.first("_first", ignorenulls=True).over(future).alias("_c_next"),
+        *[F.last(f"_e_{t}", ignorenulls=True).over(past).alias(f"_c_{t}") for t in forward])
+    so_far, ahead = local.rowsBetween(Window.unboundedPreceding, 0), local.rowsBetween(0, Window.unboundedFollowing)
+    inside = placed.select(
+        "*", F.last("_k", ignorenulls=True).over(so_far).alias("_l_prev"), F.first("_k", ignorenulls=True).over(ahead).alias("_l_next"),
+        *[F.last(s, ignorenulls=True).over(so_far).alias(f"_l_{t}") for t, s in forward.items()])
+    out = join_back(inside, carry, [*keys, BUCKET]).withColumns({
+        "_prev": F.coalesce(moved(F.col("_l_prev")), F.col("_c_prev")), "_next": F.coalesce(moved(F.col("_l_next")), F.col("_c_next"))})
+    a, b, pos = F.col("_prev"), F.col("_next"), F.col("_p") + F.col("_before")
+    share = (pos - a["p"]).cast("double") / F.nullif(b["p"] - a["p"], F.lit(0)).cast("double")
+    filled = {t: F.coalesce(F.col(f"_l_{t}"), F.col(f"_c_{t}")) for t in forward}
+    out = out.withColumns({target: F.coalesce(value.cast("double"), a["v"] + (b["v"] - a["v"]) * share), **filled})
+    return out.drop(BUCKET, "_p", "_k", "_before", "_prev", "_next", *[f"_{x}_{t}" for x in "lc" for t in ("prev", "next", *forward)])
 
 
 def rank_values(df: DataFrame, name: str, keys: list[str], by: list[str], *, method: str = "dense",

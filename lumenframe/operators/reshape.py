@@ -53,3 +53,14 @@ def explode_lists(df: DataFrame, *names: str) -> DataFrame:
         return df.select(*others, F.explode_outer(names[0]).alias(names[0]))
     zipped = F.arrays_zip(*[F.col(n) for n in names])
     return df.select(*others, F.explode_outer(zipped).alias("_z")).select(*others, *[F.col(f"_z.{n}").alias(n) for n in names])
+
+
+def settle(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row.
+
+    A filter on a plain computed column is pushed below it and computes it again, as
+    often as it is named. A generated column stops that: worth it for parsed JSON.
+    """
+    others = [c for c in df.columns if c not in columns]
+    packed = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*[F.col(f"`{c}`") for c in others], F.inline(F.array(packed)))

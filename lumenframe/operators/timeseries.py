@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import as_of
-from .ordering import fill, interpolate
+from .ordering import interpolate
 
 SPAN_STEPS = 4096
 
@@ -37,6 +37,8 @@ def time_grid(df: DataFrame, time: str, every_us: int, keys: list[str]) -> DataF
     ends = df.groupBy(*keys).agg(F.min(micros).alias("_lo"), F.max(micros).alias("_hi"))
     coarse = ends.withColumn("_from", F.explode(F.sequence("_lo", "_hi", F.lit(every_us * SPAN_STEPS))))
     last = F.least(F.col("_hi"), F.col("_from") + F.lit(every_us * (SPAN_STEPS - 1)))
+    # Only the coarse steps are shuffled, so a key with a long span spreads over tasks.
+    coarse = coarse.repartition(*keys, "_from")
     fine = coarse.withColumn("_at", F.explode(F.sequence(F.col("_from"), last, F.lit(every_us))))
     return fine.select(*keys, F.timestamp_micros("_at").cast("timestamp_ntz").alias(time))
 
@@ -53,8 +55,7 @@ def upsample_interpolate(df: DataFrame, time: str, every_us: int, keys: list[str
     """
     grid = time_grid(df, time, every_us, keys)
     joined = grid.join(df.select(*keys, time, number, *rest), [*keys, time], "left")
-    filled = interpolate(joined, f"_i_{number}", number, time, None, keys)
-    filled = fill(filled, {f"_f_{c}": c for c in rest}, time, None, keys)
+    filled = interpolate(joined, f"_i_{number}", number, time, None, keys, forward={f"_f_{c}": c for c in rest})
     return filled.select(*keys, time, F.col(f"_i_{number}").alias(number), *[F.col(f"_f_{c}").alias(c) for c in rest])
 
 

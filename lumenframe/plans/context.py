@@ -61,10 +61,11 @@ def column_kind(name: Column, value: Column) -> Column:
             .when(value.rlike(r"^-?\d+(?:\.\d+)?$"), "numeric").otherwise("text"))
 
 
-def profile(row: Column) -> Column:
-    """Column name, alias and kind of each entry of a row map."""
-    return F.transform(F.map_entries(row), lambda e: F.struct(
-        e["key"].alias("column"), slug(e["key"]).alias("alias"), column_kind(e["key"], e["value"]).alias("kind")))
+def profile(df: DataFrame) -> Column:
+    """Column name, alias and kind of each value of a row; aliases are constants."""
+    text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    return F.array(*[F.struct(F.lit(c).alias("column"), slug(F.lit(c)).alias("alias"),
+                              column_kind(F.lit(c), text(c)).alias("kind")) for c in df.columns])
 
 
 def representatives(columns: list[str], priorities: dict[str, list[str]] = PRIORITIES) -> dict[str, str]:

@@ -28,6 +28,9 @@ SETUP_NAMES = ["setup", "context"]
 SETUP_STARTS = "^(setup|prep|prepare|clean|register)"
 DATA_NAME = r"^(df\d*|dataframe|dataset|players|tokens|props_[a-z0-9_]+|df_[a-z0-9_]+)\z"
 
+BLOCK = ("array<struct<ordinal:int,name:string,marker_start_line:int,content_start_line:int,content_end_line:int,"
+         "marker_end_line:int>>")
+
 
 @dataclass(frozen=True)
 class Tag:
@@ -79,7 +82,7 @@ def _marked(files: DataFrame) -> DataFrame:
     lines = F.when(text == "", F.array().cast("array<string>")).otherwise(
         F.split(F.regexp_replace(text, r"\n\z", ""), "\n"))
     numbered = F.transform(F.col("_lines"), lambda line, i: F.struct((i + 1).alias("line"), line.alias("text")))
-    seen = F.filter(numbered, lambda m: m["text"].rlike(f"{START}|{END}"))
+    seen = F.filter(numbered, lambda m: m["text"].contains("--8<-") & m["text"].rlike(f"{START}|{END}"))
     marks = F.transform(seen, lambda m: F.struct(
         m["line"].alias("line"), m["text"].rlike(START).alias("opens"),
         F.when(m["text"].rlike(START), F.regexp_extract(m["text"], START, 1))
@@ -119,12 +122,12 @@ def segments(files: DataFrame, *, strict: bool = False) -> DataFrame:
 
     Files with a fault give no blocks, or an error in strict mode.
     """
-    checked = _with_fault(_marked(files))
+    clean = _with_fault(_marked(files))
+    fault = F.col("_fault")
+    none = F.array().cast(BLOCK)
     if strict:
-        said = F.concat(F.col("_fault.fault"), F.lit(" in "), F.col("path"), F.lit(" at line "), F.col("_fault.line").cast("string"))
-        clean = checked.where(F.when(F.col("_fault").isNotNull(), F.raise_error(said).cast("boolean")).otherwise(True))
-    else:
-        clean = checked.where("_fault is null")
+        none = F.raise_error(F.concat(fault["fault"], F.lit(" in "), F.col("path"), F.lit(" at line "),
+                                      fault["line"].cast("string"))).cast(BLOCK)
     marks = F.col("_marks")
 
     def block(i: Column) -> Column:
@@ -137,7 +140,8 @@ def segments(files: DataFrame, *, strict: bool = False) -> DataFrame:
                              F.lit(1).alias("content_start_line"), F.size("_lines").alias("content_end_line"),
                              F.lit(0).alias("marker_end_line")))
     count = F.floor(F.size(marks) / 2).cast("int")
-    blocks = F.when(count == 0, whole).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), block))
+    # Faulty files list no blocks: a filter would find the markers a second time.
+    blocks = F.when(fault.isNotNull(), none).when(count == 0, whole.cast(BLOCK)).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), block).cast(BLOCK))
     # The list of blocks is exploded first, so lines are split once per file.
     one = clean.select("path", "text", "_lines", F.explode(blocks).alias("b"))
     size = F.col("b.content_end_line") - F.col("b.content_start_line") + 1
@@ -261,8 +265,10 @@ def records(blocks: DataFrame, root: str, library: str, alias: str, tags: list[T
         stats(c("code"), library, alias).alias("stats"), "code")
 
 
-def in_corpus_order(recs: DataFrame) -> DataFrame:
-    return recs.orderBy("source.path", "source.content_start_line", "source.snippet_ordinal")
+def in_corpus_order(files: DataFrame) -> DataFrame:
+    """Files by path. Blocks and records of a file come out in line order, so sorting
+    the files first leaves all later steps in order and in parallel."""
+    return files.orderBy("path")
 
 
 def summary(recs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, strip
+from ..operators.reshape import settle
 from .requests import field, is_text, kind, spaced_json, text_of, turn
 
 ROLES = ["system", "user", "assistant"]
@@ -46,7 +47,7 @@ def validated(records: DataFrame, json: str = "json") -> DataFrame:
     """Add `error`, and typed `messages` for records without one."""
     v = F.col(json)
     known = F.col("error") if "error" in records.columns else F.lit(None).cast("string")
-    out = records.withColumn("error", F.coalesce(known, messages_error(v)))
+    out = settle(records, error=F.coalesce(known, messages_error(v)))
     return out.withColumn("messages", F.when(F.col("error").isNull(), F.variant_get(v, "$.messages", MESSAGES)))
 
 
@@ -121,7 +122,7 @@ def schema_pairs(records: DataFrame, text: str, library: str, *, json: str = "js
     answer = strip(text_of(v, "answer"))
     system = lambda prompt: turn("system", F.concat(F.lit(prompt.format(library=library) + "Available schema: "), schema))
     ok = F.col("error").isNull()
-    return (records.withColumn("error", error).withColumn("segment_id", segment)
+    return (settle(records, error=error).withColumn("segment_id", segment)
             .withColumn("sft", F.when(ok, F.array(system(SFT_PROMPT), user, turn("assistant", answer))))
             .withColumn("grpo", F.when(ok, F.array(system(GRPO_PROMPT), user)))
             .withColumn("answer", F.when(ok, answer)))

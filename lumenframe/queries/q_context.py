@@ -84,7 +84,7 @@ SELECT doc_id, replace(replace(body, '§', 'sales'), '¤', 'sales_row') || ' sal
   SELECT doc_id, replace(text, '§', '') || ' df_x édf sales.row' AS body, text FROM documents WHERE NOT regexp_matches(text, '§|¤'))
 WHERE NOT regexp_matches(text, '(^|[^\pL\pM\pN_])(df|row)($|[^\pL\pM\pN_])')""".replace("sales.row'", "sales.' || '¤'"))
 def word_replace(spark, root):
-    d = table(spark, root, "documents").where(~F.col("text").rlike(r"§|¤|(?U)\b(df|row)\b"))
+    d = table(spark, root, "documents", "doc_id").where(~F.col("text").rlike(r"§|¤|(?U)\b(df|row)\b"))
     text = F.concat("text", F.lit(" df_x édf sales.row df"))
     return d.select("doc_id", x.replace_words(text, {"df": "sales", "row": "sales_row"}).alias("text"))
 
@@ -112,7 +112,7 @@ SELECT o_orderkey, ['o_orderkey', 'buyer_id', 'o_orderstatus', 'total_price', 'o
   ['numeric', 'identifier', 'text', 'numeric', 'date', 'text'] AS kinds FROM orders""")
 def column_profile(spark, root):
     o = _orders_text(spark, root)
-    p = o.select("o_orderkey", x.profile(x.row_map(o)).alias("p"))
+    p = o.select("o_orderkey", x.profile(o).alias("p"))
     return p.select("o_orderkey", F.col("p.alias").alias("aliases"), F.col("p.kind").alias("kinds"))
 
 
@@ -146,7 +146,7 @@ def _json_inputs(spark, root):
     json = (F.when(i == 0, say("[", text, ', {"code": ', text, "}]"))
             .when(i == 1, say('{"snippets": [{"snippet": " ", "code": ', text, '}, {"id": "own", "snippet": ', text, '}, {"id": null, "code": 5}]}'))
             .when(i == 2, say('{"id": "one", "snippet": ', text, "}")).otherwise(text))
-    return table(spark, root, "documents").select("doc_id", F.parse_json(json).alias("json"))
+    return table(spark, root, "documents", "doc_id").select("doc_id", F.parse_json(json).alias("json"))
 
 
 @query("snippet_input_shapes", f"SELECT doc_id, CAST(position AS INTEGER) AS position FROM ({ITEMS_SQL})")

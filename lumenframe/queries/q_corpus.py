@@ -18,7 +18,7 @@ SELECT doc_id, text AS body, CASE doc_id % 4 WHEN 0 THEN source || '/' || lang |
 
 
 def _files(spark, root):
-    d = table(spark, root, "documents")
+    d = table(spark, root, "documents", "doc_id")
     i = F.col("doc_id")
     name = i.cast("string")
     path = (F.when(i % 4 == 0, F.concat("source", F.lit("/"), "lang", F.lit("/doc_"), name, F.lit(".py")))
@@ -39,7 +39,7 @@ SELECT bucket, sha1(string_agg(text, chr(10) ORDER BY doc_id) || chr(10)) AS sha
   SELECT doc_id // 50 AS bucket, doc_id, text FROM documents) GROUP BY 1""")
 def corpus_scan(spark, root):
     # Source files of at most 50 documents each.
-    d = table(spark, root, "documents").groupBy(F.floor(F.col("doc_id") / 50).alias("bucket")).agg(
+    d = table(spark, root, "documents", "doc_id").groupBy(F.floor(F.col("doc_id") / 50).alias("bucket")).agg(
         F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("l"))
     folder = scratch_dir(spark, "tree")
     d.select("bucket", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("value")).write.partitionBy("bucket").text(folder)
@@ -124,7 +124,7 @@ HITS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') T
 
 @query("detect_operations", f"SELECT doc_id, {HITS} AS operations FROM documents")
 def detect_operations(spark, root):
-    return table(spark, root, "documents").select("doc_id", c.operations(F.col("text"), PROSE).alias("operations"))
+    return table(spark, root, "documents", "doc_id").select("doc_id", c.operations(F.col("text"), PROSE).alias("operations"))
 
 
 @query("tag_labels_purpose", f"""
@@ -138,7 +138,7 @@ SELECT doc_id, label, CASE kind WHEN 'setup' THEN 'Setup code for the ' || about
   CASE WHEN kind IN ('setup', 'file') THEN 'Topic ' || kind ELSE 'Topic: ' || kind END AS title FROM l""")
 def tag_labels_purpose(spark, root):
     kinds = F.array(*[F.lit(k) for k in ("setup", "data", "file", "example")])
-    d = table(spark, root, "documents").select(
+    d = table(spark, root, "documents", "doc_id").select(
         "doc_id", F.get(kinds, (F.col("doc_id") % 4).cast("int")).alias("kind"), F.concat("source", F.lit(" / "), "lang").alias("about"),
         F.get(c.operations(F.col("text"), PROSE), F.lit(0)).alias("op"))
     return d.select("doc_id", c.tag_label(F.col("op"), PROSE).alias("label"),
@@ -162,12 +162,12 @@ STATS = r"""CAST(CASE WHEN {0} = '' THEN 0 ELSE len(string_split(regexp_replace(
 
 @query("snippet_stats", f"SELECT doc_id, {STATS.format('text')} FROM documents")
 def snippet_stats(spark, root):
-    return table(spark, root, "documents").select("doc_id", c.stats(F.col("text"), "numpy", "np").alias("s")).select("doc_id", "s.*")
+    return table(spark, root, "documents", "doc_id").select("doc_id", c.stats(F.col("text"), "numpy", "np").alias("s")).select("doc_id", "s.*")
 
 
 @query("content_sha1", "SELECT doc_id, sha1(text) AS sha1 FROM documents")
 def content_sha1(spark, root):
-    return table(spark, root, "documents").select("doc_id", F.sha1(F.encode("text", "UTF-8")).alias("sha1"))
+    return table(spark, root, "documents", "doc_id").select("doc_id", F.sha1(F.encode("text", "UTF-8")).alias("sha1"))
 
 
 def _records(spark, root):
@@ -192,7 +192,7 @@ SELECT path || '#' || name AS id, language, category, subs AS subcategories, nam
   {STATS.format('code')}
 FROM (SELECT *, list_concat([category], subs, [stem, name, role, language], ops) AS v FROM r)""")
 def snippet_record(spark, root):
-    recs = c.in_corpus_order(_records(spark, root))
+    recs = c.records(c.segments(c.in_corpus_order(_files(spark, root))), "corpus", "numpy", "np", PROSE)
     return recs.select(
         "id", "language", "source.category", "source.subcategories", "source.snippet_name", "source.snippet_ordinal", "source.sha1",
         "metadata.snippet.role", "metadata.path.context_label", "metadata.snippet.title", "metadata.inferred.operations",

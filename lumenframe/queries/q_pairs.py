@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..plans import pairs as p
 from ..plans import requests as r
 from ..plans.context import TASK, json_text
-from ..session import table
+from ..session import scratch_dir, table
+from ..sources.files import write_parquet
 from ..sources.lines import first_error, parse_lines
 from .registry import query
 
@@ -16,6 +17,11 @@ def say(*parts):
     return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
 
 
+def _stored(spark, lines):
+    """The made lines as a written table: jobs hand records over by files."""
+    return spark.read.parquet(write_parquet(lines, scratch_dir(spark, "records")))
+
+
 # One record per turn. Kind n % 17 says what is wrong with it, if anything.
 KIND = "(conv_id * 31 + turn) % 17"
 
@@ -33,7 +39,7 @@ def _chat_lines(spark, root):
             .when(k == 5, F.substring(full, F.lit(1), F.char_length(full) - 2))
             .when(k == 6, say('{"messages": [', ask, ', {"role": "assistant", "content": " \\n "}]}')).otherwise(full))
     # The record number stands for the line number.
-    return parse_lines(table(spark, root, "conversations").select(n.alias("line"), line.alias("value")))
+    return parse_lines(_stored(spark, table(spark, root, "conversations").select(n.alias("line"), line.alias("value"))))
 
 
 ERROR_SQL = f"""CASE {KIND} WHEN 0 THEN 'missing ''messages'' field' WHEN 1 THEN '''messages'' must be a non-empty list' WHEN 2 THEN 'messages[1] must be an object'
@@ -91,7 +97,7 @@ def request_validate(spark, root):
             .when(k == 2, F.lit('{"message": 5, "tables": {}}')).when(k == 3, F.lit('{"message": " \\t", "tables": {}}'))
             .when(k == 4, F.lit('{"message": "x", "tables": [1]}')).when(k == 5, say("[", text, "]"))
             .when(k == 6, say('{"message": ', text)).otherwise(say('{"message": ', text, ', "tables": {"t": {"a": "int"}}}')))
-    parsed = parse_lines(table(spark, root, "documents").select("doc_id", line.alias("value")))
+    parsed = parse_lines(table(spark, root, "documents", "doc_id").select("doc_id", line.alias("value")))
     return r.with_request_errors(parsed).select("doc_id", "error")
 
 
@@ -104,7 +110,7 @@ SYSTEM_SQL = f"""CASE WHEN doc_id % 2 = 0 THEN '{r.SNIPPET_PROMPT}Available cont
 def _prompts(spark, root):
     tables = F.when(F.col("doc_id") % 2 == 0, say(f'{{"__task":"{TASK}","source":"', F.col("source"), '","n":[1,2,', F.col("doc_id").cast("string"), "]}")).otherwise(
         say('{"', F.col("source"), '": {"a, b: c":"', F.col("lang"), '"}}'))
-    return table(spark, root, "documents").withColumn("system", r.system_prompt(tables, LIBRARY))
+    return table(spark, root, "documents", "doc_id").withColumn("system", r.system_prompt(tables, LIBRARY))
 
 
 @query("system_prompt_select", f"SELECT doc_id, {SYSTEM_SQL} AS system FROM documents")
@@ -128,7 +134,7 @@ def _schema_lines(spark, root):
             .when(k == 4, full(ask, F.lit('{"a":1}'), text))
             .when(k == 5, full(ask, schema, text, ',"validation":{"contract_errors":["no result"]}'))
             .when(k == 6, full(ask, schema, text, ',"validation":{"contract_errors":[]},"segment_id":"own"')).otherwise(full(ask, schema, text)))
-    return parse_lines(table(spark, root, "documents").select(F.col("doc_id").alias("line"), line.alias("value")))
+    return parse_lines(_stored(spark, table(spark, root, "documents", "doc_id").select(F.col("doc_id").alias("line"), line.alias("value"))))
 
 
 SCHEMA_ERROR = """CASE doc_id % 11 WHEN 0 THEN 'missing ''question'' field' WHEN 1 THEN 'missing ''schema'' field' WHEN 2 THEN '''question'' must be a non-empty string'

@@ -194,14 +194,14 @@ def list_head_tail_slice(spark, root):
 SELECT doc_id, CAST(len(string_split(text, ' ')) - (SELECT count(*) FROM unnest(string_split(text, ' ')) u(w) WHERE regexp_full_match(w, '\\s*[+-]?[0-9]{1,18}\\s*')) AS BIGINT) AS errors
 FROM documents""")
 def list_eval_cast_errors(spark, root):
-    return table(spark, root, "documents").select(
-        "doc_id", n.count_items(words(F.col("text")), lambda w: w.try_cast("bigint").isNull()).alias("errors"))
+    return table(spark, root, "documents", "doc_id").select(
+        "doc_id", n.count_items(words(F.col("text")), n.not_whole_number).alias("errors"))
 
 
 @query("list_eval_regex", """
 SELECT doc_id, CAST((SELECT count(*) FROM unnest(string_split(text, ' ')) u(w) WHERE NOT regexp_full_match(w, '[0-9]+')) AS BIGINT) AS errors FROM documents""")
 def list_eval_regex(spark, root):
-    return table(spark, root, "documents").select(
+    return table(spark, root, "documents", "doc_id").select(
         "doc_id", n.count_items(words(F.col("text")), lambda w: ~w.rlike(r"^[0-9]+\z")).alias("errors"))
 
 
@@ -258,7 +258,7 @@ def list_rank_pct(spark, root):
 
 @query("arr_join", "SELECT doc_id, array_to_string(string_split(text, ' '), '-') AS joined FROM documents")
 def arr_join(spark, root):
-    return table(spark, root, "documents").select("doc_id", F.array_join(words(F.col("text")), "-").alias("joined"))
+    return table(spark, root, "documents", "doc_id").select("doc_id", F.array_join(words(F.col("text")), "-").alias("joined"))
 
 
 @query("arr_sort_max_sum", """

@@ -15,7 +15,7 @@ STRIP = lambda c: rf"regexp_replace(regexp_replace({c}, '^{BLANKS}+', ''), '{BLA
 
 @query("normalize_answer", f"SELECT doc_id, {NORM('text')} AS norm FROM documents")
 def normalize_answer(spark, root):
-    return table(spark, root, "documents").select("doc_id", s.normalized(F.col("text")).alias("norm"))
+    return table(spark, root, "documents", "doc_id").select("doc_id", s.normalized(F.col("text")).alias("norm"))
 
 
 @query("extract_final_answer", f"""

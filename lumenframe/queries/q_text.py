@@ -11,7 +11,7 @@ from .registry import query
 
 @query("str_len", "SELECT doc_id, CAST(strlen(text) AS INTEGER) AS bytes, CAST(length(text) AS INTEGER) AS chars FROM documents")
 def str_len(spark, root):
-    return table(spark, root, "documents").select("doc_id", F.octet_length("text").alias("bytes"), F.char_length("text").alias("chars"))
+    return table(spark, root, "documents", "doc_id").select("doc_id", F.octet_length("text").alias("bytes"), F.char_length("text").alias("chars"))
 
 
 @query("str_contains", """
@@ -30,7 +30,7 @@ def str_extract(spark, root):
 
 @query("str_extract_all", "SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS numbers FROM documents")
 def str_extract_all(spark, root):
-    return table(spark, root, "documents").select("doc_id", x.extract_all(F.col("text"), "[0-9]+").alias("numbers"))
+    return table(spark, root, "documents", "doc_id").select("doc_id", x.extract_all(F.col("text"), "[0-9]+").alias("numbers"))
 
 
 @query("str_replace_first", "SELECT c_custkey, regexp_replace(c_name, '[0-9]', '-') AS once FROM customer")
@@ -112,7 +112,7 @@ SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN text ELSE regexp_replace(regexp_rep
 WHERE doc_id % 4 <> 3 UNION ALL
 SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') FROM documents WHERE doc_id % 4 = 3""")
 def strip_code_fence(spark, root):
-    d = table(spark, root, "documents")
+    d = table(spark, root, "documents", "doc_id")
     kind, body = F.col("doc_id") % 4, F.col("text")
     wrapped = (F.when(kind == 0, F.concat(F.lit("```python\n"), body, F.lit("\n```")))
                .when(kind == 1, F.concat(F.lit(" ```\n"), body, F.lit("\n``` \n")))

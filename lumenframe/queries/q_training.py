@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..plans import training_sets as ts
 from ..plans.context import json_text
 from ..plans.requests import turn
+from ..operators.reshape import settle
 from ..session import table
 from .q_pairs import say
 from .registry import query
@@ -24,7 +25,8 @@ def content_to_text(spark, root):
             .when(k == 3, say("[", text, ', {"type": "text", "text": "more"}, {"type": "image", "url": "u"}, {"content": {"text": ""}}, 5]'))
             .when(k == 4, F.lit("null")).when(k == 5, F.lit('{"x": 1}')).when(k == 6, F.lit("12"))
             .otherwise(say('{"content": {"content": {"content": {"content": ', text, "}}}}")))
-    return table(spark, root, "documents").select("doc_id", ts.content_to_text(F.parse_json(json)).alias("text"))
+    parsed = settle(table(spark, root, "documents", "doc_id").select("doc_id", json.alias("value")), v=F.parse_json("value"))
+    return parsed.select("doc_id", ts.content_to_text(F.col("v")).alias("text"))
 
 
 TURNS = "'<|turn>system' || chr(10) || {s} || '<turn|>' || chr(10) || '<|turn>user' || chr(10) || {u} || '<turn|>' || chr(10) || '<|turn>model' || chr(10) || {a} || '<turn|>'"
@@ -62,7 +64,7 @@ UNION ALL SELECT 'bare', doc_id, {NO_SYSTEM.format(u='source', a='text')} FROM d
 UNION ALL SELECT 'text', doc_id, text FROM documents""")
 def sft_formats(spark, root):
     chats = _chats(spark, root).withColumn("row_id", F.col("conv_id") * 31 + F.col("turn"))
-    d = table(spark, root, "documents").withColumnRenamed("doc_id", "row_id")
+    d = table(spark, root, "documents", "doc_id").withColumnRenamed("doc_id", "row_id")
     pair = d.select("row_id", F.col("source").alias("prompt"), F.col("text").alias("response"), F.when(F.col("row_id") % 2 == 0, F.col("lang")).alias("system"))
     sets = {
         "messages": ts.sft_text(chats), "conversations": ts.sft_text(chats.withColumnRenamed("messages", "conversations")),
@@ -94,7 +96,7 @@ UNION ALL SELECT 'pair', doc_id, 2, 'think first', text FROM documents
 UNION ALL SELECT 'chat', doc_id, 1, 'role of the user', text FROM documents""")
 def grpo_formats(spark, root):
     chats = _chats(spark, root).withColumn("row_id", F.col("conv_id") * 31 + F.col("turn"))
-    d = table(spark, root, "documents").select(F.col("doc_id").alias("row_id"), F.col("source").alias("prompt"), F.col("text").alias("answer"))
+    d = table(spark, root, "documents", "doc_id").select(F.col("doc_id").alias("row_id"), F.col("source").alias("prompt"), F.col("text").alias("answer"))
     led = d.withColumn("prompt", F.array(turn("system", F.lit("role of the user"))))
     own = chats.withColumn("answer", F.when(F.col("turn") % 2 == 0, F.lit("own")).otherwise(F.lit("")))
     sets = {"messages": ts.grpo_set(chats), "explicit": ts.grpo_set(own), "pair": ts.grpo_set(d, system="think first"), "chat": ts.grpo_set(led)}
@@ -120,4 +122,4 @@ SELECT CAST(max(len(list_filter(regexp_split_to_array(text, '{BLANKS}+'), lambda
   CAST(100000 - max(len(list_filter(regexp_split_to_array(text, '{BLANKS}+'), lambda w: w <> ''))) - 1 AS BIGINT) AS room
 FROM (SELECT text FROM documents ORDER BY doc_id LIMIT 500)""")
 def token_length_estimate(spark, root):
-    return ts.longest_prompt_words(table(spark, root, "documents"), "text", "doc_id", 500, 100_000)
+    return ts.longest_prompt_words(table(spark, root, "documents", "doc_id"), "text", "doc_id", 500, 100_000)

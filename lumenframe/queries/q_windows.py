@@ -111,8 +111,7 @@ SELECT event_id, user_id, gappy,
   last_value(gappy IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS forward_all FROM ({GAPS})""")
 def fill_forward_backward(spark, root):
     t = o.with_order_bucket(_gaps(spark, root), "ts", "event_id")
-    t = o.fill(t, {"forward": "gappy"}, "ts", "event_id", ["user_id"], bucketed=True)
-    t = o.fill(t, {"backward": "gappy"}, "ts", "event_id", ["user_id"], backward=True, bucketed=True)
+    t = o.fill(t, {"forward": "gappy"}, "ts", "event_id", ["user_id"], backward={"backward": "gappy"}, bucketed=True)
     t = o.fill(t, {"forward_all": "gappy"}, "ts", "event_id", bucketed=True)
     return t.drop("ts", o.BUCKET)
 

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "lumenframe", master: str | None = None, **conf: str) -> SparkSession:
@@ -52,5 +52,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def table(spark: SparkSession, root: str, name: str):
-    return spark.read.parquet(f"{root}/{name}.parquet")
+def table(spark: SparkSession, root: str, name: str, spread_by: str | None = None) -> DataFrame:
+    """A table of the data folder.
+
+    `spread_by`: before heavy work on long texts, a table in fewer files than there are
+    cores is spread over all of them by a row key. One in many files is left as it is.
+    """
+    df = spark.read.parquet(f"{root}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread_by and len(df.inputFiles()) < cores:
+        return df.repartition(cores, spread_by)
+    return df

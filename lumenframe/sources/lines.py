@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..operators.ordering import join_back
+from ..operators.reshape import settle
 
 
 def with_row_numbers(scan: DataFrame, name: str = "line") -> DataFrame:
@@ -37,11 +38,11 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     A bad line keeps its row, so line numbers and counts stay whole.
     """
     text = strip(F.col(value))
-    json = F.try_parse_json(text)
-    kind = F.schema_of_variant(json)
+    parsed = settle(lines.where(text != ""), json=F.try_parse_json(text))
+    json = F.col("json")
     error = (F.when(json.isNull(), F.lit("invalid JSON"))
-             .when(~kind.startswith("OBJECT"), F.lit("must be a JSON object")))
-    return (lines.where(text != "").withColumn("json", json).withColumn("error", error))
+             .when(~F.schema_of_variant(json).startswith("OBJECT"), F.lit("must be a JSON object")))
+    return parsed.withColumn("error", error)
 
 
 def first_error(df: DataFrame, line: str = "line", error: str = "error") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,16 +16,9 @@ PATTERNS = {
 
 
 def pattern(fmt: str) -> str:
-    """A % format as a Spark pattern; plain letters are quoted."""
-    out, i = "", 0
-    while i < len(fmt):
-        if fmt[i] == "%":
-            out += PATTERNS[fmt[i + 1]]
-            i += 2
-        else:
-            out += f"'{fmt[i]}'" if fmt[i].isalpha() else fmt[i]
-            i += 1
-    return out
+    """A % format as a Spark pattern; plain words are quoted."""
+    pieces = re.findall(r"%(.)|([A-Za-z]+)|([^%A-Za-z]+)", fmt, re.DOTALL)
+    return "".join(PATTERNS[code] if code else f"'{word}'" if word else other.replace("'", "''") for code, word, other in pieces)
 
 
 def format_time(c: Column, fmt: str) -> Column:

@@ -85,7 +85,6 @@ def upsample_ffill(spark, root):
 @query("upsample_interpolate", f"""
 WITH {HOURLY}, j AS (SELECT g.event_type, g.ts, a.value AS v0, a.event_id, a.ts AS t0, b.value AS v1, b.ts AS t1 FROM grid g
   ASOF LEFT JOIN h a ON g.event_type = a.event_type AND g.ts >= a.ts ASOF LEFT JOIN h b ON g.event_type = b.event_type AND g.ts <= b.ts)
-SELECT event_type, ts, round(CASE WHEN t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * (epoch_us(ts) - epoch_us(t0)) / (epoch_us(t1) - epoch_us(t0)) END, 6) AS value, event_id FROM j""")
+SELECT event_type, ts, CASE WHEN t0 = t1 THEN v0 ELSE v0 + (v1 - v0) * ((epoch_us(ts) - epoch_us(t0))::DOUBLE / (epoch_us(t1) - epoch_us(t0))::DOUBLE) END AS value, event_id FROM j""")
 def upsample_interpolate(spark, root):
-    made = ts.upsample_interpolate(_hourly(spark, root), "ts", 900_000_000, ["event_type"], "value", ["event_id"])
-    return made.withColumn("value", F.round("value", 6))
+    return ts.upsample_interpolate(_hourly(spark, root), "ts", 900_000_000, ["event_type"], "value", ["event_id"])

@@ -123,10 +123,10 @@ k AS (SELECT *,
   first_value(CASE WHEN gappy IS NOT NULL THEN pos END IGNORE NULLS) OVER w2 AS p1, first_value(gappy IGNORE NULLS) OVER w2 AS v1
 FROM g WINDOW w1 AS (PARTITION BY user_id ORDER BY pos ROWS UNBOUNDED PRECEDING),
   w2 AS (PARTITION BY user_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT event_id, user_id, round(CASE WHEN gappy IS NOT NULL THEN gappy ELSE v0 + (v1 - v0) * (pos - p0) / (p1 - p0) END, 6) AS smooth FROM k""")
+SELECT event_id, user_id, CASE WHEN gappy IS NOT NULL THEN gappy ELSE v0 + (v1 - v0) * ((pos - p0)::DOUBLE / (p1 - p0)::DOUBLE) END AS smooth FROM k""")
 def interpolate_linear(spark, root):
     made = o.interpolate(_gaps(spark, root), "smooth", "gappy", "ts", "event_id", ["user_id"])
-    return made.select("event_id", "user_id", F.round("smooth", 6).alias("smooth"))
+    return made.select("event_id", "user_id", "smooth")
 
 
 @query("cum_count_reverse", """

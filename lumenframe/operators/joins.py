@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import BUCKET, _sortable, fill, join_back, with_order_bucket
+from .ordering import fill, join_back, with_order_bucket
 
 BROADCAST_ROWS = 100_000
 
@@ -66,7 +66,8 @@ def as_of(
                         (F.pmod(F.xxhash64(row), F.lit(1 << 20)) + 1).alias("_tie"))
     base = latest.select(*by, on, F.lit(None).cast(probe.schema["_row"].dataType).alias("_row"), "_match",
                          F.lit(0).cast("bigint").alias("_tie"))
-    both = with_order_bucket(probe.unionByName(base).where(F.col(f"`{on}`").isNotNull()), on, "_tie")
+    times = probe.select(on, "_tie").union(right.select(on, F.lit(0).cast("bigint").alias("_tie")))
+    both = with_order_bucket(probe.unionByName(base).where(F.col(f"`{on}`").isNotNull()), on, "_tie", bounds_from=times)
     scanned = fill(both, {"_last": "_match"}, on, "_tie", by, bucketed=True)
     found = scanned.where("_row is not null").select("_row", "_last")
     # Null keys never match; null times were left out of the scan.
@@ -91,32 +92,43 @@ def _gap(df: DataFrame, on: str, late: Column, early: Column) -> Column:
     return late - early
 
 
-def range_join(
-    points: DataFrame, spans: DataFrame, at: str, low: str, high: str, *, width: float,
-    salts: int = 8, hot_share: float = 4.0,
-) -> DataFrame:
+def range_join(points: DataFrame, spans: DataFrame, at: str, low: str, high: str, *, width: float) -> DataFrame:
     """Pairs with low < at <= high, for two large sides.
 
     The line is cut into cells of `width`; each span is listed once per cell it
-    touches, and both sides meet by an equi join on the cell. Cells holding more than
-    `hot_share` times the mean number of points are salted: their points spread over
-    `salts` groups and their spans are repeated in each.
+    touches, and both sides meet by an equi join on the cell. A cell that holds many
+    rows of a side has that side cut into salts and the other side repeated for each.
     """
     cell = F.floor(F.col(f"`{at}`") / F.lit(width)).cast("bigint")
     left = points.where(F.col(f"`{at}`").isNotNull()).withColumn("_cell", cell)
-    sizes = left.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
-    mean = sizes.agg(F.avg("_n").alias("_mean"))
-    hot = sizes.crossJoin(F.broadcast(mean)).where(F.col("_n") > F.col("_mean") * hot_share)
-    # At most 1/hot_share of the cells can be over hot_share times the mean.
-    hot = hot.select(F.col("_cell"), F.lit(salts).alias("_k"))
-    left = left.join(hot, "_cell", "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in points.columns]), F.coalesce("_k", F.lit(1))).cast("int")).drop("_k")
     cells = F.sequence(F.floor(F.col(f"`{low}`") / width).cast("bigint"), F.floor(F.col(f"`{high}`") / width).cast("bigint"))
     right = spans.where(F.col(f"`{low}`") <= F.col(f"`{high}`")).withColumn("_cell", F.explode(cells))
-    right = right.join(hot, "_cell", "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_k", F.lit(1)) - 1))).drop("_k")
-    met = left.join(right, ["_cell", "_salt"], "inner")
-    return met.where((F.col(f"`{at}`") > F.col(f"`{low}`")) & (F.col(f"`{at}`") <= F.col(f"`{high}`"))).drop("_cell", "_salt")
+    hot_left, hot_right = _hot_cells(left), _hot_cells(right)
+    met = _salted(left, hot_left, hot_right, "_a", "_b", points.columns).join(
+        _salted(right, hot_right, hot_left, "_b", "_a", spans.columns), ["_cell", "_a", "_b"], "inner")
+    return met.where((F.col(f"`{at}`") > F.col(f"`{low}`")) & (F.col(f"`{at}`") <= F.col(f"`{high}`"))).drop("_cell", "_a", "_b")
+
+
+def _hot_cells(side: DataFrame) -> DataFrame:
+    """Cells with more than their share of a side's rows, and the salts each needs.
+
+    At most `parts` cells can hold more than 1/parts of the rows: the table is small
+    enough to broadcast by its definition.
+    """
+    parts = min(int(side.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1024)
+    sizes = side.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    total = sizes.agg(F.sum("_n").alias("_total"))
+    hot = sizes.crossJoin(F.broadcast(total)).where(F.col("_n") * parts > F.col("_total"))
+    return hot.select("_cell", F.ceil(F.col("_n") * parts / F.col("_total")).cast("int").alias("_k"))
+
+
+def _salted(side: DataFrame, own: DataFrame, other: DataFrame, salt: str, copies: str, columns: list[str]) -> DataFrame:
+    """Give each row one of the salts of its cell, and a copy per salt of the other side."""
+    own, other = own.withColumnRenamed("_k", "_own"), other.withColumnRenamed("_k", "_other")
+    wide = side.join(F.broadcast(own), "_cell", "left").join(F.broadcast(other), "_cell", "left")
+    hashed = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.coalesce("_own", F.lit(1))).cast("int")
+    copied = F.explode(F.sequence(F.lit(0), F.coalesce("_other", F.lit(1)) - 1))
+    return wide.withColumn(salt, hashed).withColumn(copies, copied).drop("_own", "_other")
 
 
 def join_where(left: DataFrame, right: DataFrame, test: Column) -> DataFrame:

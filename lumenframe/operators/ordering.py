@@ -15,8 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_BUCKETS = 1024
+MAX_BUCKETS = 8192
+TREE = 64
+SAMPLE = 64
 BUCKET = "_bucket"
+KEY = "_key"
 
 
 def _sortable(df: DataFrame, name: str) -> Column:
@@ -33,75 +36,85 @@ def _sortable(df: DataFrame, name: str) -> Column:
 
 
 def _bounds(df: DataFrame, names: list[str], parts: int) -> list[list]:
-    """About `parts` quantiles per column: a bounded list, read in one pass."""
+    """About `parts` quantiles per column, from a sample of bounded size.
+
+    They steer bucket sizes only: results do not depend on the sample.
+    """
     if parts < 2:
         return [[] for _ in names]
     steps = [i / parts for i in range(1, parts)]
+    narrow = df.select(*[F.col(f"`{n}`") for n in names])
+    rows = narrow.count()
+    if rows > SAMPLE * parts:
+        narrow = narrow.sample(SAMPLE * parts / rows, seed=7)
     found: dict[str, list] = {}
     numbers = [n for n in names if not isinstance(df.schema[n].dataType, T.StringType)]
     if numbers:
-        row = df.agg(*[
+        row = narrow.agg(*[
             F.percentile_approx(_sortable(df, n), steps, F.lit(max(1000, 20 * parts))).alias(f"q{i}")
             for i, n in enumerate(numbers)
         ]).first()
-        for i, n in enumerate(numbers):
-            found[n] = list(row[f"q{i}"] or [])
+        found = {n: list(row[f"q{i}"] or []) for i, n in enumerate(numbers)}
     for n in names:
         if n not in found:
-            # Text has no quantile sketch: cut a bounded random sample instead. It
-            # steers bucket sizes only; results do not depend on it.
-            take = 64 * parts
-            rows = df.select(F.col(f"`{n}`").alias("v")).where("v is not null").orderBy(F.rand(7)).limit(take).collect()
-            values = sorted(r["v"] for r in rows)
+            # Text has no quantile sketch: the sampled values come to the driver.
+            values = sorted(r[0] for r in narrow.select(f"`{n}`").where(F.col(f"`{n}`").isNotNull()).collect())
             found[n] = [values[min(len(values) - 1, int(s * len(values)))] for s in steps] if values else []
     return [found[n] for n in names]
 
 
-def _search(c: Column, cuts: list, leaf) -> Column:
-    """Binary search over the cuts as nested CASE expressions."""
-    def node(lo: int, hi: int) -> Column:
+def _position(c: Column, cuts: list) -> Column:
+    """Number of cuts below the value: a binary search as nested CASE expressions, and
+    with many cuts a short scan of the part it leads to."""
+    def node(ends: list, lo: int, hi: int) -> Column:
         if lo == hi:
-            return leaf(lo)
+            return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(c <= F.lit(cuts[mid]), node(lo, mid)).otherwise(node(mid + 1, hi))
-    return node(0, len(cuts))
+        return F.when(c <= F.lit(ends[mid]), node(ends, lo, mid)).otherwise(node(ends, mid + 1, hi))
+
+    if len(cuts) <= TREE:
+        return node(cuts, 0, len(cuts))
+    step = -(-len(cuts) // TREE)
+    chunks = [cuts[i:i + step] for i in range(0, len(cuts), step)]
+    chunk = node([x[-1] for x in chunks[:-1]], 0, len(chunks) - 1)
+    listed = F.get(F.array(*[F.array(*[F.lit(v) for v in x]) for x in chunks]), chunk)
+    return chunk * F.lit(step) + F.size(F.filter(listed, lambda v: v < c))
 
 
 def with_order_bucket(
-    df: DataFrame, order: str, tie: str | None = None, *, descending: bool = False, parts: int | None = None
+    df: DataFrame, order: str, tie: str | None = None, *, descending: bool = False, parts: int | None = None,
+    bounds_from: DataFrame | None = None,
 ) -> DataFrame:
     """Add the bucket number of each row, ascending with the wanted order, nulls last.
 
     A value that fills more than a bucket gets a bucket of its own and is cut
-    further by the tie column.
+    further by the tie column. `bounds_from` is a cheaper frame with about the same
+    values, where this one is derived at a cost.
     """
     if parts is None:
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     parts = max(1, min(parts, MAX_BUCKETS))
     names = [order] + ([tie] if tie else [])
-    raw = _bounds(df, names, parts)
+    raw = _bounds(df if bounds_from is None else bounds_from, names, parts)
     cuts = sorted(set(raw[0]))
     heavy = {v for i, v in enumerate(raw[0][1:]) if v == raw[0][i]}
     value = _sortable(df, order)
 
-    def leaf(i: int) -> Column:
-        if i < len(cuts) and cuts[i] in heavy:
-            return F.when(value == F.lit(cuts[i]), F.lit(2 * i + 1)).otherwise(F.lit(2 * i))
-        return F.lit(2 * i)
-
-    major = _search(value, cuts, leaf)
+    major = _position(value, cuts) * 2
+    if heavy:
+        major = major + value.isin(*sorted(heavy)).cast("int")
     if descending:
         major = F.lit(2 * len(cuts)) - major
     major = F.when(value.isNull(), F.lit(2 * len(cuts) + 1)).otherwise(major)
     if tie is None:
-        return df.withColumn(BUCKET, major.cast("int"))
+        return df.withColumn(BUCKET, major.cast("bigint"))
     tie_cuts = sorted(set(raw[1]))
-    minor = _search(_sortable(df, tie), tie_cuts, lambda i: F.lit(i))
+    minor = _position(_sortable(df, tie), tie_cuts)
     minor = F.when(_sortable(df, tie).isNull(), F.lit(len(tie_cuts) + 1)).otherwise(minor)
     width = len(tie_cuts) + 2
     single = value.isNull() if not heavy else (value.isNull() | value.isin(*sorted(heavy)))
     out = major * F.lit(width) + F.when(single, minor).otherwise(F.lit(0))
-    return df.withColumn(BUCKET, out.cast("int"))
+    return df.withColumn(BUCKET, out.cast("bigint"))
 
 
 def join_back(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -122,38 +135,47 @@ def _sort_cols(order: str, tie: str | None, descending: bool) -> list[Column]:
     return cols
 
 
-def _across(keys: list[str]) -> Window:
-    """Window over the per-bucket table. Without keys that table has at most one
-    row per bucket, so a single task sees a bounded number of rows."""
-    return Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(BUCKET)
+def _keyed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the key as one struct. Structs with nulls compare as equal, so windows and
+    the join of the carried values share one shuffle on (key, bucket)."""
+    return df.withColumn(KEY, F.struct(*[F.col(f"`{k}`") for k in keys], F.lit(0).alias("_")))
+
+
+def _across() -> Window:
+    """Window over the table with one row per key and bucket. Without keys it has at
+    most one row per bucket, so a single task sees a bounded number of rows."""
+    return Window.partitionBy(KEY).orderBy(BUCKET)
 
 
 def number_rows(
     df: DataFrame, name: str, order: str, tie: str | None = None, keys: list[str] | None = None, *,
-    descending: bool = False, keep_bucket: bool = False, parts: int | None = None,
+    descending: bool = False, parts: int | None = None, bounds_from: DataFrame | None = None,
 ) -> DataFrame:
     """1-based row number per key in the given order."""
-    keys = keys or []
-    b = with_order_bucket(df, order, tie, descending=descending, parts=parts)
-    sizes = b.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select(*keys, BUCKET, F.sum("_n").over(_across(keys).rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    local = Window.partitionBy(*keys, BUCKET).orderBy(*_sort_cols(order, tie, descending))
-    out = join_back(b.withColumn(name, F.row_number().over(local).cast("bigint")), before, [*keys, BUCKET])
-    out = out.withColumn(name, F.col(name) + F.coalesce(F.col("_before"), F.lit(0))).drop("_before")
-    return out if keep_bucket else out.drop(BUCKET)
+    b = _keyed(with_order_bucket(df, order, tie, descending=descending, parts=parts, bounds_from=bounds_from), keys or [])
+    before = _sums_before(b, F.count(F.lit(1)))
+    local = Window.partitionBy(KEY, BUCKET).orderBy(*_sort_cols(order, tie, descending))
+    out = b.withColumn(name, F.row_number().over(local).cast("bigint")).join(before, [KEY, BUCKET], "left")
+    return out.withColumn(name, F.col(name) + F.coalesce(F.col("_before"), F.lit(0))).drop("_before", BUCKET, KEY)
+
+
+def _sums_before(b: DataFrame, amount: Column) -> DataFrame:
+    """For each key and bucket the sum of an amount over the earlier buckets."""
+    sums = b.groupBy(KEY, BUCKET).agg(amount.alias("_n"))
+    earlier = _across().rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(KEY, BUCKET, F.sum("_n").over(earlier).alias("_before"))
 
 
 def running_total(df: DataFrame, name: str, value: str, order: str, tie: str | None = None,
-                  keys: list[str] | None = None, *, descending: bool = False) -> DataFrame:
+                  keys: list[str] | None = None, *, descending: bool = False,
+                  bounds_from: DataFrame | None = None) -> DataFrame:
     """Running sum of a whole-number column per key in the given order."""
-    keys = keys or []
-    b = with_order_bucket(df, order, tie, descending=descending)
-    sums = b.groupBy(*keys, BUCKET).agg(F.sum(value).alias("_n"))
-    before = sums.select(*keys, BUCKET, F.sum("_n").over(_across(keys).rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    local = (Window.partitionBy(*keys, BUCKET).orderBy(*_sort_cols(order, tie, descending))
+    b = _keyed(with_order_bucket(df, order, tie, descending=descending, bounds_from=bounds_from), keys or [])
+    before = _sums_before(b, F.sum(value))
+    local = (Window.partitionBy(KEY, BUCKET).orderBy(*_sort_cols(order, tie, descending))
              .rowsBetween(Window.unboundedPreceding, 0))
-    out = join_back(b.withColumn(name, F.sum(value).over(local)), before, [*keys, BUCKET])
-    return out.withColumn(name, F.col(name) + F.coalesce(F.col("_before"), F.lit(0))).drop("_before", BUCKET)
+    out = b.withColumn(name, F.sum(value).over(local)).join(before, [KEY, BUCKET], "left")
+    return out.withColumn(name, F.col(name) + F.coalesce(F.col("_before"), F.lit(0))).drop("_before", BUCKET, KEY)
 
 
 def fill(
@@ -163,27 +185,27 @@ def fill(
     """For each `target: source`, the last value so far (forward) or the next value
     (backward) that is not null, the row's own value included. `bucketed`: the frame
     has its bucket already, and keeps it."""
-    keys, backward = keys or [], backward or {}
-    b = df if bucketed else with_order_bucket(df, order, tie)
+    backward = backward or {}
+    b = _keyed(df if bucketed else with_order_bucket(df, order, tie), keys or [])
     at = F.struct(*[F.col(f"`{c}`") for c in ([order] + ([tie] if tie else []))])
     # max_by and min_by skip rows of which the ordering value is null.
     where = lambda s: F.when(F.col(f"`{s}`").isNotNull(), at)
-    ends = b.groupBy(*keys, BUCKET).agg(
+    ends = b.groupBy(KEY, BUCKET).agg(
         *[F.max_by(F.col(f"`{s}`"), where(s)).alias(f"_e_{t}") for t, s in forward.items()],
         *[F.min_by(F.col(f"`{s}`"), where(s)).alias(f"_e_{t}") for t, s in backward.items()])
-    past, future = _across(keys).rowsBetween(Window.unboundedPreceding, -1), _across(keys).rowsBetween(1, Window.unboundedFollowing)
+    past, future = _across().rowsBetween(Window.unboundedPreceding, -1), _across().rowsBetween(1, Window.unboundedFollowing)
     carry = ends.select(
-        *keys, BUCKET, *[F.last(f"_e_{t}", ignorenulls=True).over(past).alias(f"_c_{t}") for t in forward],
+        KEY, BUCKET, *[F.last(f"_e_{t}", ignorenulls=True).over(past).alias(f"_c_{t}") for t in forward],
         *[F.first(f"_e_{t}", ignorenulls=True).over(future).alias(f"_c_{t}") for t in backward])
-    local = Window.partitionBy(*keys, BUCKET).orderBy(*_sort_cols(order, tie, False))
+    local = Window.partitionBy(KEY, BUCKET).orderBy(*_sort_cols(order, tie, False))
     so_far, ahead = local.rowsBetween(Window.unboundedPreceding, 0), local.rowsBetween(0, Window.unboundedFollowing)
     inside = b.select(
         "*", *[F.last(s, ignorenulls=True).over(so_far).alias(f"_l_{t}") for t, s in forward.items()],
         *[F.first(s, ignorenulls=True).over(ahead).alias(f"_l_{t}") for t, s in backward.items()])
     made = [*forward, *backward]
-    out = join_back(inside, carry, [*keys, BUCKET]).withColumns({t: F.coalesce(F.col(f"_l_{t}"), F.col(f"_c_{t}")) for t in made})
+    out = inside.join(carry, [KEY, BUCKET], "left").withColumns({t: F.coalesce(F.col(f"_l_{t}"), F.col(f"_c_{t}")) for t in made})
     drop = [f"_l_{t}" for t in made] + [f"_c_{t}" for t in made]
-    return out.drop(*drop) if bucketed else out.drop(*drop, BUCKET)
+    return out.drop(*drop, KEY) if bucketed else out.drop(*drop, KEY, BUCKET)
 
 
 def interpolate(df: DataFrame, target: str, source: str, order: str, tie: str | None = None,
@@ -193,33 +215,33 @@ def interpolate(df: DataFrame, target: str, source: str, order: str, tie: str |
     `forward` fills more columns forward in the same scan. Positions inside a bucket
     become positions in the key by adding the rows of earlier buckets.
     """
-    keys, forward = keys or [], forward or {}
-    local = Window.partitionBy(*keys, BUCKET).orderBy(*_sort_cols(order, tie, False))
-    placed = with_order_bucket(df, order, tie).withColumn("_p", F.row_number().over(local).cast("bigint"))
+    forward = forward or {}
+    local = Window.partitionBy(KEY, BUCKET).orderBy(*_sort_cols(order, tie, False))
+    placed = _keyed(with_order_bucket(df, order, tie), keys or []).withColumn("_p", F.row_number().over(local).cast("bigint"))
     value = F.col(f"`{source}`")
     placed = placed.withColumn("_k", F.when(value.isNotNull(), F.struct(F.col("_p").alias("p"), value.cast("double").alias("v"))))
-    ends = placed.groupBy(*keys, BUCKET).agg(
+    ends = placed.groupBy(KEY, BUCKET).agg(
         F.count(F.lit(1)).alias("_n"), F.max("_k").alias("_last"), F.min("_k").alias("_first"),
         *[F.max_by(F.col(f"`{s}`"), F.when(F.col(f"`{s}`").isNotNull(), F.col("_p"))).alias(f"_e_{t}") for t, s in forward.items()])
-    past, future = _across(keys).rowsBetween(Window.unboundedPreceding, -1), _across(keys).rowsBetween(1, Window.unboundedFollowing)
+    past, future = _across().rowsBetween(Window.unboundedPreceding, -1), _across().rowsBetween(1, Window.unboundedFollowing)
     moved = lambda k: F.when(k.isNotNull(), F.struct((k["p"] + F.col("_before")).alias("p"), k["v"].alias("v")))
     ends = ends.withColumn("_before", F.coalesce(F.sum("_n").over(past), F.lit(0)))
     ends = ends.withColumns({"_last": moved(F.col("_last")), "_first": moved(F.col("_first"))})
     carry = ends.select(
-        *keys, BUCKET, "_before", F.last("_last", ignorenulls=True).over(past).alias("_c_prev"),
+        KEY, BUCKET, "_before", F.last("_last", ignorenulls=True).over(past).alias("_c_prev"),
         F.first("_first", ignorenulls=True).over(future).alias("_c_next"),
         *[F.last(f"_e_{t}", ignorenulls=True).over(past).alias(f"_c_{t}") for t in forward])
     so_far, ahead = local.rowsBetween(Window.unboundedPreceding, 0), local.rowsBetween(0, Window.unboundedFollowing)
     inside = placed.select(
         "*", F.last("_k", ignorenulls=True).over(so_far).alias("_l_prev"), F.first("_k", ignorenulls=True).over(ahead).alias("_l_next"),
         *[F.last(s, ignorenulls=True).over(so_far).alias(f"_l_{t}") for t, s in forward.items()])
-    out = join_back(inside, carry, [*keys, BUCKET]).withColumns({
+    out = inside.join(carry, [KEY, BUCKET], "left").withColumns({
         "_prev": F.coalesce(moved(F.col("_l_prev")), F.col("_c_prev")), "_next": F.coalesce(moved(F.col("_l_next")), F.col("_c_next"))})
     a, b, pos = F.col("_prev"), F.col("_next"), F.col("_p") + F.col("_before")
     share = (pos - a["p"]).cast("double") / F.nullif(b["p"] - a["p"], F.lit(0)).cast("double")
     filled = {t: F.coalesce(F.col(f"_l_{t}"), F.col(f"_c_{t}")) for t in forward}
     out = out.withColumns({target: F.coalesce(value.cast("double"), a["v"] + (b["v"] - a["v"]) * share), **filled})
-    return out.drop(BUCKET, "_p", "_k", "_before", "_prev", "_next", *[f"_{x}_{t}" for x in "lc" for t in ("prev", "next", *forward)])
+    return out.drop(BUCKET, KEY, "_p", "_k", "_before", "_prev", "_next", *[f"_{x}_{t}" for x in "lc" for t in ("prev", "next", *forward)])
 
 
 def rank_values(df: DataFrame, name: str, keys: list[str], by: list[str], *, method: str = "dense",
@@ -235,19 +257,19 @@ def rank_values(df: DataFrame, name: str, keys: list[str], by: list[str], *, met
     if len(by) > 2:
         raise ValueError("rank by one or two columns")
     if tie and descending:
-        ranked = _rank_pairs_descending(distinct, name, keys, order, tie, method)
+        ranked = _rank_pairs_descending(distinct, df, name, keys, order, tie, method)
     elif method == "dense":
-        ranked = number_rows(distinct, name, order, tie, keys, descending=descending)
+        ranked = number_rows(distinct, name, order, tie, keys, descending=descending, bounds_from=df)
     else:
-        ranked = running_total(distinct, name, "_n", order, tie, keys, descending=descending)
+        ranked = running_total(distinct, name, "_n", order, tie, keys, descending=descending, bounds_from=df)
         ranked = ranked.withColumn(name, F.col(name) - F.col("_n") + 1)
     return join_back(df, ranked.drop("_n"), [*keys, *by])
 
 
-def _rank_pairs_descending(distinct, name, keys, order, tie, method):
+def _rank_pairs_descending(distinct, df, name, keys, order, tie, method):
     """Descending on both columns: the ascending position counted from the end."""
-    up = number_rows(distinct, name, order, tie, keys) if method == "dense" else running_total(
-        distinct, name, "_n", order, tie, keys)
+    up = number_rows(distinct, name, order, tie, keys, bounds_from=df) if method == "dense" else running_total(
+        distinct, name, "_n", order, tie, keys, bounds_from=df)
     total = distinct.groupBy(*keys).agg((F.count(F.lit(1)) if method == "dense" else F.sum("_n")).alias("_total"))
     joined = join_back(up, total, keys) if keys else up.crossJoin(F.broadcast(total))
     return joined.withColumn(name, F.col("_total") - F.col(name) + 1).drop("_total")

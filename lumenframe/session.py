@@ -55,11 +55,12 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 def table(spark: SparkSession, root: str, name: str, spread_by: str | None = None) -> DataFrame:
     """A table of the data folder.
 
-    `spread_by`: before heavy work on long texts, a table in fewer files than there are
-    cores is spread over all of them by a row key. One in many files is left as it is.
+    `spread_by`: before heavy work on long texts, a table read by fewer tasks than there
+    are cores is spread over all of them by a row key. That holds for small tables only;
+    larger ones are read by more tasks and left as they are.
     """
     df = spark.read.parquet(f"{root}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if spread_by and len(df.inputFiles()) < cores:
+    if spread_by and df.rdd.getNumPartitions() < cores:
         return df.repartition(cores, spread_by)
     return df

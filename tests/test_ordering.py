@@ -142,7 +142,7 @@ def test_range_join_with_a_hot_cell(spark):
     spans = [(i, lo := r.uniform(-5, 200), lo + r.uniform(0, 12)) for i in range(80)]
     spans.append((99, 4.0, 5.0))
     got = joins.range_join(spark.createDataFrame(points, "p long, x double"), spark.createDataFrame(spans, "s long, lo double, hi double"),
-                           "x", "lo", "hi", width=3.0, hot_share=2.0)
+                           "x", "lo", "hi", width=3.0)
     want = sorted((p, s) for p, x in points for s, lo, hi in spans if lo < x <= hi)
     assert sorted((x["p"], x["s"]) for x in got.select("p", "s").collect()) == want
 
@@ -151,3 +151,20 @@ def test_group_statistics_keep_null_keys(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), (None, 5)], "k string, v int")
     got = {(r["k"], r["v"], r["s"]) for r in joins.with_group_statistics(df, ["k"], s=F.sum("v")).collect()}
     assert got == {("a", 1, 3), ("a", 2, 3), (None, 5, 5)}
+
+
+def test_many_buckets(spark):
+    data = [(i, (i * 7919) % 5000 if i % 3 else 77) for i in range(3000)]
+    df = spark.createDataFrame(data, "id long, at long")
+    got = {r["id"]: r["n"] for r in o.number_rows(df, "n", "at", "id", parts=300).collect()}
+    assert [got[i] for i, _ in sorted(data, key=lambda x: (x[1], x[0]))] == list(range(1, 3001))
+    b = o.with_order_bucket(df, "at", "id", parts=300)
+    assert b.groupBy(o.BUCKET).count().agg(F.max("count")).first()[0] < 60
+
+
+def test_ordered_scans_shuffle_rows_once(spark):
+    df = spark.createDataFrame(rows(10), SCHEMA)
+    for made in (o.number_rows(df, "n", "at", "id", ["k"]), o.fill(df, {"f": "v"}, "at", "id", ["k"])):
+        p = made._jdf.queryExecution().executedPlan().toString()
+        # Rows, per-bucket sums, their order along the key, and the join of the sums.
+        assert p.count("Exchange hashpartitioning") <= 4

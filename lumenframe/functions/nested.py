@@ -39,10 +39,12 @@ def list_sum(c: Column) -> Column:
 
 
 def entropy(c: Column) -> Column:
-    """Natural-log entropy of the items as shares of their sum."""
-    total = list_sum(c)
-    share = lambda x: x.cast("double") / F.nullif(total, F.lit(0.0))
-    return -F.aggregate(c, F.lit(0.0), lambda a, x: a + F.when(share(x) > 0, share(x) * F.ln(share(x))).otherwise(0.0))
+    """Natural-log entropy of the items as shares of their sum t: ln t - sum(x ln x) / t."""
+    start = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("s"))
+    number = lambda x: F.coalesce(x.cast("double"), F.lit(0.0))
+    term = lambda x: F.when(number(x) > 0, number(x) * F.ln(number(x))).otherwise(F.lit(0.0))
+    step = lambda a, x: F.struct((a["t"] + number(x)).alias("t"), (a["s"] + term(x)).alias("s"))
+    return F.aggregate(c, start, step, lambda a: F.when(a["t"] > 0, F.ln(a["t"]) - F.try_divide(a["s"], a["t"])))
 
 
 def rank_share(c: Column, digits: int = 2) -> Column:

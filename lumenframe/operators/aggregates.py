@@ -30,13 +30,13 @@ def first_seen(df: DataFrame, keys: list[str], row_key: str, **aggregates: Colum
 
 
 def collect_lists(df: DataFrame, keys: list[str], value: str, order: str, tie: str | None = None, *,
-                  name: str | None = None, rows: int = LIST_ROWS) -> DataFrame:
+                  name: str | None = None, rows: int = LIST_ROWS, bounds_from: DataFrame | None = None) -> DataFrame:
     """The ordered values of each group as lists, nulls kept.
 
     A group of more than `rows` values comes as several lists, numbered by `part`:
     one cell cannot hold a group of any size. Joined in `part` order they are whole.
     """
-    numbered = number_rows(df, "_rn", order, tie, keys)
+    numbered = number_rows(df, "_rn", order, tie, keys, bounds_from=bounds_from)
     part = ((F.col("_rn") - 1) / rows).cast("bigint")
     lists = numbered.groupBy(*keys, part.alias("part")).agg(
         F.array_sort(F.collect_list(F.struct(F.col("_rn").alias("n"), F.col(value).alias("v")))).alias("_l"))

@@ -209,7 +209,8 @@ def fill(
 
 
 def interpolate(df: DataFrame, target: str, source: str, order: str, tie: str | None = None,
-                keys: list[str] | None = None, *, forward: dict[str, str] | None = None) -> DataFrame:
+                keys: list[str] | None = None, *, forward: dict[str, str] | None = None,
+                bounds_from: DataFrame | None = None) -> DataFrame:
     """Linear fill between known values by row position; outer nulls stay.
 
     `forward` fills more columns forward in the same scan. Positions inside a bucket
@@ -217,7 +218,7 @@ def interpolate(df: DataFrame, target: str, source: str, order: str, tie: str |
     """
     forward = forward or {}
     local = Window.partitionBy(KEY, BUCKET).orderBy(*_sort_cols(order, tie, False))
-    placed = _keyed(with_order_bucket(df, order, tie), keys or []).withColumn("_p", F.row_number().over(local).cast("bigint"))
+    placed = _keyed(with_order_bucket(df, order, tie, bounds_from=bounds_from), keys or []).withColumn("_p", F.row_number().over(local).cast("bigint"))
     value = F.col(f"`{source}`")
     placed = placed.withColumn("_k", F.when(value.isNotNull(), F.struct(F.col("_p").alias("p"), value.cast("double").alias("v"))))
     ends = placed.groupBy(KEY, BUCKET).agg(

@@ -55,7 +55,7 @@ def upsample_interpolate(df: DataFrame, time: str, every_us: int, keys: list[str
     """
     grid = time_grid(df, time, every_us, keys)
     joined = grid.join(df.select(*keys, time, number, *rest), [*keys, time], "left")
-    filled = interpolate(joined, f"_i_{number}", number, time, None, keys, forward={f"_f_{c}": c for c in rest})
+    filled = interpolate(joined, f"_i_{number}", number, time, None, keys, forward={f"_f_{c}": c for c in rest}, bounds_from=grid)
     return filled.select(*keys, time, F.col(f"_i_{number}").alias(number), *[F.col(f"_f_{c}").alias(c) for c in rest])
 
 

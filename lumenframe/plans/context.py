@@ -113,10 +113,11 @@ def replacements(spark: SparkSession, columns: list[str], row: Column, dataset:
 
 
 def replace_tokens(text: Column, pairs: list[tuple[str, Column]]) -> Column:
-    """Replace tokens one after the other; later tokens see earlier output, and empty
-    texts are left out."""
-    listed = F.array(*[F.struct(F.lit(a).alias("a"), F.coalesce(b, F.lit("")).alias("b")) for a, b in pairs])
-    return F.aggregate(listed, text, lambda acc, p: F.when(p["b"] != "", F.replace(acc, p["a"], p["b"])).otherwise(acc))
+    """Replace tokens one after the other; later tokens see earlier output, and a token
+    with an empty text stays as it is."""
+    for token, to in pairs:
+        text = F.replace(text, F.lit(token), F.coalesce(F.nullif(to, F.lit("")), F.lit(token)))
+    return text
 
 
 def replace_words(text: Column, words: dict[str, str]) -> Column:
@@ -127,23 +128,24 @@ def replace_words(text: Column, words: dict[str, str]) -> Column:
 
 
 def json_text(c: Column) -> Column:
-    """A text as a JSON string."""
+    """A text as a JSON string; the JSON writer is called only where it must escape."""
     listed = F.to_json(F.array(c))
-    return F.substring(listed, F.lit(2), F.char_length(listed) - 2)
+    written = F.substring(listed, F.lit(2), F.char_length(listed) - 2)
+    return F.when(c.rlike(r'[\x00-\x1F"\\]'), written).otherwise(F.concat(F.lit('"'), c, F.lit('"')))
 
 
-def json_block(entries: Column) -> Column:
-    """A list of {key, value} texts as a JSON object with two-space indent."""
-    lines = F.transform(entries, lambda e: F.concat(F.lit("  "), json_text(e["key"]), F.lit(": "), json_text(e["value"])))
-    return F.when(F.size(entries) == 0, F.lit("{}")).otherwise(
-        F.concat(F.lit("{\n"), F.array_join(lines, ",\n"), F.lit("\n}")))
+def json_block(entries: dict[str, Column]) -> Column:
+    """Texts by name as a JSON object with two-space indent, nulls left out."""
+    lines = [F.when(v.isNotNull(), F.concat(F.lit("  "), json_text(F.lit(k)), F.lit(": "), json_text(v))) for k, v in entries.items()]
+    body = F.array_join(F.array(*lines), ",\n")
+    return F.when(body == "", F.lit("{}")).otherwise(F.concat(F.lit("{\n"), body, F.lit("\n}")))
 
 
 def message(snippet: Column, draft: Column, row: Column, aliases: Column, chosen: Column) -> Column:
-    """Request text of a snippet; the last three are lists of {key, value}."""
+    """Request text of a snippet; the last three are JSON objects as text."""
     parts = [*map(F.lit, OPENING), F.lit("Original snippet:"), snippet, F.lit(""), F.lit("Rule-based draft:"), draft, F.lit(""),
-             F.lit("CSV row context:"), json_block(row), F.lit(""), F.lit("Column aliases:"), json_block(aliases), F.lit(""),
-             F.lit("Representative columns:"), json_block(chosen), F.lit(""), F.lit(CLOSING)]
+             F.lit("CSV row context:"), row, F.lit(""), F.lit("Column aliases:"), aliases, F.lit(""),
+             F.lit("Representative columns:"), chosen, F.lit(""), F.lit(CLOSING)]
     return F.concat_ws("\n", *parts)
 
 
@@ -161,7 +163,9 @@ def contextualize(snippets: DataFrame, table: DataFrame, dataset: str, index: Co
     """
     spark = table.sparkSession
     columns = table.columns
-    rows = table.select(index.alias("row_index"), row_map(table).alias("_row"))
+    # What depends on the row alone is made before the cross join, once per row.
+    shown = json_block({c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns})
+    rows = table.select(index.alias("row_index"), row_map(table).alias("_row"), shown.alias("_row_json"))
     both = cross(rows, snippets.where(~is_blank(F.col("snippet"))).withColumn("snippet", strip(F.col("snippet"))))
     row = F.col("_row")
     var = slugs(spark, [dataset])[0]
@@ -178,7 +182,7 @@ def contextualize(snippets: DataFrame, table: DataFrame, dataset: str, index: Co
         F.map_from_entries(_entries(aliases)).alias("column_aliases"), kinds.alias("column_kinds"),
         F.map_from_entries(_entries(chosen)).alias("representative_columns"),
         F.map_from_entries(_entries(values)).alias("representative_values"))
-    text = message(F.col("snippet"), F.col("rule_based_draft"), F.map_entries(row), _entries(aliases), _entries(chosen))
+    text = message(F.col("snippet"), F.col("rule_based_draft"), F.col("_row_json"), json_block(aliases), json_block(chosen))
     return drafted.select("id", "snippet", "row_index", F.lit(source or dataset).alias("csv_file"), "rule_based_draft",
                           text.alias("message"), tables.alias("tables"))
 

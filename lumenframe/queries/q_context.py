@@ -43,7 +43,7 @@ def _drafts_sql(columns):
 
 def _requests(spark, root):
     snippets = spark.createDataFrame(TEMPLATES, "id string, snippet string")
-    return x.contextualize(snippets, table(spark, root, "customer"), "BestBuyers", F.col("c_custkey"), source="data/BestBuyers.csv",
+    return x.contextualize(snippets, table(spark, root, "customer", "c_custkey"), "BestBuyers", F.col("c_custkey"), source="data/BestBuyers.csv",
                            priorities=CUSTOMER)
 
 

@@ -25,7 +25,7 @@ def rank_agg_explode(spark, root):
     t = table(spark, root, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     ranked = o.rank_values(t, "price_rank", ["o_custkey"], ["o_totalprice"], method="min")
     packed = ranked.withColumn("row", F.struct("o_orderkey", "o_totalprice", "price_rank"))
-    lists = agg.collect_lists(packed, ["o_custkey"], "row", "o_orderkey", name="rows").withColumns({
+    lists = agg.collect_lists(packed, ["o_custkey"], "row", "o_orderkey", name="rows", bounds_from=t).withColumns({
         n: F.col(f"rows.{n}") for n in ("o_orderkey", "o_totalprice", "price_rank")})
     return explode_lists(lists.drop("rows", "part"), "o_orderkey", "o_totalprice", "price_rank")
 

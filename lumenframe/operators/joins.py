@@ -9,12 +9,19 @@ from pyspark.sql import functions as F
 
 from .ordering import fill, join_back, with_order_bucket
 
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 10_000
+BROADCAST_BYTES = 64 << 20
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the frame has at most this many rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether the frame is within a number of rows and of text bytes.
+
+    Spark looks at a few partitions at a time and stops at the limit; only the sizes
+    of at most `rows` + 1 rows come back.
+    """
+    text = [F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)).cast("bigint") for c in df.columns]
+    found = df.select(reduce(lambda a, b: a + b, text).alias("size")).take(rows + 1)
+    return len(found) <= rows and sum(r["size"] for r in found) <= size
 
 
 def with_statistics(df: DataFrame, **aggregates: Column) -> DataFrame:

@@ -51,7 +51,7 @@ def pick_row(numbered: DataFrame, n: int, line: str = "line") -> DataFrame:
     if n <= 0:
         raise ValueError("row index must be positive")
     found = numbered.where(F.col(line) == n)
-    if found.limit(1).count() == 0:
+    if found.isEmpty():
         raise ValueError(f"row {n} was not found")
     return found
 

@@ -168,3 +168,10 @@ def test_ordered_scans_shuffle_rows_once(spark):
         p = made._jdf.queryExecution().executedPlan().toString()
         # Rows, per-bucket sums, their order along the key, and the join of the sums.
         assert p.count("Exchange hashpartitioning") <= 4
+
+
+def test_broadcast_sides_are_checked(spark):
+    assert joins.bounded(spark.range(10)) and not joins.bounded(spark.range(10), rows=9)
+    assert not joins.bounded(spark.range(3).select(F.repeat(F.lit("x"), 50).alias("t")), size=100)
+    a, b = spark.range(4).toDF("x"), spark.range(5).toDF("y")
+    assert joins.cross(a, b).count() == 20 and joins.join_where(a, b, F.col("x") > F.col("y")).count() == 6

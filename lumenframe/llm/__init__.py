@@ -4,7 +4,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-for _name in ("language_id", "decontaminate", "jaccard_join", "line_dedup", "bpe"):
+for _name in ("html_main", "language_id", "decontaminate", "jaccard_join", "secret_scan", "line_dedup", "chat_format", "bpe", "learned_index"):
     importlib.import_module(f"{__name__}.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -150,18 +150,18 @@ class Vocabulary(dict):
             start = found.start()
         yield text[start:] if start else text
 
+    def encode_plain(self, text: str) -> bytes:
+        """Ids of a text in which added tokens are ordinary text."""
+        words = self.words if latin(text) else self.exact_words
+        return b"".join(b"".join(map(self.__getitem__, words.findall(piece))) for piece in self.pieces(text))
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        out = []
-        for i, part in enumerate(self.specials.split(text) if self.specials else [text]):
-            if i % 2:
-                out.append(np.array([self.added[part]], "<u4").tobytes())
-            elif part:
-                words = self.words if latin(part) else self.exact_words
-                for piece in self.pieces(part):
-                    out.append(b"".join(map(self.__getitem__, words.findall(piece))))
-        return b"".join(out)
+        if not self.specials:
+            return self.encode_plain(text)
+        parts = self.specials.split(text)
+        return b"".join(np.array([self.added[p]], "<u4").tobytes() if i % 2 else self.encode_plain(p) for i, p in enumerate(parts))
 
     def decode(self, ids: bytes | None) -> str:
         lookup, known = self.lookup, np.frombuffer(ids or b"", "<u4")

@@ -11,7 +11,8 @@ No pairs within large groups, and no loss of links:
 - a set stays in the join only if enough of its smallest hashes occur in another set (the prefix lemma with l
   common elements; hashes are cut to 32 bits inside a bucket, which can only keep more);
 - lists are scanned in rounds: in each round a set scans one list (its smallest element under that round's
-  hash) against one holder, checked exactly; found links make components;
+  hash) against one holder, checked exactly; found links make components; further rounds take several holders of
+  other components;
 - last, lists of the rarest elements (prefix lemma) are scanned for pairs of different components. Sets that
   share too little with other components were left out by the same lemma before.
 
@@ -41,6 +42,7 @@ from .registry import query, read
 WORDS = 5
 SIMILARITY = (75, 100)
 ROUNDS = 3
+MORE_ROUNDS = 8
 BUCKET_HASHES = 4_000_000
 KEPT_WORDS = 400_000
 #: Odd factors of a word's place in its shingle.
@@ -146,8 +148,8 @@ def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_py(), kind) for x in column])
 
 
-def _shared(rows: pa.Table) -> pa.Table:
-    """Per owner: its elements in this bucket that another group holds too."""
+def _shared(rows: pa.Table, slots: int) -> pa.Table:
+    """By slot: owners and how many of their elements in this bucket another group holds too."""
     lengths = _joined(rows.column("lengths"), "<u4")
     names, first, code = np.unique(_joined(rows.column("owners"), "<i8"), return_index=True, return_inverse=True)
     group = _joined(rows.column("groups"), "<i8")[first]
@@ -158,12 +160,25 @@ def _shared(rows: pa.Table) -> pa.Table:
     of = group[code]
     several = np.minimum.reduceat(of, start) != np.maximum.reduceat(of, start)
     n = np.bincount(code[np.repeat(several, np.diff(np.append(start, len(h))))], minlength=len(names))
-    return pa.table({"name": pa.array(names[n > 0]), "n_shared": pa.array(n[n > 0].astype(np.int64))})
+    names, n = names[n > 0], n[n > 0]
+    slot = (mix(names.view(np.uint64), 5) % np.uint64(slots)).astype(np.int32)
+    order = np.argsort(slot, kind="stable")
+    names, n, slot = names[order], n[order].astype("<u4"), slot[order]
+    found, first = np.unique(slot, return_index=True)
+    cuts = list(zip(first, np.append(first[1:], len(slot))))
+    return pa.table({"slot": pa.array(found), "names": pa.array([names[x:y].tobytes() for x, y in cuts], pa.binary()), "counts": pa.array([n[x:y].tobytes() for x, y in cuts], pa.binary())})
 
 
-def shared_counts(packed: DataFrame) -> DataFrame:
+def _added(rows: pa.Table) -> pa.Table:
+    names, at = np.unique(_joined(rows.column("names"), "<i8"), return_inverse=True)
+    n = np.bincount(at, _joined(rows.column("counts"), "<u4"), len(names))
+    return pa.table({"name": pa.array(names), "n_shared": pa.array(n.astype(np.int64))})
+
+
+def shared_counts(packed: DataFrame, slots: int) -> DataFrame:
     """name, n_shared: an upper bound of the elements of the prefix that other groups hold."""
-    return packed.groupBy("bucket").applyInArrow(_shared, "name bigint, n_shared bigint").groupBy("name").agg(F.sum("n_shared").alias("n_shared"))
+    partial = packed.groupBy("bucket").applyInArrow(lambda t: _shared(t, slots), "slot int, names binary, counts binary")
+    return partial.groupBy("slot").applyInArrow(_added, "name bigint, n_shared bigint")
 
 
 def choose_boundary(sizes: dict[int, int], most: int = 16) -> int:
@@ -232,6 +247,25 @@ def round_links(sets: DataFrame, rounds: int) -> DataFrame:
     return _checked(pairs.select(F.col("id").alias("a"), F.col("head").alias("b"), F.col("hashes").alias("x"), "y")).distinct()
 
 
+def more_links(sets: DataFrame, rounds: int) -> DataFrame:
+    """sets: id, root, hashes. Further rounds, with several holders of each list, between different components only."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("hashes")]
+            for k in range(rounds):
+                keys = np.array([mix(h, 201 + k).min() if len(h) else 0 for h in hashes], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), pa.array(keys), batch.column("id"), batch.column("root")], ["round", "key", "id", "root"])
+
+    entries = sets.select("id", "root", "hashes").mapInArrow(run, "round int, key bigint, id bigint, root bigint")
+    at = F.struct("id", "root")
+    holders = F.array(F.min(at), *[F.min_by(at, F.xxhash64(F.lit(k), "round", "id")) for k in range(3)])
+    heads = (entries.groupBy("round", "key").agg(holders.alias("heads"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+             .where("r0 < r1").select("round", "key", F.explode(F.array_distinct("heads")).alias("head")))
+    pairs = entries.join(heads, ["round", "key"]).where(F.col("root") != F.col("head.root")).select(F.col("id").alias("a"), F.col("head.id").alias("b")).distinct()
+    x, y = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
+    return _checked(pairs.join(x, "a").join(y, "b")).distinct()
+
+
 def list_links(sets: DataFrame, boundary: int) -> DataFrame:
     """sets: id, n, root, hashes. Links between sets of different components that share a rare element of both."""
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +307,7 @@ def similar_documents(spark: SparkSession, docs: DataFrame, id_column: str = "do
             once = {k: s for k, s in zip(names, sets)}
             yield from _packed(list(once), list(once), list(once.values()), buckets)
 
-    counts = shared_counts(slim.where("id is not null").mapInArrow(pack_rows, PACKED))
+    counts = shared_counts(slim.where("id is not null").mapInArrow(pack_rows, PACKED), buckets)
     joining = store("joining", reps.join(counts, reps["low"] == counts["name"]).where(F.col("n_shared") >= needed_share(F.col("n"))).select(F.col("rep").alias("id")).distinct())
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,16 +319,24 @@ def similar_documents(spark: SparkSession, docs: DataFrame, id_column: str = "do
     boundary = choose_boundary(sizes)
     heavy = sets.where(F.col("n") * SIMILARITY[1] >= (boundary + 1) * SIMILARITY[0])
     links = store("links-light", light_links(sets, boundary)).unionByName(store("links-rounds", round_links(heavy, ROUNDS)))
-    found = components(spark, links)
-    rooted = store("rooted", heavy.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
 
     def pack_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from _packed(batch.column("id").to_pylist(), batch.column("root").to_pylist(), [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("hashes")], buckets)
 
-    crossing = rooted.join(shared_counts(rooted.select("id", "root", "hashes").mapInArrow(pack_roots, PACKED)), F.col("id") == F.col("name")).where(F.col("n_shared") >= needed_share(F.col("n")))
-    last = store("links-last", list_links(store("crossing", crossing.select("id", "n", "root", "hashes")), boundary))
-    final = components(spark, links.unionByName(last))
+    def crossing(left: DataFrame, links: DataFrame) -> DataFrame:
+        """Sets that share enough with sets of other components, with their root."""
+        roots = components(spark, links).withColumnRenamed("node", "id")
+        rooted = store("rooted", left.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+        counts = shared_counts(rooted.select("id", "root", "hashes").mapInArrow(pack_roots, PACKED), buckets)
+        kept = rooted.join(counts, F.col("id") == F.col("name")).where(F.col("n_shared") >= needed_share(F.col("n")))
+        return store("crossing", kept.select("id", "n", "root", "hashes"))
+
+    # A set left out here shares too little with other components, and components only grow.
+    first = crossing(heavy, links)
+    links = links.unionByName(store("links-more", more_links(first, MORE_ROUNDS)))
+    last = list_links(crossing(first.drop("root"), links), boundary)
+    final = components(spark, links.unionByName(store("links-last", last)))
     named = rows.join(reps.select("high", "low", "rep"), ["high", "low"], "left")
     named = named.withColumn("rep", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("rep")).otherwise(F.col("id")))
     done = named.join(final.withColumnRenamed("node", "rep"), "rep", "left")

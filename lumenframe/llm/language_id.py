@@ -217,15 +217,13 @@ def learn(labelled: DataFrame, order: int = ORDER, sample_rows: int = SAMPLE_ROW
                 codes, n = count_grams([t.encode() for t in part["text"]], order)
                 yield pd.DataFrame({"lang": lang, "code": codes.view(np.int64), "n": n})
 
+    languages = sorted(last)
+    grams = sample.select("lang", "text").mapInPandas(count, "lang string, code bigint, n bigint")
+    each = [F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{i}") for i, k in enumerate(languages)]
     # Bounded by the sample: the grams of at most `sample_rows` texts of each language.
-    found = sample.select("lang", "text").mapInPandas(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(found["lang"].unique())
-    if not languages:
-        return None
-    codes, at = np.unique(found["code"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
-    counts = np.zeros((len(codes), len(languages)))
-    counts[at, found["lang"].map({k: i for i, k in enumerate(languages)}).to_numpy()] = found["n"].to_numpy()
-    codes, counts = codes[counts.sum(axis=1) >= LEAST_COUNT], counts[counts.sum(axis=1) >= LEAST_COUNT]
+    found = grams.groupBy("code").agg(F.sum("n").alias("n"), *each).where(F.col("n") >= LEAST_COUNT).drop("n").toArrow()
+    codes = found.column("code").to_numpy().view(np.uint64)
+    counts = np.stack([found.column(f"n{i}").to_numpy() for i in range(len(languages))], axis=1)
     return ContextTrees(languages, order, codes, counts)
 
 

@@ -1,6 +1,6 @@
 """Approximate nearest neighbours with learned partitions.
 
-Fit, on at most `sample_rows` distinct vectors (those with the smallest hashes): the graph of each sampled vector's
+Fit, on at most 2 * `SAMPLE_PER_PART` distinct vectors for each of at most `MOST_PARTS` parts (those with the smallest hashes): the graph of each sampled vector's
 nearest neighbours is cut into balanced parts by repeated bisection at the median of its Fiedler vector, then a
 classifier with one hidden layer learns the parts of each vector's neighbours. Index: every vector goes to its most
 probable part. Search: a query goes to its most probable parts until they hold `mass` of its probability, at least
@@ -184,8 +184,8 @@ def nearest(spark: SparkSession, rows: DataFrame, queries: DataFrame, id_column:
     parts = 1
     while parts < MOST_PARTS and parts * PART_ROWS < n:
         parts *= 2
-    # Bounded: SAMPLE_PER_PART vectors for each of at most MOST_PARTS parts.
-    sample = np.array([r["v"] for r in classes.orderBy(F.xxhash64("h1", "h2"), "h1", "h2").limit(SAMPLE_PER_PART * parts * 2).select("v").collect()])
+    # Bounded: 2 * SAMPLE_PER_PART vectors for each of at most MOST_PARTS parts.
+    sample = _matrix(classes.orderBy(F.xxhash64("h1", "h2"), "h1", "h2").limit(SAMPLE_PER_PART * parts * 2).select("v").toArrow().column("v"))
     router = spark.sparkContext.broadcast(fit(sample, parts) if parts > 1 else None)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from ..selectors import numeric
 from .ordering import join_back, number_rows
 
-LIST_ROWS = 65_536
-
-
 def sum_or_zero(c: Column) -> Column:
     return F.coalesce(F.sum(c), F.lit(0))
 
@@ -29,25 +26,32 @@ def first_seen(df: DataFrame, keys: list[str], row_key: str, **aggregates: Colum
     return df.groupBy(*keys).agg(F.min(row_key).alias("first_row"), *[c.alias(n) for n, c in aggregates.items()])
 
 
+def list_positions(df: DataFrame, keys: list[str], order: str, tie: str | None = None, *, name: str = "position",
+                   bounds_from: DataFrame | None = None) -> DataFrame:
+    """The lists of groups in long form: each row with its place in the list of its key.
+
+    This form has no limit: the rows of a hot key stay spread over many tasks.
+    """
+    return number_rows(df, name, order, tie, keys, bounds_from=bounds_from)
+
+
 def collect_lists(df: DataFrame, keys: list[str], value: str, order: str, tie: str | None = None, *,
-                  name: str | None = None, rows: int = LIST_ROWS, bounds_from: DataFrame | None = None) -> DataFrame:
-    """The ordered values of each group as lists, nulls kept.
+                  name: str | None = None) -> DataFrame:
+    """The ordered values of each group as one list, nulls kept.
 
-    A group of more than `rows` values comes as several lists, numbered by `part`:
-    one cell cannot hold a group of any size. Joined in `part` order they are whole.
+    A list is one cell, so a group must fit one; `list_positions` is the form for groups
+    of any size. Values with equal order and tie come in the order of the values.
     """
-    numbered = number_rows(df, "_rn", order, tie, keys, bounds_from=bounds_from)
-    part = ((F.col("_rn") - 1) / rows).cast("bigint")
-    lists = numbered.groupBy(*keys, part.alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_rn").alias("n"), F.col(value).alias("v")))).alias("_l"))
-    return lists.select(*keys, "part", F.transform("_l", lambda x: x["v"]).alias(name or value))
+    at = [F.col(f"`{order}`").alias("o")] + ([F.col(f"`{tie}`").alias("t")] if tie else [])
+    lists = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[F.struct(c.isNull(), c).alias(f"k{i}") for i, c in enumerate(at)], F.col(f"`{value}`").alias("v")))).alias("_l"))
+    return lists.select(*keys, F.transform("_l", lambda x: x["v"]).alias(name or value))
 
 
 def lists_on_rows(df: DataFrame, keys: list[str], value: str, order: str, tie: str | None = None, *,
-                  name: str = "values", rows: int = LIST_ROWS) -> DataFrame:
+                  name: str = "values") -> DataFrame:
     """Each row with the list of its group: the size of the result is the sum of the
-    squared group sizes, by its meaning. Large groups come in numbered parts."""
-    return join_back(df, collect_lists(df, keys, value, order, tie, name=name, rows=rows), keys, "inner")
+    squared group sizes, by its meaning."""
+    return join_back(df, collect_lists(df, keys, value, order, tie, name=name), keys, "inner")
 
 
 def describe(df: DataFrame) -> DataFrame:

@@ -265,10 +265,10 @@ def records(blocks: DataFrame, root: str, library: str, alias: str, tags: list[T
         stats(c("code"), library, alias).alias("stats"), "code")
 
 
-def in_corpus_order(files: DataFrame) -> DataFrame:
-    """Files by path. Blocks and records of a file come out in line order, so sorting
-    the files first leaves all later steps in order and in parallel."""
-    return files.orderBy("path")
+def in_corpus_order(recs: DataFrame) -> DataFrame:
+    """Records by path, then place in their file, for a sink that asks for order. Records
+    are narrow beside the files they were cut from, which are never moved."""
+    return recs.orderBy("source.path", "source.snippet_ordinal")
 
 
 def summary(recs: DataFrame) -> DataFrame:

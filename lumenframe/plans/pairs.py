@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, strip
 from ..operators.reshape import settle
-from .requests import field, is_text, kind, spaced_json, text_of, turn
+from .requests import CODE_PROMPT, field, is_text, kind, spaced_json, text_of, turn
 
 ROLES = ["system", "user", "assistant"]
 MESSAGES = "array<struct<role:string,content:string>>"
 
 # System prompts for pairs with a schema; one per training stage.
-SFT_PROMPT = "Return only valid Python {library} code. No markdown fences. Assign the final {library} DataFrame to result. "
+SFT_PROMPT = CODE_PROMPT
 GRPO_PROMPT = (
     "Write your reasoning inside <reasoning>...</reasoning> and your final {library} code inside <answer>...</answer>. "
     "No markdown fences. Assign the final {library} DataFrame to result. "
@@ -51,15 +51,20 @@ def validated(records: DataFrame, json: str = "json") -> DataFrame:
     return out.withColumn("messages", F.when(F.col("error").isNull(), F.variant_get(v, "$.messages", MESSAGES)))
 
 
+def split_rows(valid: DataFrame, *keys: str) -> DataFrame:
+    """Both training sets in one pass: `messages`, and `prompt` with `answer`."""
+    m = F.col("messages")
+    return valid.where("error is null").select(
+        *keys, "messages", F.slice(m, F.lit(1), F.size(m) - 1).alias("prompt"), strip(F.element_at(m, -1)["content"]).alias("answer"))
+
+
 def sft_rows(valid: DataFrame, *keys: str) -> DataFrame:
     return valid.where("error is null").select(*keys, "messages")
 
 
 def grpo_rows(valid: DataFrame, *keys: str) -> DataFrame:
     """All messages but the last, and the last one's text as the answer."""
-    m = F.col("messages")
-    return valid.where("error is null").select(
-        *keys, F.slice(m, F.lit(1), F.size(m) - 1).alias("prompt"), strip(F.element_at(m, -1)["content"]).alias("answer"))
+    return split_rows(valid, *keys).drop("messages")
 
 
 def rejects(valid: DataFrame, *keys: str) -> DataFrame:
@@ -99,30 +104,33 @@ def schema_pair_error(record: Column) -> Column:
     return F.coalesce(*tests)
 
 
-def contract_errors(record: Column) -> Column:
-    """Number of contract errors of a record; 0 where the path is missing."""
-    listed = F.variant_get(record, "$.validation.contract_errors", "variant")
-    items = F.when(kind(listed).startswith("ARRAY"), F.variant_get(record, "$.validation.contract_errors", "array<variant>"))
-    return F.coalesce(F.size(items), F.lit(0))
+def has_contract_errors(record: Column) -> Column:
+    """Whether a record reports contract errors: any value but nothing, null, false, 0, and an empty text, list or object."""
+    path = "$.validation.contract_errors"
+    said = F.variant_get(record, path, "variant")
+    shown = F.to_json(said)
+    return F.coalesce(~shown.isin("null", "false", "0", "0.0", "-0.0", '""', "[]", "{}"), F.lit(False))
 
 
 def schema_pairs(records: DataFrame, text: str, library: str, *, json: str = "json", keep_invalid: bool = False) -> DataFrame:
-    """Add `error`, `sft` messages, `grpo` prompt and `answer`.
+    """Add `error`, `fault`, `sft` messages, `grpo` prompt and `answer`.
 
-    `text` is the raw line: the schema is shown in its own key order.
+    `text` is the raw line: the schema is shown in its own key order. `fault` leaves
+    contract errors out of account.
     """
     v = F.col(json)
     known = F.col("error") if "error" in records.columns else F.lit(None).cast("string")
-    error = F.coalesce(known, schema_pair_error(v))
+    fault = F.coalesce(known, schema_pair_error(v))
+    error = F.col("fault")
     if not keep_invalid:
-        error = F.coalesce(error, F.when(contract_errors(v) > 0, F.lit("contract errors")))
+        error = F.coalesce(error, F.when(has_contract_errors(v), F.lit("contract errors")))
     segment = F.coalesce(F.variant_get(v, "$.segment_id", "string"), F.concat(F.lit("line-"), F.col("line").cast("string")))
     schema = spaced_json(F.get_json_object(F.col(text), "$.schema"))
     user = turn("user", strip(text_of(v, "question")))
     answer = strip(text_of(v, "answer"))
     system = lambda prompt: turn("system", F.concat(F.lit(prompt.format(library=library) + "Available schema: "), schema))
     ok = F.col("error").isNull()
-    return (settle(records, error=error).withColumn("segment_id", segment)
+    return (settle(settle(records, fault=fault), error=error).withColumn("segment_id", segment)
             .withColumn("sft", F.when(ok, F.array(system(SFT_PROMPT), user, turn("assistant", answer))))
             .withColumn("grpo", F.when(ok, F.array(system(GRPO_PROMPT), user)))
             .withColumn("answer", F.when(ok, answer)))

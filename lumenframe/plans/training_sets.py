@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +26,44 @@ GOLD_PROMPT = (
 DEPTH = 3
 
 
-def content_to_text(v: Column, depth: int = DEPTH) -> Column:
+def content_to_text(v: Column) -> Column:
     """Message content as text: a text, an object with `text` or `content`, or a list of
-    parts joined by line breaks. Null where objects nest deeper than `depth`."""
+    parts joined by line breaks, at any depth. Columns of texts pass through.
+
+    Up to `DEPTH` levels are one native expression; deeper content goes on as JSON to
+    an Arrow function, which gets a null for all other rows.
+    """
+    shallow = _content(v, DEPTH)
+    return F.coalesce(shallow, _deep_content(F.when(shallow.isNull(), F.to_json(v))))
+
+
+@F.pandas_udf("string")
+def _deep_content(values: pd.Series) -> pd.Series:
+    return values.map(lambda x: None if x is None else _content_of(json.loads(x)))
+
+
+def _content_of(value) -> str:
+    while isinstance(value, dict) and ("text" in value or "content" in value):
+        value = value["text"] if "text" in value else value["content"]
+    if value is None or isinstance(value, str):
+        return value or ""
+    if not isinstance(value, list):
+        return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    parts = [x if isinstance(x, str) else _part_of(x) for x in value]
+    return "\n".join(p for p in parts if p).strip()
+
+
+def _part_of(item) -> str:
+    if not isinstance(item, dict):
+        return ""
+    if item.get("type") == "text":
+        text = item.get("text", "")
+        return text if isinstance(text, str) else json.dumps(text, ensure_ascii=False, separators=(",", ":"))
+    return _content_of(item["content"]) if "content" in item else ""
+
+
+def _content(v: Column, depth: int) -> Column:
+    """`content_to_text` of at most `depth` levels, null below."""
     k = kind(v)
     other = F.when(k.isNull() | (k == "VOID"), F.lit("")).when(k == "STRING", F.variant_get(v, "$", "string"))
     shown = F.variant_get(v, "$", "string")
@@ -40,14 +78,14 @@ def content_to_text(v: Column, depth: int = DEPTH) -> Column:
         return (F.when(ik == "STRING", F.variant_get(item, "$", "string"))
                 .when(~ik.startswith("OBJECT"), F.lit(""))
                 .when(typed, F.coalesce(F.variant_get(item, "$.text", "string"), F.lit("")))
-                .when(inner.isNotNull(), content_to_text(inner, depth - 1)).otherwise(F.lit("")))
+                .when(inner.isNotNull(), _content(inner, depth - 1)).otherwise(F.lit("")))
 
     items = F.when(k.startswith("ARRAY"), F.variant_get(v, "$", "array<variant>"))
     parts = F.transform(items, part)
     joined = F.when(F.exists(parts, lambda p: p.isNull()), F.lit(None)).otherwise(
         strip(F.array_join(F.filter(parts, lambda p: p != ""), "\n")))
-    return (other.when(k.startswith("OBJECT") & text.isNotNull(), content_to_text(text, depth - 1))
-            .when(k.startswith("OBJECT") & content.isNotNull(), content_to_text(content, depth - 1))
+    return (other.when(k.startswith("OBJECT") & text.isNotNull(), _content(text, depth - 1))
+            .when(k.startswith("OBJECT") & content.isNotNull(), _content(content, depth - 1))
             .when(k.startswith("OBJECT"), F.to_json(v))
             .when(k.startswith("ARRAY"), joined).otherwise(shown))
 
@@ -135,12 +173,11 @@ def gold_error(answer: Column) -> Column:
             .when(has_thoughts(answer), F.lit("reasoning in the gold answer")))
 
 
-def longest_prompt_words(df: DataFrame, text: str, order: str, sample: int, context: int) -> DataFrame:
-    """Most words in the first `sample` rows, and the room left for an answer. Counts
-    words, not model tokens; fewer than 32 left is an error."""
-    first = df.orderBy(order).limit(sample)
+def longest_prompt_words(df: DataFrame, text: str, context: int) -> DataFrame:
+    """Most words of any row, and the room left for an answer. Counts words, not model
+    tokens; fewer than 32 left is an error."""
     words = F.size(F.filter(F.split(F.col(text), r"(?U)\s+"), lambda w: w != ""))
-    most = first.agg(F.coalesce(F.max(words), F.lit(0)).cast("bigint").alias("max_words"))
+    most = df.agg(F.coalesce(F.max(words), F.lit(0)).cast("bigint").alias("max_words"))
     left = F.lit(context) - F.col("max_words") - 1
     return most.withColumn("room", F.when(left >= 32, left).otherwise(
         F.raise_error(F.lit("prompts leave fewer than 32 words for an answer")).cast("bigint")))

@@ -35,17 +35,19 @@ def _files(spark, root):
 
 
 @query("corpus_scan", """
-SELECT bucket, sha1(string_agg(text, chr(10) ORDER BY doc_id) || chr(10)) AS sha1 FROM (
-  SELECT doc_id // 50 AS bucket, doc_id, text FROM documents) GROUP BY 1""")
+SELECT 'a bucket=' || (number % 4) || '/part' AS path, sha1(string_agg(text, chr(10) ORDER BY doc_id) || chr(10)) AS sha1 FROM (
+  SELECT doc_id // 50 AS number, doc_id, text FROM documents) GROUP BY number""")
 def corpus_scan(spark, root):
-    # Source files of at most 50 documents each.
-    d = table(spark, root, "documents", "doc_id").groupBy(F.floor(F.col("doc_id") / 50).alias("bucket")).agg(
+    # Source files of at most 50 documents each, in four folders below a root with a blank and a percent sign.
+    number = F.floor(F.col("doc_id") / 50)
+    d = table(spark, root, "documents", "doc_id").groupBy(number.alias("number")).agg(
         F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("l"))
-    folder = scratch_dir(spark, "tree")
-    d.select("bucket", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("value")).write.partitionBy("bucket").text(folder)
+    folder = scratch_dir(spark, "source tree 5%")
+    made = d.select((F.col("number") % 4).alias("a bucket"), F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("value"))
+    made.write.option("maxRecordsPerFile", 1).partitionBy("a bucket").text(folder)
     found = scan_sources(spark, folder)
-    return found.select(F.regexp_extract("path", r"^bucket=(\d+)/", 1).cast("bigint").alias("bucket"),
-                        F.sha1(F.encode("text", "UTF-8")).alias("sha1"))
+    # The writer's own part of a file name is left out of the comparison.
+    return found.select(F.regexp_replace("path", "/part-[^/]*$", "/part").alias("path"), F.sha1(F.encode("text", "UTF-8")).alias("sha1"))
 
 
 BLOCKS_SQL = f"""
@@ -192,7 +194,7 @@ SELECT path || '#' || name AS id, language, category, subs AS subcategories, nam
   {STATS.format('code')}
 FROM (SELECT *, list_concat([category], subs, [stem, name, role, language], ops) AS v FROM r)""")
 def snippet_record(spark, root):
-    recs = c.records(c.segments(c.in_corpus_order(_files(spark, root))), "corpus", "numpy", "np", PROSE)
+    recs = c.records(c.segments(_files(spark, root)), "corpus", "numpy", "np", PROSE)
     return recs.select(
         "id", "language", "source.category", "source.subcategories", "source.snippet_name", "source.snippet_ordinal", "source.sha1",
         "metadata.snippet.role", "metadata.path.context_label", "metadata.snippet.title", "metadata.inferred.operations",

@@ -100,7 +100,7 @@ SELECT c_custkey % 5 AS piece, c_mktsegment, count(*) AS customers, CAST(round(s
 FROM customer GROUP BY 1, 2""")
 def per_file_query(spark, root):
     scan = files.scan_csv(spark, f"{_customer_in_five(spark, root)}/piece=*/*.csv", schema=CUSTOMER_DDL)
-    piece = F.regexp_extract(F.col("_metadata.file_path"), r"piece=(\d+)/", 1).cast("bigint")
+    piece = F.regexp_extract(files.plain_path(F.col("_metadata.file_path")), r"piece=(\d+)/", 1).cast("bigint")
     return scan.groupBy(piece.alias("piece"), "c_mktsegment").agg(
         F.count(F.lit(1)).alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
@@ -139,11 +139,11 @@ def write_json(spark, root):
     return files.scan_json(spark, folder, "event_id bigint, value double, event_type string")
 
 
-@query("scan_file_paths")
+@query("scan_file_paths", "SELECT DISTINCT 'o_orderstatus=' || o_orderstatus AS folder, true AS filled FROM orders")
 def scan_file_paths(spark, root):
     folder = _orders_by_status(spark, root)
-    return files.file_list(spark, folder).select(
-        F.regexp_extract("path", "(o_orderstatus=[^/]+)/", 1).alias("folder"), (F.col("length") > 0).alias("filled"))
+    found = files.file_list(spark, folder).select(files.relative_path(spark, folder, F.col("path")).alias("path"), "length")
+    return found.where(F.col("path").contains("/part-")).groupBy(F.substring_index("path", "/", 1).alias("folder")).agg((F.min("length") > 0).alias("filled"))
 
 
 @query("load_dataset_any", """
@@ -196,16 +196,16 @@ def jsonl_parse_numbered(spark, root):
 
 
 @query("csv_row_pick", """
-SELECT c_custkey, 'c_acctbal=' || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE CAST(c_custkey % 100 AS VARCHAR) END
+SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS row_number, 'c_acctbal=' || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE CAST(c_custkey % 100 AS VARCHAR) END
   || ';c_custkey=' || CAST(c_custkey AS VARCHAR) || ';c_name=' || c_name AS row_text FROM customer""")
 def csv_row_pick(spark, root):
     rows = table(spark, root, "customer").select(
         "c_custkey", "c_name", F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey") % 100).alias("c_acctbal"))
-    folder = files.write_csv(rows, scratch_dir(spark, "pick"))
+    folder = files.write_csv(rows.orderBy("c_custkey").coalesce(1), scratch_dir(spark, "pick"))
     scan = files.scan_csv(spark, folder, schema="c_custkey bigint, c_name string, c_acctbal bigint")
     entries = F.array_sort(F.transform(F.map_entries("row"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
-    return lines.with_row_numbers(scan).select("c_custkey", row_map(scan).alias("row")).select(
-        "c_custkey", F.array_join(entries, ";").alias("row_text"))
+    return lines.with_row_numbers(scan).select("c_custkey", F.col("line").alias("row_number"), row_map(scan).alias("row")).select(
+        "c_custkey", "row_number", F.array_join(entries, ";").alias("row_text"))
 
 
 @query("text_encoding_fallback", "SELECT doc_id, text FROM documents")

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from ..plans import pairs as p
 from ..plans import requests as r
 from ..plans.context import TASK, json_text
-from ..session import scratch_dir, table
-from ..sources.files import write_parquet
+from ..session import table
 from ..sources.lines import first_error, parse_lines
 from .registry import query
 
@@ -17,11 +16,6 @@ def say(*parts):
     return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
 
 
-def _stored(spark, lines):
-    """The made lines as a written table: jobs hand records over by files."""
-    return spark.read.parquet(write_parquet(lines, scratch_dir(spark, "records")))
-
-
 # One record per turn. Kind n % 17 says what is wrong with it, if anything.
 KIND = "(conv_id * 31 + turn) % 17"
 
@@ -39,7 +33,7 @@ def _chat_lines(spark, root):
             .when(k == 5, F.substring(full, F.lit(1), F.char_length(full) - 2))
             .when(k == 6, say('{"messages": [', ask, ', {"role": "assistant", "content": " \\n "}]}')).otherwise(full))
     # The record number stands for the line number.
-    return parse_lines(_stored(spark, table(spark, root, "conversations").select(n.alias("line"), line.alias("value"))))
+    return parse_lines(table(spark, root, "conversations").select(n.alias("line"), line.alias("value")))
 
 
 ERROR_SQL = f"""CASE {KIND} WHEN 0 THEN 'missing ''messages'' field' WHEN 1 THEN '''messages'' must be a non-empty list' WHEN 2 THEN 'messages[1] must be an object'
@@ -66,10 +60,9 @@ def pairs_validate_turns(spark, root):
 SELECT line, 'turn ' || turn AS question, CAST(2 AS INTEGER) AS sft_size, text AS sft_last, CAST(1 AS INTEGER) AS prompt_size,
   regexp_replace(regexp_replace(text, '^[\s\pZ]+', ''), '[\s\pZ]+$', '') AS answer FROM c WHERE error IS NULL""")
 def pairs_split(spark, root):
-    valid = p.validated(_chat_lines(spark, root))
-    sft = p.sft_rows(valid, "line").select("line", F.size("messages").alias("sft_size"), F.element_at("messages", -1)["content"].alias("sft_last"))
-    grpo = p.grpo_rows(valid, "line").select("line", F.get("prompt", F.lit(0))["content"].alias("question"), F.size("prompt").alias("prompt_size"), "answer")
-    return sft.join(grpo, "line")
+    both = p.split_rows(p.validated(_chat_lines(spark, root)), "line")
+    return both.select("line", F.get("prompt", F.lit(0))["content"].alias("question"), F.size("messages").alias("sft_size"),
+                       F.element_at("messages", -1)["content"].alias("sft_last"), F.size("prompt").alias("prompt_size"), "answer")
 
 
 @query("pairs_rejects", f"""{CHAT_SQL}
@@ -134,7 +127,7 @@ def _schema_lines(spark, root):
             .when(k == 4, full(ask, F.lit('{"a":1}'), text))
             .when(k == 5, full(ask, schema, text, ',"validation":{"contract_errors":["no result"]}'))
             .when(k == 6, full(ask, schema, text, ',"validation":{"contract_errors":[]},"segment_id":"own"')).otherwise(full(ask, schema, text)))
-    return parse_lines(_stored(spark, table(spark, root, "documents", "doc_id").select(F.col("doc_id").alias("line"), line.alias("value"))))
+    return parse_lines(table(spark, root, "documents", "doc_id").select(F.col("doc_id").alias("line"), line.alias("value")))
 
 
 SCHEMA_ERROR = """CASE doc_id % 11 WHEN 0 THEN 'missing ''question'' field' WHEN 1 THEN 'missing ''schema'' field' WHEN 2 THEN '''question'' must be a non-empty string'
@@ -151,9 +144,7 @@ def schema_pairs_validate(spark, root):
 SELECT doc_id AS line, CASE WHEN doc_id % 11 = 6 THEN 'own' ELSE 'line-' || doc_id END AS segment_id,
   coalesce({SCHEMA_ERROR}, CASE WHEN doc_id % 11 = 5 THEN 'contract errors' END) AS error, {SCHEMA_ERROR} AS error_kept FROM documents""")
 def contract_filter(spark, root):
-    lines = _schema_lines(spark, root)
-    kept = p.schema_pairs(lines, "value", LIBRARY, keep_invalid=True).select("line", F.col("error").alias("error_kept"))
-    return p.schema_pairs(lines, "value", LIBRARY).select("line", "segment_id", "error").join(kept, "line")
+    return p.schema_pairs(_schema_lines(spark, root), "value", LIBRARY).select("line", "segment_id", "error", F.col("fault").alias("error_kept"))
 
 
 STRIPPED = r"regexp_replace(regexp_replace(text, '^[\s\pZ]+', ''), '[\s\pZ]+$', '')"
@@ -170,9 +161,10 @@ def schema_prompt(spark, root):
 
 
 @query("merge_sets", f"""{CHAT_SQL}
-SELECT 0 AS source_rank, count(*) AS n, CAST(sum(3) AS BIGINT) AS messages FROM documents WHERE ({SCHEMA_ERROR}) IS NULL AND doc_id % 11 <> 5
-UNION ALL SELECT 1, count(*), CAST(sum(2) AS BIGINT) FROM c WHERE error IS NULL""")
+SELECT 0 AS source_rank, CAST(3 AS INTEGER) AS size, 'how many rows?' AS question, {STRIPPED} AS answer FROM documents WHERE ({SCHEMA_ERROR}) IS NULL AND doc_id % 11 <> 5
+UNION ALL SELECT 1, 2, 'turn ' || turn, text FROM c WHERE error IS NULL""")
 def merge_sets(spark, root):
     schema = p.schema_pairs(_schema_lines(spark, root), "value", LIBRARY).where("error IS NULL").select(F.col("sft").alias("messages"))
     both = p.merged(schema, p.sft_rows(p.validated(_chat_lines(spark, root))))
-    return both.groupBy("source_rank").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("messages")).alias("messages"))
+    m = F.col("messages")
+    return both.select("source_rank", F.size(m).alias("size"), F.element_at(m, -2)["content"].alias("question"), F.element_at(m, -1)["content"].alias("answer"))

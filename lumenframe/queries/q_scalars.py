@@ -274,13 +274,15 @@ def arr_contains(spark, root):
     return table(spark, root, "part").select("p_partkey", F.array_contains(words(F.col("p_name")), "ring").alias("has_ring"))
 
 
+VECTOR_SIZE = 64
+
+
 @query("fixed_array_check", """
 SELECT vec_id, CAST(len(embedding) AS INTEGER) AS n, embedding[1] AS first, [[embedding[1], embedding[2]], [embedding[3], embedding[4]]] AS square FROM embeddings""")
 def fixed_array_check(spark, root):
     e = table(spark, root, "embeddings")
-    # The declared size is that of the first row; any other size is an error.
-    size = len(e.select("embedding").first()["embedding"])
-    v = n.fixed_size(F.col("embedding"), size)
+    # Any other size than the declared one is an error.
+    v = n.fixed_size(F.col("embedding"), VECTOR_SIZE)
     at = lambda i: F.get(v, F.lit(i))
     square = n.fixed_size(F.array(F.array(at(0), at(1)), F.array(at(2), at(3))), 2)
     return e.select("vec_id", F.size(v).alias("n"), at(0).alias("first"), square.alias("square"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -11,9 +13,9 @@ from ..streaming.bounded import run_once
 from .registry import query
 
 
-def _view(spark, root, *names):
-    for name in names:
-        table(spark, root, name).createOrReplaceTempView(name)
+def _sql(spark, root, text, *names):
+    """Run SQL in which {name} stands for a table; no view is left behind."""
+    return spark.sql(text, **{name: table(spark, root, name) for name in names})
 
 
 @query("sql_register", """
@@ -21,41 +23,39 @@ SELECT c_mktsegment, m.rank, count(*) AS n FROM customer JOIN (VALUES ('BUILDING
 ON c_mktsegment = m.seg GROUP BY ALL""")
 def sql_register(spark, root):
     ranks = spark.createDataFrame(pd.DataFrame({"seg": ["BUILDING", "MACHINERY", "HOUSEHOLD"], "rank": [1, 2, 3]}), "seg string, rank int")
-    for name, frame in {"buyers": table(spark, root, "customer"), "ranks": ranks}.items():
-        frame.createOrReplaceTempView(name)
-    return spark.sql("SELECT c_mktsegment, rank, count(*) AS n FROM buyers JOIN ranks ON c_mktsegment = seg GROUP BY ALL")
+    return spark.sql("SELECT c_mktsegment, rank, count(*) AS n FROM {buyers} JOIN {ranks} ON c_mktsegment = seg GROUP BY ALL",
+                     buyers=table(spark, root, "customer"), ranks=ranks)
 
 
 @query("sql_select_limit", "SELECT * FROM part ORDER BY p_partkey LIMIT 5")
 def sql_select_limit(spark, root):
-    _view(spark, root, "part")
-    return spark.sql("SELECT * FROM part ORDER BY p_partkey LIMIT 5")
+    return _sql(spark, root, "SELECT * FROM {part} ORDER BY p_partkey LIMIT 5", "part")
 
 
 @query("sql_group_by", "SELECT c_nationkey, round(avg(c_acctbal), 4) AS avg_balance FROM customer GROUP BY c_nationkey")
 def sql_group_by(spark, root):
-    _view(spark, root, "customer")
-    return spark.sql("SELECT c_nationkey, round(avg(c_acctbal), 4) AS avg_balance FROM customer GROUP BY c_nationkey")
+    return _sql(spark, root, "SELECT c_nationkey, round(avg(c_acctbal), 4) AS avg_balance FROM {customer} GROUP BY c_nationkey", "customer")
 
 
 @query("sql_order_by", "SELECT s_name, s_acctbal FROM supplier ORDER BY s_acctbal DESC NULLS LAST, s_name")
 def sql_order_by(spark, root):
-    _view(spark, root, "supplier")
-    return spark.sql("SELECT s_name, s_acctbal FROM supplier ORDER BY s_acctbal DESC NULLS LAST, s_name")
+    return _sql(spark, root, "SELECT s_name, s_acctbal FROM {supplier} ORDER BY s_acctbal DESC NULLS LAST, s_name", "supplier")
 
 
 @query("sql_function", "SELECT p_partkey, p_name FROM part WHERE starts_with(p_type, 'S')")
 def sql_function(spark, root):
-    _view(spark, root, "part")
-    return spark.sql("SELECT p_partkey, p_name FROM part WHERE startswith(p_type, 'S')")
+    return _sql(spark, root, "SELECT p_partkey, p_name FROM {part} WHERE startswith(p_type, 'S')", "part")
 
 
 @query("sql_table_function", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 0")
 def sql_table_function(spark, root):
     folder = write_csv(table(spark, root, "customer"), scratch_dir(spark, "customer"))
-    spark.sql("CREATE OR REPLACE TEMP VIEW customer_csv (c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
+    name = f"customer_csv_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TEMP VIEW {name} (c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
               f"c_mktsegment STRING) USING csv OPTIONS (path '{folder}', header 'true')")
-    return spark.sql("SELECT c_custkey, c_name, c_acctbal FROM customer_csv WHERE c_acctbal > 0")
+    found = spark.sql(f"SELECT c_custkey, c_name, c_acctbal FROM {name} WHERE c_acctbal > 0")
+    spark.catalog.dropTempView(name)
+    return found
 
 
 CTE = """
@@ -65,22 +65,17 @@ SELECT o_custkey, count(*) AS n, max(o_totalprice) AS top FROM big GROUP BY o_cu
 
 @query("sql_cte", CTE)
 def sql_cte(spark, root):
-    _view(spark, root, "orders")
-    return spark.sql(CTE)
+    return _sql(spark, root, CTE.replace("FROM orders", "FROM {orders}"), "orders")
 
 
 @query("sql_ctas", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
 def sql_ctas(spark, root):
-    _view(spark, root, "orders")
-    # A temporary view stands for the new table; saveAsTable makes a lasting one.
-    spark.sql("CREATE OR REPLACE TEMP VIEW closed_orders AS SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
-    return spark.sql("SELECT * FROM closed_orders")
-
-
-@query("sql_show_tables")
-def sql_show_tables(spark, root):
-    _view(spark, root, "orders", "customer", "nation")
-    return spark.sql("SHOW TABLES").select(F.col("tableName").alias("name"))
+    folder, name = scratch_dir(spark, "closed-orders"), f"closed_orders_{uuid.uuid4().hex}"
+    _sql(spark, root, f"CREATE TABLE {name} USING parquet LOCATION '{folder}' AS SELECT o_orderkey, o_totalprice FROM {{orders}} WHERE o_orderstatus = 'F'", "orders")
+    stored = spark.read.parquet(folder)
+    # The files stay at the location; the name goes, so that nothing depends on earlier queries.
+    spark.sql(f"DROP TABLE {name}")
+    return stored
 
 
 @query("lazy_filter_group", """
@@ -109,5 +104,5 @@ def collect_all_shared(spark, root):
 SELECT event_type, count(*) AS n, round(avg(value), 6) AS avg_value FROM events WHERE value > 5 GROUP BY 1""")
 def bounded_stream(spark, root):
     schema = table(spark, root, "events").schema
-    return run_once(spark, root, "events.parquet", schema, lambda e: e.where("value > 5").groupBy("event_type").agg(
+    return run_once(spark, f"{root}/events.parquet", schema, lambda e: e.where("value > 5").groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("avg_value")))

@@ -18,7 +18,7 @@ STRIP = lambda c: rf"regexp_replace(regexp_replace({c}, '^{BLANKS}+', ''), '{BLA
 
 @query("content_to_text", f"""
 SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN text WHEN 1 THEN text WHEN 2 THEN text
-  WHEN 3 THEN {STRIP("CASE WHEN text = '' THEN 'more' ELSE text || chr(10) || 'more' END")} WHEN 4 THEN '' WHEN 5 THEN '{{"x":1}}' WHEN 6 THEN '12' ELSE NULL END AS text FROM documents""")
+  WHEN 3 THEN {STRIP("CASE WHEN text = '' THEN 'more' ELSE text || chr(10) || 'more' END")} WHEN 4 THEN '' WHEN 5 THEN '{{"x":1}}' WHEN 6 THEN '12' ELSE text END AS text FROM documents""")
 def content_to_text(spark, root):
     k, text = F.col("doc_id") % 8, json_text(F.col("text"))
     json = (F.when(k == 0, text).when(k == 1, say('{"text": ', text, "}")).when(k == 2, say('{"content": {"text": ', text, "}}"))
@@ -120,6 +120,6 @@ def gold_validate(spark, root):
 @query("token_length_estimate", f"""
 SELECT CAST(max(len(list_filter(regexp_split_to_array(text, '{BLANKS}+'), lambda w: w <> ''))) AS BIGINT) AS max_words,
   CAST(100000 - max(len(list_filter(regexp_split_to_array(text, '{BLANKS}+'), lambda w: w <> ''))) - 1 AS BIGINT) AS room
-FROM (SELECT text FROM documents ORDER BY doc_id LIMIT 500)""")
+FROM documents""")
 def token_length_estimate(spark, root):
-    return ts.longest_prompt_words(table(spark, root, "documents", "doc_id"), "text", "doc_id", 500, 100_000)
+    return ts.longest_prompt_words(table(spark, root, "documents", "doc_id"), "text", 100_000)

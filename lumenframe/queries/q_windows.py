@@ -25,9 +25,9 @@ def rank_agg_explode(spark, root):
     t = table(spark, root, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     ranked = o.rank_values(t, "price_rank", ["o_custkey"], ["o_totalprice"], method="min")
     packed = ranked.withColumn("row", F.struct("o_orderkey", "o_totalprice", "price_rank"))
-    lists = agg.collect_lists(packed, ["o_custkey"], "row", "o_orderkey", name="rows", bounds_from=t).withColumns({
+    lists = agg.collect_lists(packed, ["o_custkey"], "row", "o_orderkey", name="rows").withColumns({
         n: F.col(f"rows.{n}") for n in ("o_orderkey", "o_totalprice", "price_rank")})
-    return explode_lists(lists.drop("rows", "part"), "o_orderkey", "o_totalprice", "price_rank")
+    return explode_lists(lists.drop("rows"), "o_orderkey", "o_totalprice", "price_rank")
 
 
 @query("struct_rank", """
@@ -73,10 +73,8 @@ def window_explode(spark, root):
 
 
 @query("window_join", """
-SELECT o_orderkey, o_custkey, part, totals FROM orders JOIN (
-  SELECT o_custkey, CAST((rn - 1) // 65536 AS BIGINT) AS part, list(o_totalprice ORDER BY rn) AS totals FROM (
-    SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS rn FROM orders) GROUP BY ALL)
-USING (o_custkey)""")
+SELECT o_orderkey, o_custkey, totals FROM orders JOIN (
+  SELECT o_custkey, list(o_totalprice ORDER BY o_totalprice, o_orderkey) AS totals FROM orders GROUP BY 1) USING (o_custkey)""")
 def window_join(spark, root):
     t = table(spark, root, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return agg.lists_on_rows(t, ["o_custkey"], "o_totalprice", "o_totalprice", "o_orderkey", name="totals").drop("o_totalprice")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,7 +73,7 @@ def write_jsonl(df: DataFrame, path: str) -> str:
 def file_list(spark: SparkSession, root: str) -> DataFrame:
     """All files below a folder; contents are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return found.select("path", "length").orderBy("path")
+    return found.select(plain_path(F.col("path")).alias("path"), "length").orderBy("path")
 
 
 def scan_any(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -91,10 +91,21 @@ def scan_any(spark: SparkSession, path: str, schema: T.StructType | str | None =
 def scan_sources(spark: SparkSession, root: str) -> DataFrame:
     """Every file below a folder as one row: path relative to the folder, and text."""
     found = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
-    full = F.col("_metadata.file_path")
-    return found.select(F.regexp_replace(full, "^.*" + _quoted(root.rstrip("/")) + "/", "").alias("path"),
-                        F.col("value").alias("text"))
+    return found.select(relative_path(spark, root, F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
 
 
-def _quoted(text: str) -> str:
-    return "\\Q" + text + "\\E"
+def plain_path(path: Column) -> Column:
+    """A file's address without percent encoding (a plus sign stands for itself)."""
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^file:/+", "file:/")
+
+
+def relative_path(spark: SparkSession, root: str, path: Column) -> Column:
+    """The part of a file's address below a folder; an address outside it is an error."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    folder = jvm.Path(root)
+    full = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/") + "/"
+    shown = plain_path(path)
+    start = F.regexp_replace(F.lit(full), "^file:/+", "file:/")
+    below = F.substring(shown, F.char_length(start) + 1, F.lit(2_147_483_647))
+    return F.when(F.startswith(shown, start), below).otherwise(F.raise_error(F.concat(F.lit("not below the folder: "), shown)))

@@ -11,15 +11,14 @@ from pyspark.sql import types as T
 from ..session import scratch_dir
 
 
-def run_once(spark: SparkSession, folder: str, glob: str, schema: T.StructType,
-             aggregate: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Read all files now in the folder as a stream, aggregate, and return the result.
+def run_once(spark: SparkSession, path: str, schema: T.StructType, aggregate: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Read all files now at the path (a folder, a file or a pattern) as a stream, aggregate, and return the result.
 
     State is one row per group. Each micro-batch writes the complete result into its
     own folder, so a batch run again after a failure replaces itself; the newest
     batch folder is the answer.
     """
-    source = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+    source = spark.readStream.schema(schema).parquet(path)
     out = scratch_dir(spark, "stream")
     newest: list[int] = []
 
@@ -30,4 +29,6 @@ def run_once(spark: SparkSession, folder: str, glob: str, schema: T.StructType,
     run = (aggregate(source).writeStream.outputMode("complete").queryName(f"bounded_{uuid.uuid4().hex[:8]}")
            .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start())
     run.awaitTermination()
+    if not newest:  # no file: the aggregate of nothing
+        return aggregate(spark.createDataFrame([], schema))
     return spark.read.parquet(f"{out}/result/batch={max(newest)}")

@@ -34,10 +34,9 @@ def content_to_text(v: Column) -> Column:
     an Arrow function, which gets a null for all other rows.
     """
     shallow = _content(v, DEPTH)
-    return F.coalesce(shallow, _deep_content(F.when(shallow.isNull(), F.to_json(v))))
+    return F.coalesce(shallow, F.pandas_udf(_deep_content, "string")(F.when(shallow.isNull(), F.to_json(v))))
 
 
-@F.pandas_udf("string")
 def _deep_content(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else _content_of(json.loads(x)))
 

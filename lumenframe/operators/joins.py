@@ -11,6 +11,8 @@ from .ordering import fill, join_back, with_order_bucket
 
 BROADCAST_ROWS = 10_000
 BROADCAST_BYTES = 64 << 20
+#: The level of spans without an end.
+WHOLE = -1
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
@@ -43,13 +45,28 @@ def cross(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.crossJoin(F.broadcast(right) if bounded(right) else right)
 
 
+def outer_join(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
+    """Left, right or full join on one shared column, safe for a hot key on either side.
+
+    Adaptive execution can split both sides of an inner join but not the null-supplying
+    side of an outer one. So rows with a partner come from an inner join, the others
+    from an anti join against the distinct keys of the other side.
+    """
+    out = left.join(right, key, "inner")
+    if how in ("left", "full"):
+        out = out.unionByName(left.join(right.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
+    if how in ("right", "full"):
+        out = out.unionByName(right.join(left.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
+    return out
+
+
 def full_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, *, coalesce: bool = False) -> DataFrame:
     """Full join with both key columns, or with one where `coalesce` is set."""
     if coalesce:
-        return left.join(right.withColumnRenamed(right_key, left_key), left_key, "full")
+        return outer_join(left, right.withColumnRenamed(right_key, left_key), left_key, "full")
     name = right_key if right_key != left_key else f"{right_key}_right"
-    other = right.withColumnRenamed(right_key, name)
-    return left.join(other, left[left_key] == other[name], "full")
+    other = right.withColumnRenamed(right_key, name).withColumn("_k", F.col(f"`{name}`"))
+    return outer_join(left.withColumn("_k", F.col(f"`{left_key}`")), other, "_k", "full").drop("_k")
 
 
 def as_of(
@@ -102,14 +119,25 @@ def _gap(df: DataFrame, on: str, late: Column, early: Column) -> Column:
 def range_join(points: DataFrame, spans: DataFrame, at: str, low: str, high: str, *, width: float) -> DataFrame:
     """Pairs with low < at <= high, for two large sides.
 
-    The line is cut into cells of `width`; each span is listed once per cell it
-    touches, and both sides meet by an equi join on the cell. A cell that holds many
-    rows of a side has that side cut into salts and the other side repeated for each.
+    The line is cut into cells of `width` and, level by level, of twice the width. A span
+    is listed in the at most three cells it touches on the level of its length; a point
+    probes its cell on each level that spans are on (bounded by the exponents of a
+    double). Spans without an end are on a level of one cell. Both sides meet by an equi
+    join on level and cell; a cell that holds many rows of a side has that side cut into
+    salts and the other side repeated for each.
     """
-    cell = F.floor(F.col(f"`{at}`") / F.lit(width)).cast("bigint")
-    left = points.where(F.col(f"`{at}`").isNotNull()).withColumn("_cell", cell)
-    cells = F.sequence(F.floor(F.col(f"`{low}`") / width).cast("bigint"), F.floor(F.col(f"`{high}`") / width).cast("bigint"))
-    right = spans.where(F.col(f"`{low}`") <= F.col(f"`{high}`")).withColumn("_cell", F.explode(cells))
+    a, b = F.col(f"`{low}`").cast("double"), F.col(f"`{high}`").cast("double")
+    length = (b - a) / F.lit(float(width))
+    endless = length == float("inf")
+    level = F.when(endless, F.lit(WHOLE)).when(length <= 1, F.lit(0)).otherwise(F.ceil(F.log2(length)).cast("int"))
+    size = F.lit(float(width)) * F.pow(F.lit(2.0), F.col("_level"))
+    cell = lambda v: F.when(F.col("_level") == WHOLE, F.lit(0.0)).otherwise(F.floor(v / size).cast("double"))
+    right = spans.where(F.col(f"`{low}`") <= F.col(f"`{high}`")).withColumn("_level", level)
+    touched = F.filter(F.array_distinct(F.array(cell(a), cell(a) + 1, cell(a) + 2)), lambda c: c <= cell(b))
+    levels = sorted(r["_level"] for r in right.select("_level").distinct().collect())
+    right = right.withColumn("_cell", F.explode(touched)).withColumn("_cell", F.struct("_level", "_cell")).drop("_level")
+    left = points.where(F.col(f"`{at}`").isNotNull()).withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    left = left.withColumn("_cell", F.struct("_level", cell(F.col(f"`{at}`").cast("double")).alias("_cell"))).drop("_level")
     hot_left, hot_right = _hot_cells(left), _hot_cells(right)
     met = _salted(left, hot_left, hot_right, "_a", "_b", points.columns).join(
         _salted(right, hot_right, hot_left, "_b", "_a", spans.columns), ["_cell", "_a", "_b"], "inner")

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_BUCKETS = 8192
+BUCKET_ROWS = 1_000_000
 TREE = 64
 SAMPLE = 64
+TEXT = 64
 BUCKET = "_bucket"
 KEY = "_key"
 
@@ -35,50 +37,70 @@ def _sortable(df: DataFrame, name: str) -> Column:
     return c
 
 
-def _bounds(df: DataFrame, names: list[str], parts: int) -> list[list]:
-    """About `parts` quantiles per column, from a sample of bounded size.
+def _cuts(df: DataFrame, order: str, tie: str | None, descending: bool, parts: int | None) -> list[tuple]:
+    """Pairs of (order, tie) that cut the rows into about equal parts, from a sample of bounded size.
 
-    They steer bucket sizes only: results do not depend on the sample.
+    They steer bucket sizes only: results do not depend on the sample. Of texts the
+    first `TEXT` characters serve, so the sample is bounded in bytes too. Without a
+    given number, parts grow with the rows, from the number of shuffle partitions on.
     """
-    if parts < 2:
-        return [[] for _ in names]
-    steps = [i / parts for i in range(1, parts)]
-    narrow = df.select(*[F.col(f"`{n}`") for n in names])
-    rows = narrow.count()
+    def narrow(name: str) -> Column:
+        c = _sortable(df, name)
+        return F.left(c, F.lit(TEXT)) if isinstance(df.schema[name].dataType, T.StringType) else c
+
+    pair = df.select(narrow(order).alias("v"), (narrow(tie) if tie else F.lit(None).cast("int")).alias("t"))
+    rows = pair.count()
+    if parts is None:
+        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-rows // BUCKET_ROWS))
+    parts = max(1, min(parts, MAX_BUCKETS))
+    if parts < 2 or not rows:
+        return []
     if rows > SAMPLE * parts:
-        narrow = narrow.sample(SAMPLE * parts / rows, seed=7)
-    found: dict[str, list] = {}
-    numbers = [n for n in names if not isinstance(df.schema[n].dataType, T.StringType)]
-    if numbers:
-        row = narrow.agg(*[
-            F.percentile_approx(_sortable(df, n), steps, F.lit(max(1000, 20 * parts))).alias(f"q{i}")
-            for i, n in enumerate(numbers)
-        ]).first()
-        found = {n: list(row[f"q{i}"] or []) for i, n in enumerate(numbers)}
-    for n in names:
-        if n not in found:
-            # Text has no quantile sketch: the sampled values come to the driver.
-            values = sorted(r[0] for r in narrow.select(f"`{n}`").where(F.col(f"`{n}`").isNotNull()).collect())
-            found[n] = [values[min(len(values) - 1, int(s * len(values)))] for s in steps] if values else []
-    return [found[n] for n in names]
-
-
-def _position(c: Column, cuts: list) -> Column:
-    """Number of cuts below the value: a binary search as nested CASE expressions, and
+        pair = pair.sample(SAMPLE * parts / rows, seed=7)
+    v = F.col("v").desc_nulls_last() if descending else F.col("v").asc_nulls_last()
+    found = [tuple(r) for r in pair.orderBy(v, F.col("t").asc_nulls_last()).collect()]
+    picked = [found[i * len(found) // parts] for i in range(1, parts)] if found else []
+    out = []
+    for p in picked:
+        if not out or repr(p) != repr(out[-1]):
+            out.append(p)
+    return out
+
+
+def _at_or_before(value: Column, tie: Column | None, cut: tuple, descending: bool) -> Column:
+    """Whether a row comes at or before a cut in the wanted order, nulls last."""
+    v, t = cut
+    later = F.lit(True) if t is None or tie is None else F.coalesce(tie <= F.lit(t), F.lit(False))
+    if v is None:
+        return value.isNotNull() | later
+    first = value > F.lit(v) if descending else value < F.lit(v)
+    return F.coalesce(first | ((value == F.lit(v)) & later), F.lit(False))
+
+
+def _position(value: Column, tie: Column | None, cuts: list[tuple], descending: bool) -> Column:
+    """Number of cuts before the row: a binary search as nested CASE expressions, and
     with many cuts a short scan of the part it leads to."""
-    def node(ends: list, lo: int, hi: int) -> Column:
+    def node(ends: list[tuple], lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(c <= F.lit(ends[mid]), node(ends, lo, mid)).otherwise(node(ends, mid + 1, hi))
+        return F.when(_at_or_before(value, tie, ends[mid], descending), node(ends, lo, mid)).otherwise(node(ends, mid + 1, hi))
 
     if len(cuts) <= TREE:
         return node(cuts, 0, len(cuts))
     step = -(-len(cuts) // TREE)
     chunks = [cuts[i:i + step] for i in range(0, len(cuts), step)]
     chunk = node([x[-1] for x in chunks[:-1]], 0, len(chunks) - 1)
-    listed = F.get(F.array(*[F.array(*[F.lit(v) for v in x]) for x in chunks]), chunk)
-    return chunk * F.lit(step) + F.size(F.filter(listed, lambda v: v < c))
+    row = F.struct(value.alias("v"), (tie if tie is not None else F.lit(0)).alias("t"))
+    pairs = [F.array(*[F.struct(F.lit(v).alias("v"), F.lit(t).alias("t")) for v, t in x]) for x in chunks]
+
+    def passed(cut: Column) -> Column:
+        later = cut["t"].isNull() | F.coalesce(row["t"] <= cut["t"], F.lit(False)) if tie is not None else F.lit(True)
+        first = row["v"] > cut["v"] if descending else row["v"] < cut["v"]
+        at = F.when(cut["v"].isNull(), row["v"].isNotNull() | later).otherwise(F.coalesce(first | ((row["v"] == cut["v"]) & later), F.lit(False)))
+        return ~at
+
+    return chunk * F.lit(step) + F.size(F.filter(F.get(F.array(*pairs), chunk), passed))
 
 
 def with_order_bucket(
@@ -87,34 +109,14 @@ def with_order_bucket(
 ) -> DataFrame:
     """Add the bucket number of each row, ascending with the wanted order, nulls last.
 
-    A value that fills more than a bucket gets a bucket of its own and is cut
-    further by the tie column. `bounds_from` is a cheaper frame with about the same
-    values, where this one is derived at a cost.
+    Cuts are pairs of order and tie values, so a value that fills more than a bucket is
+    cut further by the tie column, and there are at most `parts` buckets in all.
+    `bounds_from` is a cheaper frame with about the same values, where this one is
+    derived at a cost.
     """
-    if parts is None:
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    parts = max(1, min(parts, MAX_BUCKETS))
-    names = [order] + ([tie] if tie else [])
-    raw = _bounds(df if bounds_from is None else bounds_from, names, parts)
-    cuts = sorted(set(raw[0]))
-    heavy = {v for i, v in enumerate(raw[0][1:]) if v == raw[0][i]}
-    value = _sortable(df, order)
-
-    major = _position(value, cuts) * 2
-    if heavy:
-        major = major + value.isin(*sorted(heavy)).cast("int")
-    if descending:
-        major = F.lit(2 * len(cuts)) - major
-    major = F.when(value.isNull(), F.lit(2 * len(cuts) + 1)).otherwise(major)
-    if tie is None:
-        return df.withColumn(BUCKET, major.cast("bigint"))
-    tie_cuts = sorted(set(raw[1]))
-    minor = _position(_sortable(df, tie), tie_cuts)
-    minor = F.when(_sortable(df, tie).isNull(), F.lit(len(tie_cuts) + 1)).otherwise(minor)
-    width = len(tie_cuts) + 2
-    single = value.isNull() if not heavy else (value.isNull() | value.isin(*sorted(heavy)))
-    out = major * F.lit(width) + F.when(single, minor).otherwise(F.lit(0))
-    return df.withColumn(BUCKET, out.cast("bigint"))
+    cuts = _cuts(df if bounds_from is None else bounds_from, order, tie, descending, parts)
+    place = _position(_sortable(df, order), _sortable(df, tie) if tie else None, cuts, descending)
+    return df.withColumn(BUCKET, place.cast("bigint"))
 
 
 def join_back(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

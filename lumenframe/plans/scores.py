@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .training_sets import completion_column, text_column
 
 ANSWER = "(?is)<answer>(.*?)</answer>"
 
@@ -42,8 +43,9 @@ def non_empty(completion: Column) -> Column:
 
 def score_table(df: DataFrame, completion: str, gold: str) -> DataFrame:
     """Add the four scores and their sum. Texts are normalized once, up front."""
-    c = F.coalesce(F.col(completion), F.lit(""))
-    ready = df.withColumns({"_p": normalized(final_answer(c)), "_g": normalized(F.coalesce(F.col(gold), F.lit("")))})
+    df = df.withColumn("_c", completion_column(df, completion))
+    c = F.col("_c")
+    ready = df.withColumns({"_p": normalized(final_answer(c)), "_g": normalized(text_column(df, gold))})
     scored = ready.withColumns({
         "format": form(c), "non_empty": non_empty(c),
         "partial": partial(F.col("_p"), F.col("_g")), "exact": exact(F.col("_p"), F.col("_g")),

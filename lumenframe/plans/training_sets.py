@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import is_blank, strip
 from .requests import kind, turn
@@ -23,7 +24,7 @@ GOLD_PROMPT = (
     "and your final answer inside <answer>...</answer>."
 )
 
-DEPTH = 3
+DEPTH = 1
 
 
 def content_to_text(v: Column) -> Column:
@@ -61,6 +62,73 @@ def _part_of(item) -> str:
     return _content_of(item["content"]) if "content" in item else ""
 
 
+def as_variant(df: DataFrame, name: str) -> Column:
+    """A column of any type as a variant; a variant stays."""
+    kind_ = df.schema[name].dataType
+    c = F.col(f"`{name}`")
+    if isinstance(kind_, T.VariantType):
+        return c
+    return F.to_variant_object(c) if isinstance(kind_, (T.ArrayType, T.StructType, T.MapType)) else c.cast("variant")
+
+
+def text_column(df: DataFrame, name: str) -> Column:
+    """A content column of any type as text; null as ''."""
+    if isinstance(df.schema[name].dataType, T.StringType):
+        return F.coalesce(F.col(f"`{name}`"), F.lit(""))
+    return F.coalesce(content_to_text(as_variant(df, name)), F.lit(""))
+
+
+CHAT = "array<struct<role:string,content:string>>"
+
+
+def chat_column(df: DataFrame, name: str) -> Column:
+    """Messages of any form (typed, with structured content, or a variant) as roles and texts."""
+    if df.schema[name].dataType.simpleString() == CHAT:
+        return F.col(f"`{name}`")
+    return chat_of(as_variant(df, name))
+
+
+def chat_of(v: Column) -> Column:
+    """A variant list of messages as roles and texts, content of any depth flattened."""
+    items = F.when(kind(v).startswith("ARRAY"), F.variant_get(v, "$", "array<variant>"))
+    shallow = F.transform(items, lambda m: F.struct(F.variant_get(m, "$.role", "string").alias("role"), _content(F.variant_get(m, "$.content", "variant"), DEPTH).alias("content")))
+    deep = F.exists(shallow, lambda m: m["content"].isNull())
+    return F.when(deep, F.pandas_udf(_deep_chat, CHAT)(F.when(deep, F.to_json(v)))).otherwise(shallow)
+
+
+def _deep_chat(values: pd.Series) -> pd.Series:
+    def one(text: str) -> list[dict]:
+        return [{"role": m.get("role"), "content": _content_of(m.get("content"))} if isinstance(m, dict) else {"role": None, "content": ""} for m in json.loads(text)]
+    return values.map(lambda x: None if x is None else one(x))
+
+
+def completion_to_text(v: Column) -> Column:
+    """A completion as text: a text, a message, or a list of messages joined by line breaks."""
+    k = kind(v)
+    message = lambda m: F.coalesce(F.variant_get(m, "$.content", "variant"), m)
+    plain = _content(F.when(k.startswith("OBJECT"), message(v)).otherwise(v), DEPTH)
+    items = F.when(k.startswith("ARRAY"), F.variant_get(v, "$", "array<variant>"))
+    parts = F.transform(items, lambda m: F.when(kind(m).startswith("ARRAY"), F.lit(None)).when(kind(m).startswith("OBJECT"), _content(message(m), DEPTH)).otherwise(_content(m, DEPTH)))
+    listed = F.when(~F.exists(parts, lambda p: p.isNull()), strip(F.array_join(F.filter(parts, lambda p: p != ""), "\n")))
+    shallow = F.when(k.startswith("ARRAY"), listed).otherwise(plain)
+    return F.coalesce(shallow, F.pandas_udf(_deep_completion, "string")(F.when(shallow.isNull(), F.to_json(v))))
+
+
+def _deep_completion(values: pd.Series) -> pd.Series:
+    def one(value) -> str:
+        if isinstance(value, list):
+            return "\n".join(p for p in map(one, value) if p).strip()
+        return _content_of(value.get("content", value) if isinstance(value, dict) else value)
+    return values.map(lambda x: None if x is None else one(json.loads(x)))
+
+
+def completion_column(df: DataFrame, name: str) -> Column:
+    """A completion column of any type as text; null as ''."""
+    if isinstance(df.schema[name].dataType, T.StringType):
+        return F.coalesce(F.col(f"`{name}`"), F.lit(""))
+    return F.coalesce(completion_to_text(as_variant(df, name)), F.lit(""))
+
+
 def _content(v: Column, depth: int) -> Column:
     """`content_to_text` of at most `depth` levels, null below."""
     k = kind(v)
@@ -125,7 +193,7 @@ def sft_text(df: DataFrame, *, system: str | None = None, system_field: str | No
     if text in df.columns:
         return df.withColumn("error", F.lit(None).cast("string"))
     if messages in df.columns or "conversations" in df.columns:
-        chat = F.col(messages if messages in df.columns else "conversations")
+        chat = chat_column(df, messages if messages in df.columns else "conversations")
     else:
         chat = prompt_chat(df, system, system_field, prompt, response)
     out = df.withColumn("_chat", chat)
@@ -134,9 +202,9 @@ def sft_text(df: DataFrame, *, system: str | None = None, system_field: str | No
 
 
 def prompt_chat(df: DataFrame, system: str | None, system_field: str | None, prompt: str, response: str) -> Column:
-    own = F.nullif(F.col(system_field), F.lit("")) if system_field and system_field in df.columns else F.lit(None).cast("string")
+    own = F.nullif(text_column(df, system_field), F.lit("")) if system_field and system_field in df.columns else F.lit(None).cast("string")
     given = F.coalesce(own, F.lit(system or None).cast("string"))
-    pair = F.array(turn("user", F.coalesce(F.col(prompt), F.lit(""))), turn("assistant", F.coalesce(F.col(response), F.lit(""))))
+    pair = F.array(turn("user", text_column(df, prompt)), turn("assistant", text_column(df, response)))
     return F.when(given.isNull() | (given == ""), pair).otherwise(F.concat(F.array(turn("system", given)), pair))
 
 
@@ -147,23 +215,24 @@ def grpo_set(df: DataFrame, *, system: str | None = GOLD_PROMPT, prompt: str = "
     if messages not in have and not {prompt, answer} <= have:
         raise ValueError("needs prompt and answer, or messages")
     if messages in have:
-        m = F.col(messages)
+        df = df.withColumn("_messages", chat_column(df, messages))
+        m = F.col("_messages")
         ends = F.coalesce(F.element_at(F.when(F.size(m) > 0, m), -1)["role"] == "assistant", F.lit(False))
         turns = F.when(ends, F.slice(m, F.lit(1), F.greatest(F.size(m) - 1, F.lit(0)))).otherwise(m)
         gold = F.when(ends, F.element_at(m, -1)["content"]).otherwise(F.lit(""))
         if answer in have:
-            gold = F.coalesce(F.nullif(F.col(answer), F.lit("")), gold)
+            gold = F.coalesce(F.nullif(text_column(df, answer), F.lit("")), gold)
     else:
         is_chat = df.schema[prompt].dataType.typeName() == "array"
-        turns = F.col(prompt) if is_chat else F.array(turn("user", F.coalesce(F.col(prompt), F.lit(""))))
-        gold = F.coalesce(F.col(answer), F.lit(""))
+        turns = chat_column(df, prompt) if is_chat else F.array(turn("user", text_column(df, prompt)))
+        gold = text_column(df, answer)
     out = df.withColumn("_turns", turns).withColumn("_gold", gold)
     if system:
         led = F.coalesce(F.get(F.col("_turns"), F.lit(0))["role"] == "system", F.lit(False))
         full = F.when(led, F.col("_turns")).otherwise(F.concat(F.array(turn("system", F.lit(system))), F.col("_turns")))
         out = out.withColumn("_turns", full)
     error = F.coalesce(history_error(F.col("_turns")), gold_error(F.col("_gold")))
-    drop = [c for c in (prompt, answer, messages) if c in have]
+    drop = [*(c for c in (prompt, answer, messages) if c in have), "_messages"]
     return out.withColumn("error", error).drop(*drop).withColumnsRenamed({"_turns": "prompt", "_gold": "answer"})
 
 

@@ -31,7 +31,7 @@ SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer LEFT JOIN order
 def join_left(spark, root):
     c = table(spark, root, "customer").select("c_custkey", "c_name")
     o = table(spark, root, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
-    return c.join(o, "c_custkey", "left")
+    return joins.outer_join(c, o, "c_custkey", "left")
 
 
 @query("join_right", """
@@ -39,7 +39,7 @@ SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM orders RIGHT JOIN custom
 def join_right(spark, root):
     c = table(spark, root, "customer").select("c_custkey", "c_name")
     o = table(spark, root, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
-    return o.join(c, "c_custkey", "right").select("c_custkey", "c_name", "o_orderkey", "o_totalprice")
+    return joins.outer_join(o, c, "c_custkey", "right").select("c_custkey", "c_name", "o_orderkey", "o_totalprice")
 
 
 @query("join_full", """

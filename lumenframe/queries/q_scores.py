@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans import scores as s
+from ..plans.context import json_text
 from ..session import table
 from .registry import query
 
@@ -42,7 +43,13 @@ def _pairs(spark, root):
     k, text, gold = F.col("turn") % 8, F.col("text"), F.col("gold")
     completion = (F.when(k == 0, text).when(k == 1, say("<reasoning>x</reasoning><answer> ", F.translate(gold, "aeiou", "AEIOU"), "</answer>")).when(k == 2, F.lit("  "))
                   .when(k == 3, say("so: ", gold)).when(k == 4, say("<answer>", text, "</answer>")).when(k == 5, gold).otherwise(say("<reasoning>", text)))
-    return c.join(q, ["conv_id", "turn"]).select("conv_id", "turn", "gold", completion.alias("completion"))
+    made = c.join(q, ["conv_id", "turn"]).select("conv_id", "turn", json_text(F.col("gold")).alias("g"), json_text(completion).alias("c"))
+    # Completions are texts, messages, lists of messages, or messages with structured content; gold answers texts or objects.
+    k = F.col("conv_id") % 4
+    shaped = (F.when(k == 0, F.col("c")).when(k == 1, say('{"role": "assistant", "content": ', F.col("c"), "}"))
+              .when(k == 2, say('[{"role": "assistant", "content": ', F.col("c"), '}, ""]')).otherwise(say('[{"content": {"content": {"text": ', F.col("c"), "}}}]")))
+    gold_shape = F.when(k % 2 == 0, F.col("g")).otherwise(say('{"text": ', F.col("g"), "}"))
+    return made.select("conv_id", "turn", F.parse_json(gold_shape).alias("gold"), F.parse_json(shaped).alias("completion"))
 
 
 SCORES_SQL = f"""

@@ -29,6 +29,14 @@ def content_to_text(spark, root):
     return parsed.select("doc_id", ts.content_to_text(F.col("v")).alias("text"))
 
 
+def _shaped(text, number):
+    """Content in one of five shapes: text, a list of a text part, objects, a list of a text, deep objects."""
+    k, t = number % 5, json_text(text)
+    json = (F.when(k == 0, t).when(k == 1, say('[{"type": "text", "text": ', t, "}]")).when(k == 2, say('{"content": {"text": ', t, "}}"))
+            .when(k == 3, say("[", t, "]")).otherwise(say('{"content": {"content": {"content": {"content": {"text": ', t, "}}}}}")))
+    return F.parse_json(json)
+
+
 TURNS = "'<|turn>system' || chr(10) || {s} || '<turn|>' || chr(10) || '<|turn>user' || chr(10) || {u} || '<turn|>' || chr(10) || '<|turn>model' || chr(10) || {a} || '<turn|>'"
 NO_SYSTEM = "'<|turn>user' || chr(10) || {u} || '<turn|>' || chr(10) || '<|turn>model' || chr(10) || {a} || '<turn|>'"
 
@@ -61,6 +69,8 @@ SELECT 'messages' AS shape, conv_id * 31 + turn AS row_id, {CHAT_TEXT} AS text F
 UNION ALL SELECT 'conversations', conv_id * 31 + turn, {CHAT_TEXT} FROM conversations
 UNION ALL SELECT 'pair', doc_id, CASE WHEN doc_id % 2 = 0 THEN {TURNS.format(s='lang', u='source', a='text')} ELSE {TURNS.format(s="'be brief'", u='source', a='text')} END FROM documents
 UNION ALL SELECT 'bare', doc_id, {NO_SYSTEM.format(u='source', a='text')} FROM documents
+UNION ALL SELECT 'shapes', doc_id, {TURNS.format(s="'be brief'", u='source', a='answer')} FROM (SELECT *, CASE WHEN doc_id % 5 IN (1, 3) THEN {STRIP('text')} ELSE text END AS answer FROM documents)
+UNION ALL SELECT 'parts', conv_id * 31 + turn, {CHAT_TEXT} FROM conversations
 UNION ALL SELECT 'text', doc_id, text FROM documents""")
 def sft_formats(spark, root):
     chats = _chats(spark, root).withColumn("row_id", F.col("conv_id") * 31 + F.col("turn"))
@@ -69,6 +79,8 @@ def sft_formats(spark, root):
     sets = {
         "messages": ts.sft_text(chats), "conversations": ts.sft_text(chats.withColumnRenamed("messages", "conversations")),
         "pair": ts.sft_text(pair, system="be brief", system_field="system"), "bare": ts.sft_text(pair.drop("system")), "text": ts.sft_text(d),
+        "shapes": ts.sft_text(pair.select("row_id", F.struct(F.col("prompt").alias("text")).alias("prompt"), _shaped(F.col("response"), F.col("row_id")).alias("response")), system="be brief"),
+        "parts": ts.sft_text(chats.withColumn("messages", F.transform("messages", lambda m: F.struct(m["role"].alias("role"), F.struct(m["content"].alias("text")).alias("content"))))),
     }
     out = None
     for shape, made in sets.items():

@@ -189,7 +189,8 @@ def fill(
     has its bucket already, and keeps it."""
     backward = backward or {}
     b = _keyed(df if bucketed else with_order_bucket(df, order, tie), keys or [])
-    at = F.struct(*[F.col(f"`{c}`") for c in ([order] + ([tie] if tie else []))])
+    # Nulls come last, as in the windows.
+    at = F.struct(*[x.alias(f"{i}{j}") for i, c in enumerate([order] + ([tie] if tie else [])) for j, x in enumerate((F.col(f"`{c}`").isNull(), F.col(f"`{c}`")))])
     # max_by and min_by skip rows of which the ordering value is null.
     where = lambda s: F.when(F.col(f"`{s}`").isNotNull(), at)
     ends = b.groupBy(KEY, BUCKET).agg(

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, slug, strip
-from ..operators.joins import cross
 
 # Column names tried in order for each kind of placeholder.
 PRIORITIES = {
@@ -155,18 +154,24 @@ def _entries(pairs: dict[str, Column]) -> Column:
 
 
 def contextualize(snippets: DataFrame, table: DataFrame, dataset: str, index: Column, *, source: str | None = None,
-                  priorities: dict[str, list[str]] = PRIORITIES) -> DataFrame:
-    """Every snippet (id, snippet) with every row of the table as a request row.
+                  priorities: dict[str, list[str]] = PRIORITIES, strict: bool = False) -> DataFrame:
+    """Every snippet as a request row for one picked row of a table (see `pick_row`).
 
-    `index` numbers the rows. The table side drives the work: the snippets are the
-    side that may be broadcast, after their number is checked.
+    The snippets may be a table of any size: the one row is broadcast to it. All fields
+    of a snippet stay. A blank snippet keeps its row with an `error`; with `strict` it
+    is raised. `index` is the number of the row.
     """
+    if len(table.select(F.lit(1)).take(2)) != 1:
+        raise ValueError("one row has to be picked")
     spark = table.sparkSession
     columns = table.columns
-    # What depends on the row alone is made before the cross join, once per row.
+    # What depends on the row alone is made once, before it meets the snippets.
     shown = json_block({c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns})
     rows = table.select(index.alias("row_index"), row_map(table).alias("_row"), shown.alias("_row_json"))
-    both = cross(rows, snippets.where(~is_blank(F.col("snippet"))).withColumn("snippet", strip(F.col("snippet"))))
+    fault = F.when(F.coalesce(is_blank(F.col("snippet")), F.lit(True)), F.lit("empty snippet"))
+    if strict:
+        fault = F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("empty snippet: "), F.col("id").cast("string"))))
+    both = snippets.withColumns({"error": fault, "snippet": strip(F.col("snippet"))}).crossJoin(F.broadcast(rows))
     row = F.col("_row")
     var = slugs(spark, [dataset])[0]
     words = {"df": var, "row": f"{var}_row"}
@@ -183,8 +188,9 @@ def contextualize(snippets: DataFrame, table: DataFrame, dataset: str, index: Co
         F.map_from_entries(_entries(chosen)).alias("representative_columns"),
         F.map_from_entries(_entries(values)).alias("representative_values"))
     text = message(F.col("snippet"), F.col("rule_based_draft"), F.col("_row_json"), json_block(aliases), json_block(chosen))
-    return drafted.select("id", "snippet", "row_index", F.lit(source or dataset).alias("csv_file"), "rule_based_draft",
-                          text.alias("message"), tables.alias("tables"))
+    made = {"csv_file": F.lit(source or dataset), "message": F.when(F.col("error").isNull(), text), "tables": tables,
+            "rule_based_draft": F.when(F.col("error").isNull(), F.col("rule_based_draft"))}
+    return drafted.withColumns(made).drop("_row", "_row_json")
 
 
 def snippet_items(records: DataFrame, key: str = "line", json: str = "json") -> DataFrame:

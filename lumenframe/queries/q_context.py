@@ -1,14 +1,17 @@
-"""Row contexts and placeholder rewriting: templates with every row of `customer`."""
+"""Row contexts and placeholder rewriting: snippets of `documents` with one row of `customer`."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..plans import context as x
-from ..session import table
+from ..session import scratch_dir, table
+from ..sources.files import write_csv
+from ..sources.lines import with_row_numbers
 from .registry import query
 
-# The templates of the queries; the tables they are filled from may be of any size.
+# Snippets are documents, each led by one of these; the row that fills them is picked by its number.
+PICKED = 7
 TEMPLATES = [
     ("t1", "df.filter(col('{metric_column}') > {value:c_acctbal})"),
     ("t2", "<dataset>.select('<entity_column>', '{id_column}') # {row}"),
@@ -35,21 +38,33 @@ DRAFTS = {
 }
 
 
+BODY = "regexp_replace(regexp_replace(body, '(^|[^\\pL\\pM\\pN_])df($|[^\\pL\\pM\\pN_])', '\\1best_buyers\\2', 'g'), '(^|[^\\pL\\pM\\pN_])row($|[^\\pL\\pM\\pN_])', '\\1best_buyers_row\\2', 'g')"
+
+
 def _drafts_sql(columns):
-    return "\nUNION ALL ".join(
-        f"SELECT '{k}' AS id, c_custkey AS row_index, {_sql_text(t.strip())} AS snippet, {DRAFTS[k]} AS rule_based_draft{columns} FROM customer"
-        for k, t in TEMPLATES)
+    """Snippets of `documents` with one row of `customer`."""
+    snippet = "CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN {_sql_text(t.strip())}" for i, (_, t) in enumerate(TEMPLATES)) + " END"
+    draft = "CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN {DRAFTS[k]}" for i, (k, _) in enumerate(TEMPLATES)) + " END"
+    return f"""
+SELECT doc_id AS id, lang, CAST({PICKED} AS BIGINT) AS row_index, CASE WHEN doc_id % 11 = 0 THEN '' ELSE {snippet} || ' / ' || body END AS snippet,
+  CASE WHEN doc_id % 11 <> 0 THEN {draft} || ' / ' || {BODY} END AS rule_based_draft, CASE WHEN doc_id % 11 = 0 THEN 'empty snippet' END AS error{columns}
+FROM (SELECT doc_id, lang, regexp_replace(text, '[\\s\\pZ]+$', '') AS body FROM documents), (SELECT * FROM customer ORDER BY c_custkey LIMIT 1 OFFSET {PICKED - 1})"""
 
 
 def _requests(spark, root):
-    snippets = spark.createDataFrame(TEMPLATES, "id string, snippet string")
-    return x.contextualize(snippets, table(spark, root, "customer", "c_custkey"), "BestBuyers", F.col("c_custkey"), source="data/BestBuyers.csv",
-                           priorities=CUSTOMER)
+    d = table(spark, root, "documents", "doc_id")
+    parts = F.array(*[F.lit(t.strip()) for _, t in TEMPLATES])
+    snippet = F.when(F.col("doc_id") % 11 == 0, F.lit(" \n ")).otherwise(F.concat(F.get(parts, (F.col("doc_id") % 5).cast("int")), F.lit(" / "), F.col("text")))
+    folder = write_csv(table(spark, root, "customer").orderBy("c_custkey").coalesce(1), scratch_dir(spark, "customers"))
+    names = spark.read.option("header", True).csv(folder)
+    row = x.pick_row(with_row_numbers(names), PICKED).drop("line", "file")
+    return x.contextualize(d.select(F.col("doc_id").alias("id"), "lang", snippet.alias("snippet")), row, "BestBuyers", F.lit(PICKED).cast("bigint"),
+                           source="data/BestBuyers.csv", priorities=CUSTOMER)
 
 
 @query("cross_contextualize", _drafts_sql(""))
 def cross_contextualize(spark, root):
-    return _requests(spark, root).select("id", "row_index", "snippet", "rule_based_draft")
+    return _requests(spark, root).select("id", "lang", "row_index", "snippet", "rule_based_draft", "error")
 
 
 def _block_sql(pairs):
@@ -57,13 +72,19 @@ def _block_sql(pairs):
     return f"'{{' || chr(10) || {body} || chr(10) || '}}'"
 
 
-LINES = [f"'{line}'" for line in x.OPENING]
+# The message's fixed lines, in full.
+OPENING_LINES = [
+    "Contextualize the snippet with the provided CSV sample.", "", "Rules:", "- Keep the snippet language and overall intent.",
+    "- Replace generic placeholders with concrete dataset values.", "- Prefer exact CSV column names when referencing fields.",
+    "- Prefer the provided dataset_var_name and row_var_name for new variable names.", "- Do not add explanations before or after the snippet.", "",
+]
+LINES = [f"'{line}'" for line in OPENING_LINES]
 
 
 @query("build_message", f"""
-SELECT id, row_index, array_to_string([{', '.join(LINES)}, 'Original snippet:', snippet, '', 'Rule-based draft:', rule_based_draft, '', 'CSV row context:',
+SELECT id, row_index, CASE WHEN error IS NULL THEN array_to_string([{', '.join(LINES)}, 'Original snippet:', snippet, '', 'Rule-based draft:', rule_based_draft, '', 'CSV row context:',
   {_block_sql(VALUE)}, '', 'Column aliases:', {_block_sql({k: f"'{k}'" for k in VALUE})}, '', 'Representative columns:',
-  {_block_sql({'entity_column': "'c_name'", 'metric_column': "'c_acctbal'", 'id_column': "'c_custkey'"})}, '', '{x.CLOSING}'], chr(10)) AS message
+  {_block_sql({'entity_column': "'c_name'", 'metric_column': "'c_acctbal'", 'id_column': "'c_custkey'"})}, '', 'Return only the final contextualized snippet.'], chr(10)) END AS message
 FROM ({_drafts_sql(", c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment")})""")
 def build_message(spark, root):
     return _requests(spark, root).select("id", "row_index", "message")
@@ -80,13 +101,12 @@ def placeholder_replace(spark, root):
 
 
 @query("word_replace", r"""
-SELECT doc_id, replace(replace(body, '§', 'sales'), '¤', 'sales_row') || ' sales' AS text FROM (
-  SELECT doc_id, replace(text, '§', '') || ' df_x édf sales.row' AS body, text FROM documents WHERE NOT regexp_matches(text, '§|¤'))
-WHERE NOT regexp_matches(text, '(^|[^\pL\pM\pN_])(df|row)($|[^\pL\pM\pN_])')""".replace("sales.row'", "sales.' || '¤'"))
+SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text || ' theé édf df the', '[\pL\pM\pN_]+|[^\pL\pM\pN_]+'),
+  lambda w: CASE w WHEN 'the' THEN 'sales' WHEN 'die' THEN 'sales_row' WHEN 'df' THEN 'x' ELSE w END), '') AS text FROM documents""")
 def word_replace(spark, root):
-    d = table(spark, root, "documents", "doc_id").where(~F.col("text").rlike(r"§|¤|(?U)\b(df|row)\b"))
-    text = F.concat("text", F.lit(" df_x édf sales.row df"))
-    return d.select("doc_id", x.replace_words(text, {"df": "sales", "row": "sales_row"}).alias("text"))
+    # Words of the given texts, on all rows.
+    text = F.concat("text", F.lit(" theé édf df the"))
+    return table(spark, root, "documents", "doc_id").select("doc_id", x.replace_words(text, {"the": "sales", "die": "sales_row", "df": "x"}).alias("text"))
 
 
 ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]

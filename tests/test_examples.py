@@ -143,10 +143,10 @@ def test_unique_counts_a_null_once(spark):
     assert df.agg(aggregates.n_unique(F.col("v"))).first()[0] == 2
 
 
-def test_large_groups_come_in_list_parts(spark):
+def test_lists_keep_nulls_and_order(spark):
     df = spark.createDataFrame([(i, "hot", None if i == 4 else i) for i in range(10)], "id int, k string, v int")
-    got = aggregates.collect_lists(df, ["k"], "v", "id", rows=4).orderBy("part")
-    assert [r["v"] for r in got.collect()] == [[0, 1, 2, 3], [None, 5, 6, 7], [8, 9]]
+    got = aggregates.collect_lists(df, ["k"], "v", "id")
+    assert [r["v"] for r in got.collect()] == [[0, 1, 2, 3, None, 5, 6, 7, 8, 9]]
 
 
 def test_stacking_needs_one_shape(spark):

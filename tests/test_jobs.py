@@ -78,11 +78,15 @@ SALES_DDL = "`Order ID` string, `Order Date` string, `Product Name` string, `Sal
 
 def test_contextualize(spark):
     table = spark.createDataFrame(SALES, SALES_DDL)
-    snippets = spark.createDataFrame([("s1", ' df.filter(c("{metric_column}") > {value:Sales}) '), ("s2", "{value:product_name}|<value:Note>|{column:order_id}|row"), ("s3", "  ")],
-                                     "id string, snippet string")
-    got = context.contextualize(snippets, table, "SampleSuperstore", F.monotonically_increasing_id() * 0 + 1)
-    drafts = {(r["id"], r["tables"]["row"]["Order ID"]): r for r in got.collect()}
-    assert len(drafts) == 4
+    snippets = spark.createDataFrame([("s1", ' df.filter(c("{metric_column}") > {value:Sales}) ', 1), ("s2", "{value:product_name}|<value:Note>|{column:order_id}|row", 2), ("s3", "  ", 3)],
+                                     "id string, snippet string, extra int")
+    row = lambda k: context.contextualize(snippets, table.where(F.col("Order ID") == k), "SampleSuperstore", F.lit(1))
+    drafts = {(r["id"], r["tables"]["row"]["Order ID"]): r for k in ("CA-1", "CA-2") for r in row(k).collect()}
+    assert len(drafts) == 6 and drafts["s3", "CA-1"]["error"] == "empty snippet" and drafts["s2", "CA-1"]["extra"] == 2
+    with pytest.raises(PySparkException):
+        context.contextualize(snippets, table.where("`Order ID` = 'CA-1'"), "S", F.lit(1), strict=True).collect()
+    with pytest.raises(ValueError):
+        context.contextualize(snippets, table, "S", F.lit(1))
     assert drafts["s1", "CA-1"]["rule_based_draft"] == 'sample_superstore.filter(c("Sales") > 261.96)'
     # An empty value is left as it stands.
     assert drafts["s2", "CA-1"]["rule_based_draft"] == "Bush Bookcase|<value:Note>|Order ID|sample_superstore_row"
@@ -177,9 +181,9 @@ def test_gold_rows(spark):
 
 def test_prompt_room(spark):
     df = spark.createDataFrame([(1, "a b c"), (2, "a"), (3, "x " * 50)], "id int, t string")
-    assert values(training_sets.longest_prompt_words(df, "t", "id", 2, 100)) == [(3, 96)]
+    assert values(training_sets.longest_prompt_words(df, "t", 100)) == [(50, 49)]
     with pytest.raises(PySparkException):
-        training_sets.longest_prompt_words(df, "t", "id", 3, 60).collect()
+        training_sets.longest_prompt_words(df, "t", 60).collect()
 
 
 @pytest.mark.parametrize("completion, gold, want", [

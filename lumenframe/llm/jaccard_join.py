@@ -281,10 +281,14 @@ def list_links(sets: DataFrame, boundary: int) -> DataFrame:
     known = entries.join(lists, "h")
     rank = F.row_number().over(Window.partitionBy("id", "n").orderBy("df", "h"))
     prefix = F.col("n") - F.ceil(F.col("n") * SIMILARITY[0] / SIMILARITY[1]) + 1
-    rare = known.withColumn("rank", rank).where((F.col("rank") <= prefix) & (F.col("r0") < F.col("r1"))).select("h", "id", "n", "root")
+    rare = known.withColumn("rank", rank).where((F.col("rank") <= prefix) & (F.col("r0") < F.col("r1")))
+    whole = Window.partitionBy("id", "n").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rare = rare.withColumn("all", F.collect_list("h").over(whole)).select("h", "id", "n", "root", "all")
     left, right = rare.alias("l"), rare.alias("r")
     near = (F.col("l.n") * SIMILARITY[1] >= F.col("r.n") * SIMILARITY[0]) & (F.col("r.n") * SIMILARITY[1] >= F.col("l.n") * SIMILARITY[0])
-    pairs = (left.join(right, (F.col("l.h") == F.col("r.h")) & (F.col("l.root") < F.col("r.root")) & near & (F.greatest("l.n", "r.n") > boundary))
+    # A pair comes from the first list that both are in, not from every one.
+    first = F.get(F.array_intersect("l.all", "r.all"), F.lit(0)) == F.col("l.h")
+    pairs = (left.join(right, (F.col("l.h") == F.col("r.h")) & (F.col("l.root") < F.col("r.root")) & near & (F.greatest("l.n", "r.n") > boundary) & first)
              .select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct())
     x = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))

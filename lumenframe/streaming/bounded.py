@@ -12,13 +12,19 @@ from ..session import scratch_dir
 
 
 def run_once(spark: SparkSession, path: str, schema: T.StructType, aggregate: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Read all files now at the path (a folder, a file or a pattern) as a stream, aggregate, and return the result.
+    """Read all files now at the path (a folder or one file) as a stream, aggregate, and return the result.
 
     State is one row per group. Each micro-batch writes the complete result into its
     own folder, so a batch run again after a failure replaces itself; the newest
     batch folder is the answer.
     """
-    source = spark.readStream.schema(schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        # A stream reads folders: one file is its folder with a filter on the name.
+        source = reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
+    else:
+        source = reader.parquet(path)
     out = scratch_dir(spark, "stream")
     newest: list[int] = []
 

@@ -11,11 +11,11 @@ from .registry import query
 
 @query("concat_vertical", """
 SELECT c_custkey, c_name, 'low' AS band FROM customer WHERE c_acctbal < 1000
-UNION ALL SELECT c_custkey, c_name, 'high' FROM customer WHERE c_acctbal >= 5000""")
+UNION ALL SELECT c_custkey, c_name, 'high' FROM customer WHERE c_acctbal >= 1000""")
 def concat_vertical(spark, root):
     c = table(spark, root, "customer")
     cut = lambda test, band: c.where(test).select("c_custkey", "c_name", F.lit(band).alias("band"))
-    return r.stack_rows(cut("c_acctbal < 1000", "low"), cut("c_acctbal >= 5000", "high"))
+    return r.stack_rows(cut("c_acctbal < 1000", "low"), cut("c_acctbal >= 1000", "high"))
 
 
 @query("concat_diagonal", """

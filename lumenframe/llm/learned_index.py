@@ -31,11 +31,11 @@ from ..session import scratch_dir
 from .registry import query, read
 
 TOP = 20
-PART_ROWS = 1500
-MOST_PARTS = 128
-SAMPLE_PER_PART = 128
-BLOCK = 4000
-MASS = 0.995
+PART_ROWS = 500
+MOST_PARTS = 16
+SAMPLE_PER_PART = 256
+BLOCK = 20_000
+MASS = 0.98
 LEAST_PARTS = 3
 HIDDEN = 96
 FOUND = "h1 bigint, h2 bigint, score double, vec_id bigint"
@@ -156,8 +156,8 @@ def rank_block(queries: np.ndarray, vectors: np.ndarray, ids: list[np.ndarray],
     many = np.array([len(x) for x in ids])
     flat, first = np.concatenate(ids), np.cumsum(many) - many
     norms = np.abs(vectors).max() * np.abs(queries).max() * vectors.shape[1]
-    for lo in range(0, len(queries), 256):
-        s = queries[lo:lo + 256] @ vectors.T
+    for lo in range(0, len(queries), 128):
+        s = queries[lo:lo + 128] @ vectors.T
         k = min(top, s.shape[1])
         least = -np.partition(-s, k - 1, axis=1)[:, k - 1] - 1e-12 * norms
         at, of = np.nonzero(s >= least[:, None])

@@ -6,6 +6,9 @@ by k = error * m edits. By the q-gram lemma a region within k edits shares at le
 the window, on diagonals that differ by at most k. So shared q-grams are counted in diagonal bands of width
 2 (k + 1), each overlapping the next by half: every such region fills one band. Bands with enough q-grams are
 verified by a banded alignment. Any text that holds 1.5 windows of an item in a row within the error is found.
+Shorter passages are found by short windows of `SHORT` characters that start every `SHORT_STEP`, with a smaller
+error: any SHORT + SHORT_STEP - 1 = 59 characters of an item in a row, wherever they start, with at most
+SHORT * SHORT_ERROR = 3 edits. An item of at most SHORT characters must occur whole, within the error.
 
 The benchmark comes in blocks of bounded size, each sent to all tasks; there is one pass over the documents per
 block, however large the benchmark is. Documents are only read, never shuffled. Texts are scanned whole, in
@@ -31,6 +34,9 @@ from .registry import query, read
 Q = 8
 WINDOW = 100
 ERROR = 0.1
+SHORT = 50
+SHORT_STEP = 10
+SHORT_ERROR = 0.06
 BLOCK_CHARS = 2_000_000
 PIECE = 300_000
 BITS = 22
@@ -73,25 +79,11 @@ def gram_hashes(codes: np.ndarray) -> np.ndarray:
     return mix(h, 0)
 
 
-class Windows:
-    """A block of benchmark windows with the index of their q-grams."""
+class Grams:
+    """The index of the q-grams of windows that are looked for with one error."""
 
-    def __init__(self, items: list[tuple[int | None, str]], window: int = WINDOW, error: float = ERROR):
-        self.items, self.start, self.codes, self.short = [], [], [], []
-        for n, (item, text) in enumerate(items):
-            codes, _ = normalize(text or "")
-            codes = _stripped(codes)
-            if not len(codes):
-                continue
-            if len(codes) < Q:
-                self.short.append((n, codes))
-                continue
-            step = window // 2
-            starts = [0] if len(codes) <= window else sorted({*range(0, len(codes) - window, step), len(codes) - window})
-            for s in starts:
-                self.items.append(n)
-                self.codes.append(codes[s:s + window])
-        self.ids = [item for item, _ in items]
+    def __init__(self, items: list[int], codes: list[np.ndarray], error: float):
+        self.items, self.codes = items, codes
         size = np.array([len(c) for c in self.codes], np.int64)
         self.edits = np.minimum((size * error).astype(np.int64), np.maximum(size - Q, 0) // Q)
         self.least = size - Q + 1 - self.edits * Q
@@ -103,20 +95,15 @@ class Windows:
         order = np.argsort(flat, kind="stable")
         self.keys, self.first, self.many = np.unique(flat[order], return_index=True, return_counts=True)
         self.owner, self.place = owner[order].astype(np.int64), place[order].astype(np.int64)
-        self.seen = np.zeros(1 << BITS, bool)
-        self.seen[self.keys >> np.uint64(64 - BITS)] = True
         self.reach = int((size + self.edits).max()) if len(size) else 0
         self.fewest = int(self.least.min()) if len(size) else 0
 
-    def find(self, codes: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
-        """Per window of the block: (start, stop, edits) of regions in the characters."""
+    def find(self, codes: np.ndarray, h: np.ndarray, hit: np.ndarray, upto: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+        """Per window: (start, stop, edits) of regions in the characters. hit: hashes h that may be known; upto: their running count from 0."""
         out = defaultdict(list)
-        if not len(self.keys) or len(codes) < Q:
+        if not len(self.keys):
             return out
-        h = gram_hashes(codes)
-        hit = self.seen[h >> np.uint64(64 - BITS)]
         # A region has at least `fewest` hits in `reach` characters: other hits cannot matter.
-        upto = np.concatenate([[0], np.cumsum(hit)])
         stop = np.minimum(np.arange(len(h)) + self.reach, len(h))
         dense = upto[stop] - upto[:-1] >= self.fewest
         edge = np.zeros(len(h) + 1, np.int64)
@@ -149,6 +136,46 @@ class Windows:
                 done[w] = found
         return out
 
+
+class Windows:
+    """A block of benchmark windows, long and short."""
+
+    def __init__(self, items: list[tuple[int | None, str]], window: int = WINDOW, error: float = ERROR):
+        self.short, long, brief = [], ([], []), ([], [])
+        for n, (item, text) in enumerate(items):
+            codes, _ = normalize(text or "")
+            codes = _stripped(codes)
+            if not len(codes):
+                continue
+            if len(codes) < Q:
+                self.short.append((n, codes))
+                continue
+            for (owners, parts), size, step in ((long, window, window // 2), (brief, SHORT, SHORT_STEP)):
+                if size < window and len(codes) <= size:
+                    continue  # the whole item is a long window
+                starts = [0] if len(codes) <= size else sorted({*range(0, len(codes) - size, step), len(codes) - size})
+                owners += [n] * len(starts)
+                parts += [codes[s:s + size] for s in starts]
+        self.ids = [item for item, _ in items]
+        self.grams = [Grams(*long, error), Grams(*brief, min(error, SHORT_ERROR))]
+        self.items = long[0] + brief[0]
+        self.seen = np.zeros(1 << BITS, bool)
+        for g in self.grams:
+            self.seen[g.keys >> np.uint64(64 - BITS)] = True
+        self.reach = max(g.reach for g in self.grams)
+
+    def find(self, codes: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+        """Per window of the block: (start, stop, edits) of regions in the characters."""
+        out = {}
+        if not self.reach or len(codes) < Q:
+            return out
+        h = gram_hashes(codes)
+        hit = self.seen[h >> np.uint64(64 - BITS)]
+        upto = np.concatenate([[0], np.cumsum(hit)])
+        for g, before in zip(self.grams, (0, len(self.grams[0].items))):
+            out |= {w + before: found for w, found in g.find(codes, h, hit, upto).items()}
+        return out
+
     def hits(self, text: str | None) -> list[dict]:
         """What the text holds of each item, in item order."""
         if not text:

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from rows import LONG, documents, empty, odd
@@ -150,6 +151,18 @@ def test_q_gram_filter_loses_no_region(spark):
         assert index.hits("x" * rng.randrange(40) + " " + "".join(t) + " yyyy")
 
 
+def test_short_quotes_are_found_wherever_they_start():
+    rng = random.Random(11)
+    item = sentence(rng, 40)[:250].strip()
+    index = decontaminate.Windows([(1, "some other item of the block"), (2, item)])
+    quotes = [item[s:s + n] for n in (60, 85, 100, 130) for s in range(len(item) - n + 1)]
+    for n, found in enumerate(index.search(pd.Series(["so " + q.upper() + " end" for q in quotes]))):
+        assert [x["item_id"] for x in found] == [2], quotes[n]
+    edited = [q[:20] + "#" + q[21:40] + q[41:55] + "##" + q[55:] for q in quotes if len(q) >= 130]
+    assert all(index.search(pd.Series(edited)))
+    assert not any(index.search(pd.Series([sentence(rng, 60) for _ in range(50)])))
+
+
 def test_language_scores_are_exact_code_lengths(spark):
     rng = random.Random(8)
     docs = [("a", " ".join(rng.choice(["the", "thin", "ether", "hat"]) for _ in range(40))) for _ in range(6)]

@@ -5,7 +5,7 @@ tags and its link text. Lines below menus, headers, footers, side bars, notices,
 reader comments (by element, role, class or id) have no text. A line's ratio is its characters outside
 links over its tags; the ratios are smoothed by a Gaussian over neighbouring lines, and lines above a threshold
 (the spread of the smoothed ratios, at most half their mean) form the content clusters. The article is the innermost
-container that holds nearly all cluster text, with all its lines but link lists, so that short paragraphs between
+container that holds all cluster text, with all its lines but link lists, so that short paragraphs between
 long ones stay.
 
 Text: character references decoded, white space inside a block as one space, ends trimmed, blocks joined in page order
@@ -44,7 +44,6 @@ REMARKS = frozenset("comment comments commentlist reply replies discussion disqu
 CLOSES_P = BLOCK - {"br", "html", "body"}
 _WORD = regex.compile(r"[A-Za-z]+")
 SIGMA = 1.5
-NEARLY_ALL = 0.75
 
 
 class Lines(HTMLParser):
@@ -171,11 +170,11 @@ def main_text(html: str | None) -> str:
     best = 0
     while best in children and page.kind[best] not in ("article", "main"):
         inner = children[best]
-        if held[inner] <= 0 or held[inner] < NEARLY_ALL * held[best] or (titled and inner not in titled and page.kind[inner] not in ("article", "main")):
+        if held[inner] <= 0 or held[inner] < held[best] or (titled and inner not in titled and page.kind[inner] not in ("article", "main")):
             break
         best = inner
-    if page.kind[best] == "main":  # an article inside, if it has nearly all
-        found = [c for c in range(best + 1, len(page.parent)) if page.kind[c] == "article" and held[c] >= NEARLY_ALL * held[best]]
+    if page.kind[best] == "main":  # an article inside, if it has all
+        found = [c for c in range(best + 1, len(page.parent)) if page.kind[c] == "article" and held[c] == held[best] > 0]
         best = found[0] if found else best
     inside = np.zeros(len(page.parent), bool)
     inside[best] = True

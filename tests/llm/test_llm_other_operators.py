@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -24,6 +25,16 @@ def test_main_text(page, text):
     assert html_main.main_text(page) == text
 
 
+@pytest.mark.parametrize("page", [
+    "<div><p>Lead.{0}</p><section><p>{1}</p></section></div>", "<h2>Title</h2><div><p>Lead.{0}</p><div><p>{0}</p><section><p>{1}</p></section></div></div>",
+    "<table><tr><td><p>Lead.{0}</p><blockquote><p>{1}</p></blockquote></td></tr></table>", "<main><p>Lead.{0}</p><article><p>{1}</p></article></main>",
+    "<main><article><p>Lead.{0}</p></article><article><p>{1}</p></article></main>", "<center><p>Lead.{0}</p><center><p>{1}</p></center></center>",
+])
+def test_no_paragraph_is_lost_beside_a_large_container(page):
+    html = "<html><body>" + page.format(" word" * 40, "more " * 200) + "</body></html>"
+    assert html_main.main_text(html).split() == re.sub("<[^>]*>", " ", html).split()
+
+
 def test_pages_keep_rows_and_columns(spark):
     rows = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<p>hi</p>", "y"), (1, "u", None, "x")], "page_id bigint, url string, html string, main_text string")
     assert sorted(r["main_text"] for r in html_main.with_main_text(rows).collect()) == ["", "", "hi"]

@@ -12,7 +12,7 @@ Text: character references decoded, white space inside a block as one space, end
 by one space. Nothing else is dropped or cut.
 
 Defined results: null and empty pages and pages without content give an empty text; unclosed and stray tags are
-accepted; a page without any markup is its own text; extra columns stay, `main_text` is replaced if there.
+accepted, an open head ends where something starts that cannot be in a head; a page without any markup is its own text; extra columns stay, `main_text` is replaced if there.
 """
 
 from __future__ import annotations
@@ -42,6 +42,7 @@ WORDS = frozenset("""ad ads advert adverts advertisement advertising banner spon
     widgets toolbar pagination pager login search copyright disclaimer skip""".split())
 REMARKS = frozenset("comment comments commentlist reply replies discussion disqus respond".split())
 CLOSES_P = BLOCK - {"br", "html", "body"}
+IN_HEAD = frozenset("html base basefont bgsound link meta title style script noscript noframes template".split())
 _WORD = regex.compile(r"[A-Za-z]+")
 SIGMA = 1.5
 
@@ -66,6 +67,8 @@ class Lines(HTMLParser):
         self.parts, self.links = [], 0
 
     def handle_starttag(self, tag: str, attrs) -> None:
+        if self.open["head"] and (tag == "body" and not self.open["template"] or self.stack[-1][0] == "head" and tag not in IN_HEAD):
+            self._close("head")  # its end tag may be left out
         if tag in BLOCK:
             self._line()
             if tag in CLOSES_P and self.open["p"]:
@@ -126,6 +129,8 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.beside and self.stack[-1][0] == "head" and data.strip():
+            self._close("head")
         if not self.beside:
             self.parts.append(data)
             if self.link:

@@ -35,6 +35,16 @@ def test_no_paragraph_is_lost_beside_a_large_container(page):
     assert html_main.main_text(html).split() == re.sub("<[^>]*>", " ", html).split()
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<head><title>T</title><body><p>text</p>", "text"), ("<html><head><title>T</title><p>text</p>", "text"), ("<head><meta charset=x><title>T</title>text", "text"),
+    ("<head><noscript><link href=x><body class=home><h1>A</h1><p>text</p>", "A text"), ("<head><title>T</title><nav>menu</nav><img src=x><p>text</p>", "text"),
+    ("<head> <noscript><div>off</div></noscript> <script>x</script> <title>T</title> </head><body><p>text</p>", "text"),
+    ("<head><template><p>no</p><body><i>no</i></template><style>p{}</style><body>text", "text"),
+])
+def test_a_head_may_be_left_open(page, text):
+    assert html_main.main_text(page) == text
+
+
 def test_pages_keep_rows_and_columns(spark):
     rows = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<p>hi</p>", "y"), (1, "u", None, "x")], "page_id bigint, url string, html string, main_text string")
     assert sorted(r["main_text"] for r in html_main.with_main_text(rows).collect()) == ["", "", "hi"]

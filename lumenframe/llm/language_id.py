@@ -202,7 +202,7 @@ def learn(labelled: DataFrame, order: int = ORDER, sample_rows: int = SAMPLE_ROW
     from pyspark.sql import Window
 
     rows = labelled.where("lang is not null and text is not null")
-    keyed = rows.select("lang", F.xxhash64("text").alias("pick"))
+    keyed = rows.select("lang", F.xxhash64("text").alias("pick")).distinct()  # copies count once
     picked = (keyed.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("pick"))).where(F.col("nth") <= sample_rows)
               .groupBy("lang").agg(F.max("pick").alias("last")))
     last = {r["lang"]: r["last"] for r in picked.collect()}

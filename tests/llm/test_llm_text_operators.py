@@ -202,6 +202,15 @@ def test_language_scores_are_exact_code_lengths(spark):
     assert language_id.with_language(spark, odd(spark), None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_copies_do_not_fill_the_language_sample(spark):
+    texts = [f"text{c} text{c}" for c in "abcdefgh"]
+    once = spark.createDataFrame([("x", t) for t in texts], "lang string, text string")
+    copies = spark.createDataFrame([("x", t) for t in texts for _ in range(50)], "lang string, text string")
+    for most in (4, 8):
+        want, got = (language_id.learn(d, order=3, sample_rows=most).bits([b"texta", b"texth texth"]) for d in (once, copies))
+        assert np.array_equal(want, got)
+
+
 def test_language_accuracy_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     done = language_id.with_language(spark, docs, language_id.learn_documents(docs)).where(language_id.held_out(F.col("doc_id")))

@@ -45,16 +45,6 @@ def row_map(df: DataFrame) -> Column:
                              F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]))
 
 
-def pick_row(numbered: DataFrame, n: int, line: str = "line") -> DataFrame:
-    """Data row n of a numbered scan; a missing row is an error."""
-    if n <= 0:
-        raise ValueError("row index must be positive")
-    found = numbered.where(F.col(line) == n)
-    if found.isEmpty():
-        raise ValueError(f"row {n} was not found")
-    return found
-
-
 def column_kind(name: Column, value: Column) -> Column:
     return (F.when(F.lower(name).endswith("id"), "identifier").when(value.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), "date")
             .when(value.rlike(r"^-?\d+(?:\.\d+)?$"), "numeric").otherwise("text"))
@@ -155,7 +145,7 @@ def _entries(pairs: dict[str, Column]) -> Column:
 
 def contextualize(snippets: DataFrame, table: DataFrame, dataset: str, index: Column, *, source: str | None = None,
                   priorities: dict[str, list[str]] = PRIORITIES, strict: bool = False) -> DataFrame:
-    """Every snippet as a request row for one picked row of a table (see `pick_row`).
+    """Every snippet as a request row for one picked row of a table (see `sources.csv.pick_record`).
 
     The snippets may be a table of any size: the one row is broadcast to it. All fields
     of a snippet stay. A blank snippet keeps its row with an `error`; with `strict` it

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans import context as x
 from ..session import scratch_dir, table
-from ..sources.files import write_csv
-from ..sources.lines import with_row_numbers
+from ..sources.csv import pick_record, write_csv
 from .registry import query
 
 # Snippets are documents, each led by one of these; the row that fills them is picked by its number.
@@ -55,9 +54,8 @@ def _requests(spark, root):
     d = table(spark, root, "documents", "doc_id")
     parts = F.array(*[F.lit(t.strip()) for _, t in TEMPLATES])
     snippet = F.when(F.col("doc_id") % 11 == 0, F.lit(" \n ")).otherwise(F.concat(F.get(parts, (F.col("doc_id") % 5).cast("int")), F.lit(" / "), F.col("text")))
-    folder = write_csv(table(spark, root, "customer").orderBy("c_custkey").coalesce(1), scratch_dir(spark, "customers"))
-    names = spark.read.option("header", True).csv(folder)
-    row = x.pick_row(with_row_numbers(names), PICKED).drop("line", "file")
+    folder = write_csv(table(spark, root, "customer").orderBy("c_custkey"), scratch_dir(spark, "customers"))
+    row = pick_record(spark, folder, n=PICKED)
     return x.contextualize(d.select(F.col("doc_id").alias("id"), "lang", snippet.alias("snippet")), row, "BestBuyers", F.lit(PICKED).cast("bigint"),
                            source="data/BestBuyers.csv", priorities=CUSTOMER)
 

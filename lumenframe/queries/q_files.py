@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..plans.context import row_map
 from ..session import scratch_dir, table
 from ..sources import files, lines
+from ..sources.encodings import CP1252
 from .registry import query
 
 ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"
@@ -99,12 +100,79 @@ def scan_csv_multi(spark, root):
 SELECT c_custkey % 5 AS piece, c_mktsegment, count(*) AS customers, CAST(round(sum(c_acctbal), 2) AS DOUBLE) AS balance
 FROM customer GROUP BY 1, 2""")
 def per_file_query(spark, root):
-    scan = files.scan_csv(spark, f"{_customer_in_five(spark, root)}/piece=*/*.csv", schema=CUSTOMER_DDL)
-    piece = F.regexp_extract(files.plain_path(F.col("_metadata.file_path")), r"piece=(\d+)/", 1).cast("bigint")
+    scan = files.scan_csv(spark, f"{_customer_in_five(spark, root)}/piece=*/*.csv", schema=CUSTOMER_DDL, file="file")
+    piece = F.regexp_extract(files.plain_path(F.col("file")), r"piece=(\d+)/", 1).cast("bigint")
     return scan.groupBy(piece.alias("piece"), "c_mktsegment").agg(
         F.count(F.lit(1)).alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
+def _quoted(text):
+    """A text as other tools write it: in quotes, quotes doubled."""
+    return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def _documents_as_csv(spark, root, folder, encode=None, mark=False, **more):
+    """Raw CSV text of `documents` with CRLF ends, not made by a CSV writer: titles with commas, quotes and line breaks, notes that
+    are null, empty or text by rule. `encode` turns a text into bytes held in a text column."""
+    i = F.col("doc_id")
+    title = F.concat(F.lit('No. "'), i.cast("string"), F.lit('",\r\n'), F.col("source"))
+    note = F.when(i % 3 == 0, "").when(i % 3 == 1, '""').otherwise(F.lit("plain 5\" note"))
+    row = F.concat_ws(",", i.cast("string"), _quoted(title), note, _quoted(F.concat(*more.get("lead", [F.lit("")]), F.col("text"))))
+    rows = table(spark, root, "documents").where(more.get("only", F.lit(True))).select(F.concat(row, F.lit("\r")).alias("value"))
+    # Each task writes one file, so its first row gets the header.
+    header = ("\ufeff" if mark else "") + "doc_id,title,note,text\r\n"
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    lines = rows.withColumn("value", F.when(place == 0, F.concat(F.lit(header), "value")).otherwise(F.col("value")))
+    (lines.select(encode(F.col("value")).alias("value")) if encode else lines).write.text(folder)
+    return folder
+
+
+CSV_DDL = "doc_id bigint, title string, note string, text string"
+
+
+def _csv_sql(lead="''"):
+    return f"""
+SELECT doc_id, 'No. "' || doc_id || '",' || chr(13) || chr(10) || source AS title,
+  CASE doc_id % 3 WHEN 1 THEN '' WHEN 2 THEN 'plain 5" note' END AS note, {lead} || text AS text FROM documents"""
+
+
+@query("scan_csv_quoted", _csv_sql())
+def scan_csv_quoted(spark, root):
+    return files.scan_csv(spark, _documents_as_csv(spark, root, scratch_dir(spark, "quoted")), schema=CSV_DDL)
+
+
+def _as_latin1(text):
+    return F.encode(text, "ISO-8859-1").cast("string")
+
+
+def _as_cp1252(text):
+    return _as_latin1(F.translate(text, CP1252, "".join(map(chr, range(0x80, 0xA0)))))
+
+
+# Which documents can be written in one byte a character, and which of these as which encoding.
+ONE_BYTE = r"^[\x00-\x7F\u00A0-\u00FF]*\z"
+ENCODINGS_LEAD = {"cp1252": "“€é” ", "latin1": "\x81é ", "utf8": "é€\x81 ", "plain": ""}
+
+
+def _encoding(text, doc_id):
+    fits = text.rlike(ONE_BYTE)
+    return (F.when(fits & (doc_id % 4 == 0), "cp1252").when(fits & (doc_id % 4 == 1), "latin1").when(doc_id % 4 == 2, "utf8").otherwise("plain"))
+
+
+ENCODINGS_SQL = r"""CASE WHEN doc_id % 4 = 0 AND regexp_full_match(text, '[\x00-\x7F\x{A0}-\x{FF}]*') THEN '“€é” '
+  WHEN doc_id % 4 = 1 AND regexp_full_match(text, '[\x00-\x7F\x{A0}-\x{FF}]*') THEN chr(129) || 'é ' WHEN doc_id % 4 = 2 THEN 'é€' || chr(129) || ' ' ELSE '' END"""
+
+
+@query("scan_csv_encodings", _csv_sql(ENCODINGS_SQL))
+def scan_csv_encodings(spark, root):
+    # One folder with files in Windows-1252, Latin-1, UTF-8 with a mark, and UTF-8.
+    base = scratch_dir(spark, "encoded")
+    for kind, lead in ENCODINGS_LEAD.items():
+        how = {"cp1252": _as_cp1252, "latin1": _as_latin1}.get(kind)
+        _documents_as_csv(spark, root, f"{base}/{kind}", how, kind == "utf8", only=_encoding(F.col("text"), F.col("doc_id")) == kind, lead=[F.lit(lead)])
+    return files.scan_csv(spark, *[f"{base}/{kind}" for kind in ENCODINGS_LEAD], schema=CSV_DDL)
+
+
 @query("write_csv", "SELECT * FROM supplier")
 def write_csv(spark, root):
     folder = files.write_csv(table(spark, root, "supplier"), scratch_dir(spark, "supplier"), gzip=True)
@@ -201,20 +269,24 @@ SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS row_number, 'c_acctb
 def csv_row_pick(spark, root):
     rows = table(spark, root, "customer").select(
         "c_custkey", "c_name", F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey") % 100).alias("c_acctbal"))
-    folder = files.write_csv(rows.orderBy("c_custkey").coalesce(1), scratch_dir(spark, "pick"))
-    scan = files.scan_csv(spark, folder, schema="c_custkey bigint, c_name string, c_acctbal bigint")
+    # Sorted over many files; numbers go on from file to file.
+    folder = files.write_csv(rows.orderBy("c_custkey"), scratch_dir(spark, "pick"))
+    scan = files.scan_csv(spark, folder, schema="c_custkey bigint, c_name string, c_acctbal bigint", number="row_number", across=True)
     entries = F.array_sort(F.transform(F.map_entries("row"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
-    return lines.with_row_numbers(scan).select("c_custkey", F.col("line").alias("row_number"), row_map(scan).alias("row")).select(
+    return scan.select("c_custkey", "row_number", row_map(scan.drop("row_number")).alias("row")).select(
         "c_custkey", "row_number", F.array_join(entries, ";").alias("row_text"))
 
 
-@query("text_encoding_fallback", "SELECT doc_id, text FROM documents")
+@query("text_encoding_fallback", f"SELECT doc_id, {ENCODINGS_SQL} || text AS text FROM documents")
 def text_encoding_fallback(spark, root):
-    # Texts that fit cp1252 are stored in it by rule, others as UTF-8 with or without a mark.
-    t = table(spark, root, "documents")
-    fits = F.col("text").rlike(r"^[\x00-\x7F -ÿ]*\z") & F.col("text").rlike(r"[À-ÿ](?![\u0080-¿])")
-    stored = (F.when(fits & (F.col("doc_id") % 2 == 0), F.encode("text", "ISO-8859-1"))
-              .when(F.col("doc_id") % 3 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")))
-              .otherwise(F.encode("text", "UTF-8")))
-    folder = files.write_parquet(t.select("doc_id", stored.alias("raw")), scratch_dir(spark, "bytes"))
-    return spark.read.parquet(folder).select("doc_id", lines.decode_bytes(F.col("raw")).alias("text"))
+    # JSON lines in one folder: files in Windows-1252, Latin-1, UTF-8 with a mark, and UTF-8.
+    base = scratch_dir(spark, "encoded")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    for kind, lead in ENCODINGS_LEAD.items():
+        how = {"cp1252": _as_cp1252, "latin1": _as_latin1}.get(kind, lambda c: c)
+        rows = table(spark, root, "documents").where(_encoding(F.col("text"), F.col("doc_id")) == kind)
+        line = F.to_json(F.struct("doc_id", F.concat(F.lit(lead), "text").alias("text")))
+        if kind == "utf8":
+            line = F.when(place == 0, F.concat(F.lit("\ufeff"), line)).otherwise(line)
+        rows.select(how(line).alias("value")).write.text(f"{base}/{kind}")
+    return files.scan_json(spark, f"{base}/*", "doc_id bigint, text string", any_encoding=True)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir, table
-from ..sources.files import write_csv
+from ..sources.files import scan_csv, write_csv
 from ..streaming.bounded import run_once
 from .registry import query
 
@@ -51,8 +51,8 @@ def sql_function(spark, root):
 def sql_table_function(spark, root):
     folder = write_csv(table(spark, root, "customer"), scratch_dir(spark, "customer"))
     name = f"customer_csv_{uuid.uuid4().hex}"
-    spark.sql(f"CREATE TEMP VIEW {name} (c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, "
-              f"c_mktsegment STRING) USING csv OPTIONS (path '{folder}', header 'true')")
+    # The view reads CSV by the library's rules, not by those of the built-in source.
+    scan_csv(spark, folder, schema="c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").createTempView(name)
     found = spark.sql(f"SELECT c_custkey, c_name, c_acctbal FROM {name} WHERE c_acctbal > 0")
     spark.catalog.dropTempView(name)
     return found

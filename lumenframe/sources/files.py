@@ -1,4 +1,4 @@
-"""File scans and sinks over Spark's readers and writers."""
+"""File scans and sinks over Spark's readers and writers (CSV: see `csv`)."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .csv import scan_csv, write_csv
+from .encodings import scan_lines, scan_texts
+
 
 def scan_parquet(spark: SparkSession, *paths: str, glob: str | None = None, base: str | None = None) -> DataFrame:
     """Parquet files or folders. `key=value` folders below a folder, or below `base`,
@@ -31,23 +34,17 @@ def scan_leaves(spark: SparkSession, folders: Iterable[str]) -> DataFrame:
     return out
 
 
-def scan_csv(spark: SparkSession, *paths: str, schema: T.StructType | str | None = None,
-             overrides: dict[str, str] | None = None) -> DataFrame:
-    """CSV with a header. Without a schema types are inferred, which costs one more
-    pass; `overrides` then replaces the types of single columns."""
-    reader = spark.read.option("header", True)
-    if schema is None:
-        schema = reader.option("inferSchema", True).csv(list(paths)).schema
-        reader = spark.read.option("header", True)
-    elif isinstance(schema, str):
-        schema = T.StructType.fromDDL(schema)
-    kinds = overrides or {}
-    fields = [T.StructField(f.name, T.DataType.fromDDL(kinds[f.name]) if f.name in kinds else f.dataType) for f in schema.fields]
-    return reader.schema(T.StructType(fields)).csv(list(paths))
-
-
-def scan_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, *, lines: bool = True) -> DataFrame:
-    """JSON lines, or whole documents holding an array (one file is one task then)."""
+def scan_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, *, lines: bool = True,
+              any_encoding: bool = False) -> DataFrame:
+    """JSON lines, or whole documents holding an array (one file is one task then). With `any_encoding` each file's
+    encoding is found first (see `encodings`); otherwise all are UTF-8."""
+    if any_encoding:
+        texts = scan_lines(spark, path).select("value") if lines else scan_texts(spark, path).select("text")
+        reader = spark._jsparkSession.read()
+        if schema is not None:
+            reader = reader.schema((schema if isinstance(schema, str) else schema.simpleString().removeprefix("struct<").removesuffix(">")))
+        typed = getattr(texts._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+        return DataFrame(reader.json(typed), spark)
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.option("multiLine", not lines).json(path)
 
@@ -58,12 +55,6 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     return path
 
 
-def write_csv(df: DataFrame, path: str, *, gzip: bool = False) -> str:
-    writer = df.write.mode("overwrite").option("header", True)
-    (writer.option("compression", "gzip") if gzip else writer).csv(path)
-    return path
-
-
 def write_jsonl(df: DataFrame, path: str) -> str:
     """One object per line, nulls and Unicode kept."""
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
@@ -89,9 +80,8 @@ def scan_any(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def scan_sources(spark: SparkSession, root: str) -> DataFrame:
-    """Every file below a folder as one row: path relative to the folder, and text."""
-    found = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
-    return found.select(relative_path(spark, root, F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
+    """Every file below a folder as one row: path relative to the folder, and text in whatever encoding the file has."""
+    return scan_texts(spark, root).select(relative_path(spark, root, F.col("file")).alias("path"), "text")
 
 
 def plain_path(path: Column) -> Column:

@@ -1,14 +1,14 @@
-"""Text lines with their numbers, JSON lines, and bytes of unknown encoding."""
+"""Text lines with their numbers, and JSON lines."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..operators.ordering import join_back
 from ..operators.reshape import settle
+from .encodings import decode_bytes, decode_files
 
 
 def with_row_numbers(scan: DataFrame, name: str = "line") -> DataFrame:
@@ -28,8 +28,10 @@ def with_row_numbers(scan: DataFrame, name: str = "line") -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Every text line with its file and its number in that file; blank lines count."""
-    return with_row_numbers(spark.read.text(path))
+    """Every text line with its file and its number in that file, in the file's encoding; blank lines count."""
+    numbered = decode_files(with_row_numbers(spark.read.text(path)))
+    first = F.col("line") == 1
+    return numbered.withColumn("value", F.when(first, F.regexp_replace("value", "^\uFEFF", "")).otherwise(F.col("value")))
 
 
 def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -58,23 +60,4 @@ def require_clean(df: DataFrame, line: str = "line", error: str = "error") -> Da
     return df
 
 
-def _decode(data: pd.Series) -> pd.Series:
-    def one(raw: bytes | None) -> str | None:
-        if raw is None:
-            return None
-        try:
-            return bytes(raw).decode("cp1252")
-        except UnicodeDecodeError:
-            return bytes(raw).decode("latin-1")
-    return data.map(one)
-
-
-def decode_bytes(c: Column) -> Column:
-    """UTF-8 with or without a byte order mark, else cp1252, else latin-1.
-
-    Only rows that are not UTF-8 reach Python with content.
-    """
-    text = c.cast("string")
-    valid = F.is_valid_utf8(text)
-    other = F.pandas_udf(_decode, "string")(F.when(~valid, c))
-    return F.when(valid, F.regexp_replace(text, "^\\uFEFF", "")).otherwise(other)
+__all__ = ["decode_bytes", "first_error", "numbered_lines", "parse_lines", "require_clean", "with_row_numbers"]

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import is_blank, strip
+from ..functions.content import completion_to_text, content_to_text
+from ..functions.text import is_blank
 from .requests import kind, turn
 
 # Marks of hidden reasoning, and the roles allowed in a chat.
@@ -24,43 +22,6 @@ GOLD_PROMPT = (
     "and your final answer inside <answer>...</answer>."
 )
 
-DEPTH = 1
-
-
-def content_to_text(v: Column) -> Column:
-    """Message content as text: a text, an object with `text` or `content`, or a list of
-    parts joined by line breaks, at any depth. Columns of texts pass through.
-
-    Up to `DEPTH` levels are one native expression; deeper content goes on as JSON to
-    an Arrow function, which gets a null for all other rows.
-    """
-    shallow = _content(v, DEPTH)
-    return F.coalesce(shallow, F.pandas_udf(_deep_content, "string")(F.when(shallow.isNull(), F.to_json(v))))
-
-
-def _deep_content(values: pd.Series) -> pd.Series:
-    return values.map(lambda x: None if x is None else _content_of(json.loads(x)))
-
-
-def _content_of(value) -> str:
-    while isinstance(value, dict) and ("text" in value or "content" in value):
-        value = value["text"] if "text" in value else value["content"]
-    if value is None or isinstance(value, str):
-        return value or ""
-    if not isinstance(value, list):
-        return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
-    parts = [x if isinstance(x, str) else _part_of(x) for x in value]
-    return "\n".join(p for p in parts if p).strip()
-
-
-def _part_of(item) -> str:
-    if not isinstance(item, dict):
-        return ""
-    if item.get("type") == "text":
-        text = item.get("text", "")
-        return text if isinstance(text, str) else json.dumps(text, ensure_ascii=False, separators=(",", ":"))
-    return _content_of(item["content"]) if "content" in item else ""
-
 
 def as_variant(df: DataFrame, name: str) -> Column:
     """A column of any type as a variant; a variant stays."""
@@ -91,35 +52,7 @@ def chat_column(df: DataFrame, name: str) -> Column:
 def chat_of(v: Column) -> Column:
     """A variant list of messages as roles and texts, content of any depth flattened."""
     items = F.when(kind(v).startswith("ARRAY"), F.variant_get(v, "$", "array<variant>"))
-    shallow = F.transform(items, lambda m: F.struct(F.variant_get(m, "$.role", "string").alias("role"), _content(F.variant_get(m, "$.content", "variant"), DEPTH).alias("content")))
-    deep = F.exists(shallow, lambda m: m["content"].isNull())
-    return F.when(deep, F.pandas_udf(_deep_chat, CHAT)(F.when(deep, F.to_json(v)))).otherwise(shallow)
-
-
-def _deep_chat(values: pd.Series) -> pd.Series:
-    def one(text: str) -> list[dict]:
-        return [{"role": m.get("role"), "content": _content_of(m.get("content"))} if isinstance(m, dict) else {"role": None, "content": ""} for m in json.loads(text)]
-    return values.map(lambda x: None if x is None else one(x))
-
-
-def completion_to_text(v: Column) -> Column:
-    """A completion as text: a text, a message, or a list of messages joined by line breaks."""
-    k = kind(v)
-    message = lambda m: F.coalesce(F.variant_get(m, "$.content", "variant"), m)
-    plain = _content(F.when(k.startswith("OBJECT"), message(v)).otherwise(v), DEPTH)
-    items = F.when(k.startswith("ARRAY"), F.variant_get(v, "$", "array<variant>"))
-    parts = F.transform(items, lambda m: F.when(kind(m).startswith("ARRAY"), F.lit(None)).when(kind(m).startswith("OBJECT"), _content(message(m), DEPTH)).otherwise(_content(m, DEPTH)))
-    listed = F.when(~F.exists(parts, lambda p: p.isNull()), strip(F.array_join(F.filter(parts, lambda p: p != ""), "\n")))
-    shallow = F.when(k.startswith("ARRAY"), listed).otherwise(plain)
-    return F.coalesce(shallow, F.pandas_udf(_deep_completion, "string")(F.when(shallow.isNull(), F.to_json(v))))
-
-
-def _deep_completion(values: pd.Series) -> pd.Series:
-    def one(value) -> str:
-        if isinstance(value, list):
-            return "\n".join(p for p in map(one, value) if p).strip()
-        return _content_of(value.get("content", value) if isinstance(value, dict) else value)
-    return values.map(lambda x: None if x is None else one(json.loads(x)))
+    return F.transform(items, lambda m: F.struct(F.try_variant_get(m, "$.role", "string").alias("role"), content_to_text(F.try_variant_get(m, "$.content", "variant")).alias("content")))
 
 
 def completion_column(df: DataFrame, name: str) -> Column:
@@ -129,34 +62,6 @@ def completion_column(df: DataFrame, name: str) -> Column:
     return F.coalesce(completion_to_text(as_variant(df, name)), F.lit(""))
 
 
-def _content(v: Column, depth: int) -> Column:
-    """`content_to_text` of at most `depth` levels, null below."""
-    k = kind(v)
-    other = F.when(k.isNull() | (k == "VOID"), F.lit("")).when(k == "STRING", F.variant_get(v, "$", "string"))
-    shown = F.variant_get(v, "$", "string")
-    if depth == 0:
-        return other.when(~k.startswith("OBJECT") & ~k.startswith("ARRAY"), shown)
-    text, content = F.variant_get(v, "$.text", "variant"), F.variant_get(v, "$.content", "variant")
-
-    def part(item: Column) -> Column:
-        ik = kind(item)
-        inner = F.variant_get(item, "$.content", "variant")
-        typed = F.variant_get(item, "$.type", "string") == "text"
-        return (F.when(ik == "STRING", F.variant_get(item, "$", "string"))
-                .when(~ik.startswith("OBJECT"), F.lit(""))
-                .when(typed, F.coalesce(F.variant_get(item, "$.text", "string"), F.lit("")))
-                .when(inner.isNotNull(), _content(inner, depth - 1)).otherwise(F.lit("")))
-
-    items = F.when(k.startswith("ARRAY"), F.variant_get(v, "$", "array<variant>"))
-    parts = F.transform(items, part)
-    joined = F.when(F.exists(parts, lambda p: p.isNull()), F.lit(None)).otherwise(
-        strip(F.array_join(F.filter(parts, lambda p: p != ""), "\n")))
-    return (other.when(k.startswith("OBJECT") & text.isNotNull(), _content(text, depth - 1))
-            .when(k.startswith("OBJECT") & content.isNotNull(), _content(content, depth - 1))
-            .when(k.startswith("OBJECT"), F.to_json(v))
-            .when(k.startswith("ARRAY"), joined).otherwise(shown))
-
-
 def render_turns(messages: Column) -> Column:
     """Messages as turn text; the assistant is shown as `model`."""
     shown = lambda m: F.concat(F.lit("<|turn>"), F.when(m["role"] == "assistant", F.lit("model")).otherwise(m["role"]),

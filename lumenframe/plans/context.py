@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,23 +18,35 @@ PRIORITIES = {
     "id_column": ["Order ID", "Customer ID", "Product ID", "Row ID"],
 }
 
-# The task mark and the lines around the parts of a request message.
+# The task mark, and the request message with its parts in braces.
 TASK = "contextualize_snippet"
-OPENING = [
-    "Contextualize the snippet with the provided CSV sample.", "", "Rules:",
-    "- Keep the snippet language and overall intent.",
-    "- Replace generic placeholders with concrete dataset values.",
-    "- Prefer exact CSV column names when referencing fields.",
-    "- Prefer the provided dataset_var_name and row_var_name for new variable names.",
-    "- Do not add explanations before or after the snippet.", "",
-]
-CLOSING = "Return only the final contextualized snippet."
+MESSAGE = """Contextualize the snippet with the provided CSV sample.
+
+Rules:
+- Keep the snippet language and overall intent.
+- Replace generic placeholders with concrete dataset values.
+- Prefer exact CSV column names when referencing fields.
+- Prefer the provided dataset_var_name and row_var_name for new variable names.
+- Do not add explanations before or after the snippet.
+
+Original snippet:
+{snippet}
+
+Rule-based draft:
+{draft}
+
+CSV row context:
+{row}
 
+Column aliases:
+{aliases}
 
-def slugs(spark: SparkSession, names: list[str]) -> list[str]:
-    """Slugs of header names. The header has a fixed size and constants need no job."""
-    row = spark.range(1).select(*[slug(F.lit(n)).alias(f"s{i}") for i, n in enumerate(names)]).first()
-    return list(row)
+Representative columns:
+{chosen}
+
+Return only the final contextualized snippet."""
+
+TOKENS = "map<string,struct<place:int,text:string>>"
 
 
 def as_text(df: DataFrame) -> DataFrame:
@@ -78,41 +93,58 @@ def representative_columns(row: Column, columns: list[str], priorities: dict[str
     return out
 
 
-def replacements(spark: SparkSession, columns: list[str], row: Column, dataset: str,
-                 priorities: dict[str, list[str]] = PRIORITIES) -> list[tuple[str, Column]]:
-    """Tokens with their texts in the order of replacement. A token named twice keeps
-    its first place and takes its last text."""
-    var = slugs(spark, [dataset])[0]
-    chosen = representative_columns(row, columns, priorities)
-    made: dict[str, Column] = {}
-
-    def put(token: str, text: Column) -> None:
-        for form in ("{%s}", "<%s>"):
-            made[form % token] = text
-
-    put("dataset", F.lit(var))
-    put("row", F.lit(f"{var}_row"))
-    for label in ("entity_column", "metric_column", "date_column", "id_column"):
-        put(label, chosen.get(label, F.lit("")))
-    for name, alias in zip(columns, slugs(spark, columns)):
-        for shown in (name, alias):
-            put(f"column:{shown}", F.lit(name))
-            put(f"value:{shown}", row[name])
-    return list(made.items())
-
-
-def replace_tokens(text: Column, pairs: list[tuple[str, Column]]) -> Column:
-    """Replace tokens one after the other; later tokens see earlier output, and a token
-    with an empty text stays as it is."""
-    for token, to in pairs:
-        text = F.replace(text, F.lit(token), F.coalesce(F.nullif(to, F.lit("")), F.lit(token)))
-    return text
+def tokens_of(var: str, columns: dict[str, str], aliases: dict[str, str], chosen: dict[str, str]) -> dict[str, tuple[int, str]]:
+    """Tokens with their places in the order of replacement and their texts; those with an empty text are left out. A token named
+    twice keeps its first place and takes its last text."""
+    named = {"dataset": var, "row": f"{var}_row", **{label: chosen.get(label, "") for label in ("entity_column", "metric_column", "date_column", "id_column")}}
+    for name, value in columns.items():
+        for shown in (name, aliases[name]):
+            named[f"column:{shown}"], named[f"value:{shown}"] = name, value
+    made = {form % token: text for token, text in named.items() for form in ("{%s}", "<%s>")}
+    return {token: (place, text) for place, (token, text) in enumerate(made.items()) if text}
+
 
+def token_map(pairs: list[tuple[str, Column]]) -> Column:
+    """Tokens with texts that differ from row to row, in the order of replacement."""
+    listed = F.array(*[F.struct(F.lit(token), F.struct(F.lit(i).alias("place"), to.alias("text"))) for i, (token, to) in enumerate(pairs)])
+    return F.map_from_entries(F.filter(listed, lambda e: F.coalesce(e["col2"]["text"] != "", F.lit(False)))).cast(TOKENS)
 
-def replace_words(text: Column, words: dict[str, str]) -> Column:
+
+def replace_tokens(text: Column, tokens: Column) -> Column:
+    """Replace tokens in the order of their places: a token sees the output of those before it, and is not looked for again.
+
+    tokens: `TOKENS`, each beginning with `{` or `<`. A scan finds all that looks like a token and looks it up; the first one in
+    order is replaced, and the next scan goes on from its place. So there are as many scans as different tokens in the text, and
+    the plan has the same size for any number of tokens. Tokens with brackets inside are looked for one by one.
+    """
+    regular = r"^(\{[^{}]+\}|<[^<>]+>)$"
+    odd = F.filter(F.map_keys(tokens), lambda t: ~t.rlike(regular))
+    openers = lambda t: F.char_length(t) - F.char_length(F.translate(t, "{<", ""))
+    made = F.exists(F.map_values(tokens), lambda v: openers(v["text"]) > 0)
+    # Without brackets in the texts, each further token needs an opening bracket of the snippet.
+    most = F.when(made, F.size(tokens)).otherwise(F.least(F.size(tokens), openers(text)))
+
+    def step(acc: Column, _: Column) -> Column:
+        seen = F.array_union(F.regexp_extract_all(acc["text"], F.lit(r"\{[^{}]+\}"), F.lit(0)), F.regexp_extract_all(acc["text"], F.lit("<[^<>]+>"), F.lit(0)))
+        seen = F.concat(seen, F.filter(odd, lambda t: F.contains(acc["text"], t)))
+        found = F.transform(F.filter(seen, lambda t: F.map_contains_key(tokens, t)),
+                            lambda t: F.struct(F.element_at(tokens, t)["place"].alias("place"), t.alias("token"), F.element_at(tokens, t)["text"].alias("to")))
+        first = F.array_min(F.filter(found, lambda x: x["place"] > acc["place"]))
+        state = lambda text, place: F.struct(text.alias("text"), place.alias("place"))
+        # Past the last token the place is -2, and nothing is looked for any more.
+        nxt = F.get(F.transform(F.array(first), lambda x: F.when(x.isNull(), state(acc["text"], F.lit(-2))).otherwise(
+            state(F.replace(acc["text"], x["token"], x["to"]), x["place"]))), F.lit(0))
+        return F.when(acc["place"] == -2, acc).otherwise(nxt)
+
+    start = F.struct(text.alias("text"), F.lit(-1).alias("place"))
+    replaced = F.aggregate(F.sequence(F.lit(1), most), start, step, lambda acc: acc["text"])
+    return F.when(most > 0, replaced).otherwise(text)
+
+
+def replace_words(text: Column, words: dict[str, str | Column]) -> Column:
     """Replace whole words, with Unicode word borders."""
     for word, to in words.items():
-        text = F.regexp_replace(text, rf"(?U)\b{word}\b", to)
+        text = F.regexp_replace(text, F.lit(rf"(?U)\b{word}\b"), F.lit(to) if isinstance(to, str) else to)
     return text
 
 
@@ -123,27 +155,37 @@ def json_text(c: Column) -> Column:
     return F.when(c.rlike(r'[\x00-\x1F"\\]'), written).otherwise(F.concat(F.lit('"'), c, F.lit('"')))
 
 
-def json_block(entries: dict[str, Column]) -> Column:
-    """Texts by name as a JSON object with two-space indent, nulls left out."""
-    lines = [F.when(v.isNotNull(), F.concat(F.lit("  "), json_text(F.lit(k)), F.lit(": "), json_text(v))) for k, v in entries.items()]
-    body = F.array_join(F.array(*lines), ",\n")
-    return F.when(body == "", F.lit("{}")).otherwise(F.concat(F.lit("{\n"), body, F.lit("\n}")))
-
-
 def message(snippet: Column, draft: Column, row: Column, aliases: Column, chosen: Column) -> Column:
     """Request text of a snippet; the last three are JSON objects as text."""
-    parts = [*map(F.lit, OPENING), F.lit("Original snippet:"), snippet, F.lit(""), F.lit("Rule-based draft:"), draft, F.lit(""),
-             F.lit("CSV row context:"), row, F.lit(""), F.lit("Column aliases:"), aliases, F.lit(""),
-             F.lit("Representative columns:"), chosen, F.lit(""), F.lit(CLOSING)]
-    return F.concat_ws("\n", *parts)
-
-
-def _entries(pairs: dict[str, Column]) -> Column:
-    listed = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs.items()])
-    return F.filter(listed, lambda e: e["value"].isNotNull())
-
-
-def contextualize(snippets: DataFrame, table: DataFrame, dataset: str, index: Column, *, source: str | None = None,
+    held = {"snippet": snippet, "draft": draft, "row": row, "aliases": aliases, "chosen": chosen}
+    parts = re.split(r"\{(\w+)\}", MESSAGE)
+    return F.concat(*[held[part] if i % 2 else F.lit(part) for i, part in enumerate(parts)])
+
+
+def row_context(spark: SparkSession, columns: dict[str, str], dataset: str, index: int, priorities: dict[str, list[str]] = PRIORITIES) -> DataFrame:
+    """All that depends on the picked row alone, as one row: tokens, the JSON texts of the message, and the context record.
+
+    Names and values of one row are plain data here, so no plan grows with the number of columns."""
+    cells = spark.createDataFrame([(i, n, v) for i, (n, v) in enumerate([(dataset, ""), *columns.items()])], "i int, name string, value string")
+    found = sorted(tuple(r) for r in cells.select("i", slug(F.col("name")), column_kind(F.col("name"), F.col("value"))).collect())
+    var, aliases = found[0][1], {n: a for n, (_, a, _) in zip(columns, found[1:])}
+    kinds = {n: k for n, (_, _, k) in zip(columns, found[1:])}
+    # Columns named by the priorities come first; those that stand in for missing ones follow.
+    fixed = representatives(list(columns), priorities)
+    chosen = {label: n for label, n in fixed.items() if n in priorities.get(label, ())} | fixed
+    if "metric_column" not in chosen and "numeric" in kinds.values():
+        chosen["metric_column"] = next(n for n, k in kinds.items() if k == "numeric")
+    tokens = {t: {"place": p, "text": text} for t, (p, text) in tokens_of(var, columns, aliases, chosen).items()}
+    record = {"__task": TASK, "dataset_name": dataset, "dataset_var_name": var, "row_var_name": f"{var}_row", "row_index": index, "row": columns,
+              "column_aliases": aliases, "column_kinds": kinds, "representative_columns": chosen, "representative_values": {label: columns[n] for label, n in chosen.items()}}
+    block = lambda entries: json.dumps(entries, ensure_ascii=False, indent=2)
+    texts = "map<string,string>"
+    schema = (f"_tokens {TOKENS}, _row_json string, _aliases string, _chosen string, tables struct<__task:string,dataset_name:string,dataset_var_name:string,"
+              f"row_var_name:string,row_index:bigint,row:{texts},column_aliases:{texts},column_kinds:{texts},representative_columns:{texts},representative_values:{texts}>")
+    return spark.createDataFrame([(tokens, block(columns), block(aliases), block(chosen), record)], schema)
+
+
+def contextualize(snippets: DataFrame, table: DataFrame, dataset: str, index: int, *, source: str | None = None,
                   priorities: dict[str, list[str]] = PRIORITIES, strict: bool = False) -> DataFrame:
     """Every snippet as a request row for one picked row of a table (see `sources.csv.pick_record`).
 
@@ -151,36 +193,21 @@ def contextualize(snippets: DataFrame, table: DataFrame, dataset: str, index: Co
     of a snippet stay. A blank snippet keeps its row with an `error`; with `strict` it
     is raised. `index` is the number of the row.
     """
-    if len(table.select(F.lit(1)).take(2)) != 1:
+    picked = as_text(table).take(2)
+    if len(picked) != 1:
         raise ValueError("one row has to be picked")
     spark = table.sparkSession
-    columns = table.columns
-    # What depends on the row alone is made once, before it meets the snippets.
-    shown = json_block({c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns})
-    rows = table.select(index.alias("row_index"), row_map(table).alias("_row"), shown.alias("_row_json"))
+    context = row_context(spark, dict(zip(table.columns, picked[0])), dataset, index, priorities)
     fault = F.when(F.coalesce(is_blank(F.col("snippet")), F.lit(True)), F.lit("empty snippet"))
     if strict:
         fault = F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("empty snippet: "), F.col("id").cast("string"))))
-    both = snippets.withColumns({"error": fault, "snippet": strip(F.col("snippet"))}).crossJoin(F.broadcast(rows))
-    row = F.col("_row")
-    var = slugs(spark, [dataset])[0]
-    words = {"df": var, "row": f"{var}_row"}
-    draft = replace_words(replace_tokens(F.col("snippet"), replacements(spark, columns, row, dataset, priorities)), words)
-    drafted = both.withColumn("rule_based_draft", draft)
-    chosen = representative_columns(row, columns, priorities)
-    aliases = {n: F.lit(a) for n, a in zip(columns, slugs(spark, columns))}
-    kinds = F.map_from_entries(F.transform(F.map_entries(row), lambda e: F.struct(e["key"], column_kind(e["key"], e["value"]))))
-    values = {label: F.element_at(row, name) for label, name in chosen.items()}
-    tables = F.struct(
-        F.lit(TASK).alias("__task"), F.lit(dataset).alias("dataset_name"), F.lit(var).alias("dataset_var_name"),
-        F.lit(f"{var}_row").alias("row_var_name"), F.col("row_index"), row.alias("row"),
-        F.map_from_entries(_entries(aliases)).alias("column_aliases"), kinds.alias("column_kinds"),
-        F.map_from_entries(_entries(chosen)).alias("representative_columns"),
-        F.map_from_entries(_entries(values)).alias("representative_values"))
-    text = message(F.col("snippet"), F.col("rule_based_draft"), F.col("_row_json"), json_block(aliases), json_block(chosen))
-    made = {"csv_file": F.lit(source or dataset), "message": F.when(F.col("error").isNull(), text), "tables": tables,
-            "rule_based_draft": F.when(F.col("error").isNull(), F.col("rule_based_draft"))}
-    return drafted.withColumns(made).drop("_row", "_row_json")
+    both = snippets.withColumns({"error": fault, "snippet": strip(F.col("snippet"))}).crossJoin(F.broadcast(context))
+    var = F.col("tables.dataset_var_name")
+    draft = replace_words(replace_tokens(F.col("snippet"), F.col("_tokens")), {"df": var, "row": F.col("tables.row_var_name")})
+    drafted = both.withColumn("rule_based_draft", F.when(F.col("error").isNull(), draft))
+    text = message(F.col("snippet"), F.col("rule_based_draft"), F.col("_row_json"), F.col("_aliases"), F.col("_chosen"))
+    made = {"row_index": F.col("tables.row_index"), "csv_file": F.lit(source or dataset), "message": F.when(F.col("error").isNull(), text)}
+    return drafted.withColumns(made).drop("_tokens", "_row_json", "_aliases", "_chosen")
 
 
 def snippet_items(records: DataFrame, key: str = "line", json: str = "json") -> DataFrame:

@@ -56,7 +56,7 @@ def _requests(spark, root):
     snippet = F.when(F.col("doc_id") % 11 == 0, F.lit(" \n ")).otherwise(F.concat(F.get(parts, (F.col("doc_id") % 5).cast("int")), F.lit(" / "), F.col("text")))
     folder = write_csv(table(spark, root, "customer").orderBy("c_custkey"), scratch_dir(spark, "customers"))
     row = pick_record(spark, folder, n=PICKED)
-    return x.contextualize(d.select(F.col("doc_id").alias("id"), "lang", snippet.alias("snippet")), row, "BestBuyers", F.lit(PICKED).cast("bigint"),
+    return x.contextualize(d.select(F.col("doc_id").alias("id"), "lang", snippet.alias("snippet")), row, "BestBuyers", PICKED,
                            source="data/BestBuyers.csv", priorities=CUSTOMER)
 
 
@@ -95,7 +95,7 @@ def placeholder_replace(spark, root):
     i = F.col("c_custkey")
     text = F.when(i % 3 == 0, F.lit("a {two} b")).otherwise(F.lit("a {one} b"))
     one = F.when(i % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("{two} "), "c_name"))
-    return table(spark, root, "customer").select("c_custkey", x.replace_tokens(text, [("{one}", one), ("{two}", F.col("c_mktsegment"))]).alias("text"))
+    return table(spark, root, "customer").select("c_custkey", x.replace_tokens(text, x.token_map([("{one}", one), ("{two}", F.col("c_mktsegment"))])).alias("text"))
 
 
 @query("word_replace", r"""

@@ -80,13 +80,13 @@ def test_contextualize(spark):
     table = spark.createDataFrame(SALES, SALES_DDL)
     snippets = spark.createDataFrame([("s1", ' df.filter(c("{metric_column}") > {value:Sales}) ', 1), ("s2", "{value:product_name}|<value:Note>|{column:order_id}|row", 2), ("s3", "  ", 3)],
                                      "id string, snippet string, extra int")
-    row = lambda k: context.contextualize(snippets, table.where(F.col("Order ID") == k), "SampleSuperstore", F.lit(1))
+    row = lambda k: context.contextualize(snippets, table.where(F.col("Order ID") == k), "SampleSuperstore", 1)
     drafts = {(r["id"], r["tables"]["row"]["Order ID"]): r for k in ("CA-1", "CA-2") for r in row(k).collect()}
     assert len(drafts) == 6 and drafts["s3", "CA-1"]["error"] == "empty snippet" and drafts["s2", "CA-1"]["extra"] == 2
     with pytest.raises(PySparkException):
-        context.contextualize(snippets, table.where("`Order ID` = 'CA-1'"), "S", F.lit(1), strict=True).collect()
+        context.contextualize(snippets, table.where("`Order ID` = 'CA-1'"), "S", 1, strict=True).collect()
     with pytest.raises(ValueError):
-        context.contextualize(snippets, table, "S", F.lit(1))
+        context.contextualize(snippets, table, "S", 1)
     assert drafts["s1", "CA-1"]["rule_based_draft"] == 'sample_superstore.filter(c("Sales") > 261.96)'
     # An empty value is left as it stands.
     assert drafts["s2", "CA-1"]["rule_based_draft"] == "Bush Bookcase|<value:Note>|Order ID|sample_superstore_row"
@@ -103,7 +103,7 @@ def test_contextualize(spark):
 
 def test_replacement_order_and_words(spark):
     f = lambda c: spark.range(1).select(c).first()[0]
-    assert f(context.replace_tokens(F.lit("{a} {b}"), [("{a}", F.lit("{b}!")), ("{b}", F.lit("x"))])) == "x! x"
+    assert f(context.replace_tokens(F.lit("{a} {b}"), context.token_map([("{a}", F.lit("{b}!")), ("{b}", F.lit("x"))]))) == "x! x"
     assert f(context.replace_words(F.lit("df df1 édf (df) row"), {"df": "t", "row": "t_row"})) == "t df1 édf (t) t_row"
 
 

@@ -20,6 +20,7 @@ BUCKET_ROWS = 1_000_000
 TREE = 64
 SAMPLE = 64
 TEXT = 64
+LONGEST = 4096
 BUCKET = "_bucket"
 KEY = "_key"
 
@@ -37,36 +38,84 @@ def _sortable(df: DataFrame, name: str) -> Column:
     return c
 
 
+def _draw(pairs: DataFrame, most: int, *order: Column) -> tuple[list, int]:
+    """Up to `most` rows picked by chance, in order, and about how many rows there are: one read of the source.
+
+    The rows with the smallest of uniform random numbers are picked, so the largest one picked tells how many there are."""
+    picked = pairs.withColumn("_r", F.rand(7)).orderBy("_r").limit(most).orderBy(*order).collect()
+    if len(picked) < most:
+        return picked, len(picked)
+    return picked, int(most / max(max(r["_r"] for r in picked), 1e-18))
+
+
 def _cuts(df: DataFrame, order: str, tie: str | None, descending: bool, parts: int | None) -> list[tuple]:
     """Pairs of (order, tie) that cut the rows into about equal parts, from a sample of bounded size.
 
-    They steer bucket sizes only: results do not depend on the sample. Of texts the
-    first `TEXT` characters serve, so the sample is bounded in bytes too. Without a
-    given number, parts grow with the rows, from the number of shuffle partitions on.
+    They steer bucket sizes only: results do not depend on the sample. Of texts the first `TEXT` characters serve, so the sample
+    is bounded in bytes too; where many rows share these, more is read (see `_longer`). Without a given number, parts grow
+    with the rows, from the number of shuffle partitions on.
     """
     def narrow(name: str) -> Column:
         c = _sortable(df, name)
         return F.left(c, F.lit(TEXT)) if isinstance(df.schema[name].dataType, T.StringType) else c
 
     pair = df.select(narrow(order).alias("v"), (narrow(tie) if tie else F.lit(None).cast("int")).alias("t"))
-    rows = pair.count()
-    if parts is None:
-        parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-rows // BUCKET_ROWS))
-    parts = max(1, min(parts, MAX_BUCKETS))
-    if parts < 2 or not rows:
+    wanted = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    wanted = max(1, min(wanted, MAX_BUCKETS))
+    sort = (F.col("v").desc_nulls_last() if descending else F.col("v").asc_nulls_last(), F.col("t").asc_nulls_last())
+    found, rows = _draw(pair, SAMPLE * wanted, *sort)
+    if parts is None and -(-rows // BUCKET_ROWS) > wanted:
+        wanted = min(-(-rows // BUCKET_ROWS), MAX_BUCKETS)
+        found, _ = _draw(pair, SAMPLE * wanted, *sort)
+    if wanted < 2 or not found:
         return []
-    if rows > SAMPLE * parts:
-        pair = pair.sample(SAMPLE * parts / rows, seed=7)
-    v = F.col("v").desc_nulls_last() if descending else F.col("v").asc_nulls_last()
-    found = [tuple(r) for r in pair.orderBy(v, F.col("t").asc_nulls_last()).collect()]
-    picked = [found[i * len(found) // parts] for i in range(1, parts)] if found else []
+    pairs = [(r["v"], r["t"]) for r in found]
+    if isinstance(df.schema[order].dataType, T.StringType):
+        whole = df.select(F.col(f"`{order}`").alias("v"), (narrow(tie) if tie else F.lit(None).cast("int")).alias("t"))
+        pairs = _longer(whole, pairs, descending, wanted)
     out = []
-    for p in picked:
+    for p in (pairs[i * len(pairs) // wanted] for i in range(1, wanted)):
         if not out or repr(p) != repr(out[-1]):
             out.append(p)
     return out
 
 
+def _longer(whole: DataFrame, pairs: list[tuple], descending: bool, parts: int) -> list[tuple]:
+    """A sample of text prefixes in which no cut-off prefix fills more than a part, as far as `LONGEST` characters tell.
+
+    Of the rows with such a prefix, the least and the largest text show how far all of them agree; the characters after that are
+    sampled instead. Texts that are equal as a whole stay equal, and are cut by the tie.
+    """
+    length = TEXT
+    while length < LONGEST:
+        shares: dict[str, int] = {}
+        for v, _ in pairs:
+            if v is not None and len(v) >= length:
+                shares[v] = shares.get(v, 0) + 1
+        # No more than `parts` of them, as each fills a part.
+        heavy = sorted(v for v, n in shares.items() if n > max(len(pairs) // parts, 1))
+        if not heavy:
+            break
+        spark = whole.sparkSession
+        listed = F.broadcast(spark.createDataFrame([(v, len(v)) for v in heavy], "p string, n int"))
+        v = F.col("v")
+        # A row has one prefix of each length in the list.
+        among = whole.withColumn("n", F.explode(F.array(*[F.lit(n) for n in sorted({len(x) for x in heavy})]))).withColumn("p", F.left(v, F.col("n")))
+        among = among.join(listed, ["p", "n"]).drop("n")
+        ends = {r["p"]: (r["lo"], r["hi"]) for r in among.groupBy("p").agg(F.min(F.left(v, F.lit(LONGEST))).alias("lo"), F.max(F.left(v, F.lit(LONGEST))).alias("hi")).collect()}
+        agree = {p: next((i for i, (x, y) in enumerate(zip(lo, hi)) if x != y), min(len(lo), len(hi))) for p, (lo, hi) in ends.items()}
+        until = F.broadcast(spark.createDataFrame([(p, n + TEXT) for p, n in agree.items()], "p string, n int"))
+        longer = among.join(until, "p").select(F.left(v, F.col("n")).alias("v"), "t")
+        drawn, _ = _draw(longer, sum(shares[v] for v in heavy), "v")
+        kept = [p for p in pairs if p[0] not in ends]
+        pairs = kept + [(r["v"], r["t"]) for r in drawn]
+        number = lambda t: (t is None, t != t, 0 if t is None or t != t else t)
+        pairs.sort(key=lambda p: number(p[1]))
+        pairs.sort(key=lambda p: (p[0] is not None, p[0] or "") if descending else (p[0] is None, p[0] or ""), reverse=descending)
+        length = min(n + TEXT for n in agree.values())
+    return pairs
+
+
 def _at_or_before(value: Column, tie: Column | None, cut: tuple, descending: bool) -> Column:
     """Whether a row comes at or before a cut in the wanted order, nulls last."""
     v, t = cut
@@ -137,7 +186,7 @@ def _sort_cols(order: str, tie: str | None, descending: bool) -> list[Column]:
     return cols
 
 
-def _keyed(df: DataFrame, keys: list[str]) -> DataFrame:
+def keyed(df: DataFrame, keys: list[str]) -> DataFrame:
     """Add the key as one struct. Structs with nulls compare as equal, so windows and
     the join of the carried values share one shuffle on (key, bucket)."""
     return df.withColumn(KEY, F.struct(*[F.col(f"`{k}`") for k in keys], F.lit(0).alias("_")))
@@ -154,7 +203,7 @@ def number_rows(
     descending: bool = False, parts: int | None = None, bounds_from: DataFrame | None = None,
 ) -> DataFrame:
     """1-based row number per key in the given order."""
-    b = _keyed(with_order_bucket(df, order, tie, descending=descending, parts=parts, bounds_from=bounds_from), keys or [])
+    b = keyed(with_order_bucket(df, order, tie, descending=descending, parts=parts, bounds_from=bounds_from), keys or [])
     before = _sums_before(b, F.count(F.lit(1)))
     local = Window.partitionBy(KEY, BUCKET).orderBy(*_sort_cols(order, tie, descending))
     out = b.withColumn(name, F.row_number().over(local).cast("bigint")).join(before, [KEY, BUCKET], "left")
@@ -172,7 +221,7 @@ def running_total(df: DataFrame, name: str, value: str, order: str, tie: str | N
                   keys: list[str] | None = None, *, descending: bool = False,
                   bounds_from: DataFrame | None = None) -> DataFrame:
     """Running sum of a whole-number column per key in the given order."""
-    b = _keyed(with_order_bucket(df, order, tie, descending=descending, bounds_from=bounds_from), keys or [])
+    b = keyed(with_order_bucket(df, order, tie, descending=descending, bounds_from=bounds_from), keys or [])
     before = _sums_before(b, F.sum(value))
     local = (Window.partitionBy(KEY, BUCKET).orderBy(*_sort_cols(order, tie, descending))
              .rowsBetween(Window.unboundedPreceding, 0))
@@ -188,7 +237,7 @@ def fill(
     (backward) that is not null, the row's own value included. `bucketed`: the frame
     has its bucket already, and keeps it."""
     backward = backward or {}
-    b = _keyed(df if bucketed else with_order_bucket(df, order, tie), keys or [])
+    b = keyed(df if bucketed else with_order_bucket(df, order, tie), keys or [])
     # Nulls come last, as in the windows.
     at = F.struct(*[x.alias(f"{i}{j}") for i, c in enumerate([order] + ([tie] if tie else [])) for j, x in enumerate((F.col(f"`{c}`").isNull(), F.col(f"`{c}`")))])
     # max_by and min_by skip rows of which the ordering value is null.
@@ -221,7 +270,7 @@ def interpolate(df: DataFrame, target: str, source: str, order: str, tie: str |
     """
     forward = forward or {}
     local = Window.partitionBy(KEY, BUCKET).orderBy(*_sort_cols(order, tie, False))
-    placed = _keyed(with_order_bucket(df, order, tie, bounds_from=bounds_from), keys or []).withColumn("_p", F.row_number().over(local).cast("bigint"))
+    placed = keyed(with_order_bucket(df, order, tie, bounds_from=bounds_from), keys or []).withColumn("_p", F.row_number().over(local).cast("bigint"))
     value = F.col(f"`{source}`")
     placed = placed.withColumn("_k", F.when(value.isNotNull(), F.struct(F.col("_p").alias("p"), value.cast("double").alias("v"))))
     ends = placed.groupBy(KEY, BUCKET).agg(

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import as_of
-from .ordering import interpolate
+from .ordering import BUCKET, KEY, keyed, with_order_bucket
 
 SPAN_STEPS = 4096
 
@@ -28,35 +27,76 @@ def windows_closed_both(df: DataFrame, time: str, every_us: int, keys: list[str]
                        *[c for c in made.columns if c not in (*keys, "_start")])
 
 
-def time_grid(df: DataFrame, time: str, every_us: int, keys: list[str]) -> DataFrame:
-    """The regular times from the first to the last row of each key.
+def _neighbours(df: DataFrame, time: str, keys: list[str], behind: dict[str, str], ahead: dict[str, str], bounds_from: DataFrame) -> DataFrame:
+    """Per row: `_t`, its time in microseconds; `_low`, the first time of its key; `_next`, the time of the next row of its key; the
+    last value of each `target: source` in `behind` that is not null, its own included; and the first in `ahead` of the rows after it.
 
-    A long span is listed in two steps, so no row holds the whole grid.
+    Rows are cut into buckets by time and shuffled once by key and bucket. The windows run there, and the table with one row per
+    key and bucket that carries values across buckets is made from the same shuffle, so the source is read once. Expects one row
+    per key and time.
     """
-    micros = F.unix_micros(F.col(time).cast("timestamp"))
-    ends = df.groupBy(*keys).agg(F.min(micros).alias("_lo"), F.max(micros).alias("_hi"))
-    coarse = ends.withColumn("_from", F.explode(F.sequence("_lo", "_hi", F.lit(every_us * SPAN_STEPS))))
-    last = F.least(F.col("_hi"), F.col("_from") + F.lit(every_us * (SPAN_STEPS - 1)))
-    # Only the coarse steps are shuffled, so a key with a long span spreads over tasks.
-    coarse = coarse.repartition(*keys, "_from")
-    fine = coarse.withColumn("_at", F.explode(F.sequence(F.col("_from"), last, F.lit(every_us))))
-    return fine.select(*keys, F.timestamp_micros("_at").cast("timestamp_ntz").alias(time))
+    b = keyed(with_order_bucket(df.where(F.col(f"`{time}`").isNotNull()), time, bounds_from=bounds_from), keys)
+    b = b.withColumn("_t", F.unix_micros(F.col(f"`{time}`").cast("timestamp"))).repartition(KEY, BUCKET)
+    ahead = {**ahead, "_next": "_t"}
+    known = lambda c: F.when(F.col(f"`{c}`").isNotNull(), F.col("_t"))
+    ends = b.groupBy(KEY, BUCKET).agg(
+        # Naming all columns keeps them in the shuffle, so that both uses share it.
+        F.when(F.first(F.struct(*[c for c in b.columns if c not in (KEY, BUCKET)])).isNotNull(), F.min("_t")).alias("_first"), *[F.max_by(F.col(f"`{c}`"), known(c)).alias(f"_e_{t}") for t, c in behind.items()],
+        *[F.min_by(F.col(f"`{c}`"), known(c)).alias(f"_e_{t}") for t, c in ahead.items()])
+    by_bucket = Window.partitionBy(KEY).orderBy(BUCKET)
+    past, future = by_bucket.rowsBetween(Window.unboundedPreceding, -1), by_bucket.rowsBetween(1, Window.unboundedFollowing)
+    carry = ends.select(
+        KEY, BUCKET, F.min("_first").over(Window.partitionBy(KEY)).alias("_low"),
+        *[F.last(f"_e_{t}", ignorenulls=True).over(past).alias(f"_c_{t}") for t in behind],
+        *[F.first(f"_e_{t}", ignorenulls=True).over(future).alias(f"_c_{t}") for t in ahead])
+    local = Window.partitionBy(KEY, BUCKET).orderBy("_t")
+    so_far, after = local.rowsBetween(Window.unboundedPreceding, 0), local.rowsBetween(1, Window.unboundedFollowing)
+    inside = b.select("*", *[F.last(F.col(f"`{c}`"), ignorenulls=True).over(so_far).alias(f"_l_{t}") for t, c in behind.items()],
+                      *[F.first(F.col(f"`{c}`"), ignorenulls=True).over(after).alias(f"_l_{t}") for t, c in ahead.items()])
+    joined = inside.join(carry, [KEY, BUCKET])
+    made = [*behind, *ahead]
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], "_t", "_low", *[F.coalesce(f"_l_{t}", f"_c_{t}").alias(t) for t in made])
+
+
+def _expanded(rows: DataFrame, every_us: int, keys: list[str]) -> DataFrame:
+    """Each row once per grid point `_at` from its time to before the next row's; the grid begins at the key's first time.
+
+    A long gap is listed in two steps, and its steps are dealt out, so no row and no task holds all of a gap.
+    """
+    step = F.lit(every_us)
+    on_grid = lambda n: F.col("_low") + n * step
+    first = on_grid(F.expr(f"(_t - _low + {every_us - 1}) div {every_us}"))
+    # The last row of a key has its own time only.
+    last = on_grid(F.expr(f"(coalesce(_next - 1, _t) - _low) div {every_us}"))
+    rows = rows.withColumns({"_first": first, "_last": last}).where("_first <= _last")
+    coarse = rows.withColumn("_from", F.explode(F.sequence("_first", "_last", F.lit(every_us * SPAN_STEPS)))).repartition(*keys, "_from")
+    until = F.least(F.col("_last"), F.col("_from") + F.lit(every_us * (SPAN_STEPS - 1)))
+    return coarse.withColumn("_at", F.explode(F.sequence(F.col("_from"), until, step)))
 
 
 def upsample(df: DataFrame, time: str, every_us: int, keys: list[str], values: list[str], tie: str | None = None) -> DataFrame:
-    """Regular grid per key, each point with the last known values."""
-    return as_of(time_grid(df, time, every_us, keys), df, time, values, keys, tie=tie)
+    """Regular grid per key, from its first to its last time, each point with the last known row's values: every row lists the grid
+    points up to the next one. Rows without a time are left out; null is a key like others."""
+    packed = F.struct(*[F.col(f"`{c}`") for c in values])
+    latest = df.groupBy(*keys, time).agg((F.max_by(packed, F.col(f"`{tie}`")) if tie else F.max(packed)).alias("_v"))
+    spread = _expanded(_neighbours(latest, time, keys, {}, {}, df.select(time)), every_us, keys)
+    return spread.select(*keys, F.timestamp_micros("_at").cast("timestamp_ntz").alias(time), *[F.col("_v")[c].alias(c) for c in values])
 
 
 def upsample_interpolate(df: DataFrame, time: str, every_us: int, keys: list[str], number: str, rest: list[str]) -> DataFrame:
-    """Regular grid per key: `number` interpolated, `rest` filled forward.
+    """Regular grid per key: `number` interpolated in time between known values, `rest` filled forward; outer nulls stay.
 
-    Expects at most one row per key and time, all of them on the grid.
+    Expects at most one row per key and time.
     """
-    grid = time_grid(df, time, every_us, keys)
-    joined = grid.join(df.select(*keys, time, number, *rest), [*keys, time], "left")
-    filled = interpolate(joined, f"_i_{number}", number, time, None, keys, forward={f"_f_{c}": c for c in rest}, bounds_from=grid)
-    return filled.select(*keys, time, F.col(f"_i_{number}").alias(number), *[F.col(f"_f_{c}").alias(c) for c in rest])
+    value = F.col(f"`{number}`")
+    known = F.when(value.isNotNull(), F.struct(F.unix_micros(F.col(f"`{time}`").cast("timestamp")).alias("t"), value.cast("double").alias("v")))
+    rows = df.select(*keys, time, *rest, known.alias("_known"))
+    near = _neighbours(rows, time, keys, {"_a": "_known", **{f"_f_{c}": c for c in rest}}, {"_b": "_known"}, df.select(time))
+    a, b, at = F.col("_a"), F.col("_b"), F.col("_at")
+    between = a["v"] + (b["v"] - a["v"]) * ((at - a["t"]).cast("double") / (b["t"] - a["t"]).cast("double"))
+    return _expanded(near, every_us, keys).select(
+        *keys, F.timestamp_micros(at).cast("timestamp_ntz").alias(time), F.when(a["t"] == at, a["v"]).otherwise(between).alias(number),
+        *[F.col(f"_f_{c}").alias(c) for c in rest])
 
 
 def date_range(df: DataFrame, low: Column, high: Column, step: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from lumenframe.operators import joins, ordering as o
+from lumenframe.operators import joins, ordering as o, timeseries
 
 
 def rows(seed, n=400):
@@ -175,3 +175,69 @@ def test_broadcast_sides_are_checked(spark):
     assert not joins.bounded(spark.range(3).select(F.repeat(F.lit("x"), 50).alias("t")), size=100)
     a, b = spark.range(4).toDF("x"), spark.range(5).toDF("y")
     assert joins.cross(a, b).count() == 20 and joins.join_where(a, b, F.col("x") > F.col("y")).count() == 6
+
+
+def sizes_of(df, order, tie, parts, descending=False):
+    b = o.with_order_bucket(df, order, tie, parts=parts, descending=descending).collect()
+    key = lambda r: (r[order] is None, r[order] or "")
+    b.sort(key=lambda r: r[tie])
+    b.sort(key=(lambda r: (r[order] is not None, r[order] or "")) if descending else key, reverse=descending)
+    assert [r[o.BUCKET] for r in b] == sorted(r[o.BUCKET] for r in b)
+    sizes = defaultdict(int)
+    for r in b:
+        sizes[r[o.BUCKET]] += 1
+    return sizes
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_texts_with_long_common_prefixes_are_cut_evenly(spark, descending):
+    site = "https://example.org/" + "a" * 80  # 100 characters that most rows begin with
+    deep = site + "/" + "b" * 300  # and a third of them 301 more
+    data = [(i, site + f"/{i % 997:04d}") for i in range(1500)] + [(i, deep + f"/{i * 7 % 1000:04d}") for i in range(1500, 2400)]
+    data += [(i, f"other {i}") for i in range(2400, 2600)] + [(i, None) for i in range(2600, 2650)]
+    sizes = sizes_of(spark.createDataFrame(data, "id int, url string"), "url", "id", 10, descending)
+    assert len(sizes) >= 8 and max(sizes.values()) < 2 * 2650 / 10
+
+
+def test_one_long_text_that_many_rows_hold_is_cut_by_the_tie(spark):
+    hot = "the same long text " * 20
+    data = [(i, hot) for i in range(1200)] + [(i, hot + f"{i}") for i in range(1200, 1500)] + [(i, hot[:70] + f"{i}") for i in range(1500, 1800)]
+    sizes = sizes_of(spark.createDataFrame(data, "id int, t string"), "t", "id", 8)
+    assert len(sizes) >= 7 and max(sizes.values()) < 2 * 1800 / 8
+
+
+def test_sample_tells_the_number_of_rows(spark):
+    picked, n = o._draw(spark.range(100_000).select(F.col("id").alias("v")), 2_000, "v")
+    assert len(picked) == 2_000 and 90_000 < n < 110_000 and [r["v"] for r in picked] == sorted(r["v"] for r in picked)
+    assert o._draw(spark.range(10).select(F.col("id").alias("v")), 2_000, "v")[1] == 10
+
+
+def test_upsampling_of_a_hot_key_across_buckets(spark):
+    rng = random.Random(9)
+    data = sorted({(rng.randint(0, 5000), rng.choice(["hot"] * 5 + ["b", "c"])) for _ in range(700)})
+    data = [(i, t, k, rng.choice([None, float(rng.randint(0, 99))])) for i, (t, k) in enumerate(data)] + [(9000, 40, "one", 1.0), (9001, None, "b", 5.0)]
+    df = spark.createDataFrame(data, "id int, s int, k string, v double").withColumn("at", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    seconds = F.unix_seconds(F.col("at").cast("timestamp")).alias("s")
+    up = sorted((r.k, r.s, r.id) for r in timeseries.upsample(df, "at", 7_000_000, ["k"], ["id"], tie="id").select("k", seconds, "id").collect())
+    smooth = sorted(((r.k, r.s, r.v, r.id) for r in timeseries.upsample_interpolate(df, "at", 7_000_000, ["k"], "v", ["id"]).select("k", seconds, "v", "id").collect()), key=lambda r: r[:2])
+    want, lines = [], []
+    for k in ("b", "c", "hot", "one"):
+        part = sorted((t, i, v) for i, t, kk, v in data if kk == k and t is not None)
+        known = [(t, v) for t, _, v in part if v is not None]
+        for s in range(part[0][0], part[-1][0] + 1, 7):
+            i = max(x for x in part if x[0] <= s)[1]
+            want.append((k, s, i))
+            a, b = max((x for x in known if x[0] <= s), default=None), min((x for x in known if x[0] >= s), default=None)
+            lines.append((k, s, None if not a or not b else a[1] if a[0] == s else a[1] + (b[1] - a[1]) * ((s - a[0]) / (b[0] - a[0])), i))
+    assert up == want
+    assert [r[:2] + r[3:] for r in smooth] == [r[:2] + r[3:] for r in lines]
+    assert [r[2] for r in smooth] == [pytest.approx(r[2]) if r[2] is not None else None for r in lines]
+
+
+def test_upsampling_reads_its_source_once(spark, tmp_path):
+    spark.createDataFrame([(i, "k", 1.0) for i in range(50)], "s int, k string, v double").withColumn("at", F.timestamp_seconds("s").cast("timestamp_ntz")).write.parquet(str(tmp_path / "t"))
+    made = timeseries.upsample(spark.read.parquet(str(tmp_path / "t")), "at", 500_000, ["k"], ["v"])
+    made.collect()
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # Scans below a reused exchange are shown once.
+    assert plan.count("FileScan parquet") == 1 and "ReusedExchange" in plan

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, slug, strip
+from ..operators.reshape import settle
 
 # Column names tried in order for each kind of placeholder.
 PRIORITIES = {
@@ -213,12 +214,14 @@ def contextualize(snippets: DataFrame, table: DataFrame, dataset: str, index: in
 def snippet_items(records: DataFrame, key: str = "line", json: str = "json") -> DataFrame:
     """One row per snippet of JSON inputs: a list, an object with a list `snippets`, or
     one object or text. Columns: the key, the position and the item."""
-    v = F.col(json)
-    inner = F.variant_get(v, "$.snippets", "variant")
+    return records.select(key, F.posexplode(_items(F.col(json))).alias("position", "item")).withColumn("position", F.col("position") + 1)
+
+
+def _items(v: Column) -> Column:
+    inner = F.try_variant_get(v, "$.snippets", "variant")
     kind, inner_kind = F.schema_of_variant(v), F.schema_of_variant(inner)
-    items = (F.when(kind.startswith("OBJECT") & inner_kind.startswith("ARRAY"), F.variant_get(v, "$.snippets", "array<variant>"))
-             .when(kind.startswith("ARRAY"), F.variant_get(v, "$", "array<variant>")).otherwise(F.array(v)))
-    return records.select(key, F.posexplode(items).alias("position", "item")).withColumn("position", F.col("position") + 1)
+    return (F.when(kind.startswith("OBJECT") & inner_kind.startswith("ARRAY"), F.variant_get(v, "$.snippets", "array<variant>"))
+            .when(kind.startswith("ARRAY"), F.variant_get(v, "$", "array<variant>")).otherwise(F.array(v)))
 
 
 def normalized_snippets(items: DataFrame, number: Column, item: str = "item") -> DataFrame:
@@ -240,3 +243,43 @@ def normalized_snippets(items: DataFrame, number: Column, item: str = "item") ->
              .when(snippet.isNull(), F.lit("entries must include a non-empty 'snippet' or 'code' field")))
     return items.select(*[c for c in items.columns if c != item], F.coalesce(given, fallback).alias("id"),
                         snippet.alias("snippet"), error.alias("error"))
+
+
+def input_kind(path: Column) -> Column:
+    """How a snippet input is read: `jsonl` and `json` by the suffix, all else as plain `text`."""
+    return F.when(F.lower(path).endswith(".jsonl"), "jsonl").when(F.lower(path).endswith(".json"), "json").otherwise("text")
+
+
+def load_snippets(files: DataFrame, kind: Column | None = None) -> DataFrame:
+    """files: path, text (see `sources.files.scan_sources`; a text given inline is a file without a path). One row per snippet with
+    the file's columns but its text, position, id, snippet and error; a file that holds none has one row at position 0 with its fault.
+
+    A text file is one snippet, named by its file's stem. A JSON file is a list, an object with a list `snippets`, or one entry. In a
+    file of JSON lines, blank lines count for the numbers but hold no entry.
+    """
+    kind = input_kind(F.coalesce("path", F.lit(""))) if kind is None else kind
+    entry = "array<struct<position:int,item:variant,fault:string>>"
+    none = F.lit(None)
+
+    def one(position, item, fault) -> Column:
+        return F.struct(position.cast("int").alias("position"), item.cast("variant").alias("item"), fault.cast("string").alias("fault"))
+
+    def or_fault(entries: Column, fault: str) -> Column:
+        return F.when(F.size(entries) > 0, entries).otherwise(F.array(one(F.lit(0), none, F.lit(fault))).cast(entry))
+
+    text = strip(F.coalesce("text", F.lit("")))
+    plain = F.when(text == "", F.array(one(F.lit(0), none, F.lit("empty file")))).otherwise(F.array(one(F.lit(1), text, none))).cast(entry)
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\r?\n"), lambda x, i: F.struct((i + 1).alias("n"), strip(x).alias("text")))
+    parsed = lambda x: F.try_parse_json(x["text"])
+    listed = F.transform(F.filter(lines, lambda x: x["text"] != ""), lambda x: one(x["n"], parsed(x), F.when(parsed(x).isNull(), "invalid JSON"))).cast(entry)
+    found = settle(files.withColumn("_kind", kind), _json=F.when(F.col("_kind") == "json", F.try_parse_json(text)))
+    whole = F.transform(_items(F.col("_json")), lambda x, i: one(i + 1, x, none)).cast(entry)
+    entries = (F.when(F.col("_kind") == "text", plain).when(F.col("_kind") == "jsonl", or_fault(listed, "no snippets found"))
+               .when(F.col("_json").isNull(), F.array(one(F.lit(0), none, F.lit("invalid JSON"))).cast(entry)).otherwise(or_fault(whole, "no snippets found")))
+    stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
+    others = [F.col(f"`{c}`") for c in files.columns if c != "text"]
+    rows = found.select(*others, F.when((F.col("_kind") == "text") & (stem != ""), stem).alias("_stem"), F.inline(entries))
+    made = normalized_snippets(rows, F.col("position"))
+    bad = F.coalesce("fault", "error")
+    return made.select(*others, "position", F.when(F.col("position") > 0, F.coalesce("_stem", "id")).alias("id"),
+                       F.when(bad.isNull(), F.col("snippet")).alias("snippet"), bad.alias("error"))

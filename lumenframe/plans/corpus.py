@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import is_blank, slug_label
+from ..sources.lines import with_row_numbers
 
 # Marker forms, with the snippet name as group 1.
 START = r"--8<--? \[start:([^\]]+)\]"
@@ -265,10 +267,36 @@ def records(blocks: DataFrame, root: str, library: str, alias: str, tags: list[T
         stats(c("code"), library, alias).alias("stats"), "code")
 
 
-def in_corpus_order(recs: DataFrame) -> DataFrame:
-    """Records by path, then place in their file, for a sink that asks for order. Records
-    are narrow beside the files they were cut from, which are never moved."""
-    return recs.orderBy("source.path", "source.snippet_ordinal")
+IN_ORDER = ("source.path", "source.content_start_line", "source.snippet_ordinal")
+
+
+def write_corpus(recs: DataFrame, folder: str, source_root: str) -> str:
+    """Records as JSON lines in total order by path, line and ordinal, and a head record with the totals.
+
+    One shuffle by ranges of the three narrow keys puts the records in order across files of the sink; each is sorted by
+    itself. The head is counted on what was written, of which only path and category are read.
+    """
+    spark = recs.sparkSession
+    recs.repartitionByRange(*IN_ORDER).sortWithinPartitions(*IN_ORDER).write.option("ignoreNullFields", False).json(f"{folder}/snippets")
+    written = spark.read.schema("source struct<path:string,category:string>").json(f"{folder}/snippets")
+    per = written.groupBy("source.category", "source.path").agg(F.count(F.lit(1)).alias("n")).groupBy("category").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("n").alias("n"))
+    # One row per category of the source tree.
+    totals = F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "n"))))
+    head = per.agg(F.lit(1).alias("schema_version"), F.lit(source_root).alias("source_root"), F.coalesce(F.sum("files"), F.lit(0)).alias("file_count"),
+                   F.coalesce(F.sum("n"), F.lit(0)).alias("snippet_count"), totals.alias("categories"))
+    head.write.json(f"{folder}/head")
+    return folder
+
+
+def read_corpus(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """The records of a written corpus with `place`, their number in its order: counts per file of the sink are the offsets."""
+    return with_row_numbers(spark.read.schema(schema).json(f"{folder}/snippets"), "place", across=True).drop("file")
+
+
+def read_head(spark: SparkSession, folder: str) -> DataFrame:
+    """The head record: totals, and snippets per category."""
+    return spark.read.schema("schema_version int, source_root string, file_count bigint, snippet_count bigint, categories map<string,bigint>").json(f"{folder}/head")
 
 
 def summary(recs: DataFrame) -> DataFrame:

@@ -178,3 +178,32 @@ SELECT doc_id, CAST(position AS INTEGER) AS position, id, CASE WHEN regexp_full_
 def snippet_normalize(spark, root):
     items = x.snippet_items(_json_inputs(spark, root), "doc_id")
     return x.normalized_snippets(items, F.col("position")).select("doc_id", "position", "id", "snippet", F.col("error").isNotNull().alias("rejected"))
+
+
+# Input files of every kind made from documents by rule: lists, empty lists, JSON lines with blank and broken ones, texts, texts without
+# a path, and blank texts.
+FILES_SQL = f"""
+SELECT doc_id, path, position, id, snippet, error FROM (
+SELECT doc_id, 'in/' || doc_id || '.json' AS path, 'json' AS kind, 1 AS position, 'one' AS id, 'x ' || text AS snippet, NULL AS error FROM documents WHERE doc_id % 7 = 0
+UNION ALL SELECT doc_id, 'in/' || doc_id || '.json', 'json', 0, NULL, NULL, 'no snippets found' FROM documents WHERE doc_id % 7 = 1
+UNION ALL SELECT doc_id, 'in/' || doc_id || '.jsonl', 'jsonl', 1, 'snippet-1', 'x ' || text, NULL FROM documents WHERE doc_id % 7 = 2
+UNION ALL SELECT doc_id, 'in/' || doc_id || '.jsonl', 'jsonl', 3, 'snippet-3', NULL, 'invalid JSON' FROM documents WHERE doc_id % 7 = 2
+UNION ALL SELECT doc_id, 'in/' || doc_id || '.jsonl', 'jsonl', 4, 'own', 'x ' || text, NULL FROM documents WHERE doc_id % 7 = 2
+UNION ALL SELECT doc_id, 'in/deep.d/s' || doc_id || '.txt', 'text', 1, 's' || doc_id, regexp_replace('x ' || text, '[\\s\\pZ]+$', ''), NULL FROM documents WHERE doc_id % 7 = 3
+UNION ALL SELECT doc_id, NULL, 'text', 1, 'snippet-1', regexp_replace('x ' || text, '[\\s\\pZ]+$', ''), NULL FROM documents WHERE doc_id % 7 = 4
+UNION ALL SELECT doc_id, 'in/blank', 'text', 0, NULL, NULL, 'empty file' FROM documents WHERE doc_id % 7 = 5
+UNION ALL SELECT doc_id, 'in/' || doc_id || '.json', 'json', 0, NULL, NULL, 'invalid JSON' FROM documents WHERE doc_id % 7 = 6)"""
+
+
+@query("snippet_files", FILES_SQL)
+def snippet_files(spark, root):
+    i, text = F.col("doc_id") % 7, F.concat(F.lit("x "), F.col("text"))
+    name, json = F.col("doc_id").cast("string"), x.json_text(text)
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    path = (F.when(i == 2, say("in/", name, ".jsonl")).when(i == 3, say("in/deep.d/s", name, ".txt")).when(i == 4, F.lit(None))
+            .when(i == 5, F.lit("in/blank")).otherwise(say("in/", name, ".json")))
+    held = (F.when(i == 0, say('{"snippets": [{"id": "one", "code": ', json, "}]}")).when(i == 1, F.lit('{"snippets": []}'))
+            .when(i == 2, say(json, "\r\n\n{broken\n", '{"id": "own", "snippet": ', json, "}\n")).when(i == 3, say("\n ", text, " \n"))
+            .when(i == 4, text).when(i == 5, F.lit(" \n\t")).otherwise(say("[", json)))
+    files = table(spark, root, "documents", "doc_id").select("doc_id", path.alias("path"), held.alias("text"))
+    return x.load_snippets(files)

@@ -191,14 +191,25 @@ SELECT path || '#' || name AS id, language, category, subs AS subcategories, nam
     || ' / ' || {TITLE.format('stem')} AS context_label,
   {TITLE.format('stem')} || CASE WHEN name IN ('file', 'setup') THEN ' ' ELSE ': ' END || {TITLE.format('name')} AS title, ops AS operations, ops[1] AS primary_operation,
   list_filter(list_transform(range(1, len(v) + 1), lambda i: CASE WHEN list_position(v, v[i]) = i AND v[i] <> '' THEN v[i] END), lambda x: x IS NOT NULL) AS tags,
-  {STATS.format('code')}
+  {STATS.format('code')}, row_number() OVER (ORDER BY path, content_start_line, ordinal) AS place
 FROM (SELECT *, list_concat([category], subs, [stem, name, role, language], ops) AS v FROM r)""")
 def snippet_record(spark, root):
-    recs = c.records(c.segments(_files(spark, root)), "corpus", "numpy", "np", PROSE)
-    return recs.select(
+    recs = _records(spark, root)
+    folder = c.write_corpus(recs, scratch_dir(spark, "corpus"), "corpus")
+    return c.read_corpus(spark, folder, recs.schema).select(
         "id", "language", "source.category", "source.subcategories", "source.snippet_name", "source.snippet_ordinal", "source.sha1",
         "metadata.snippet.role", "metadata.path.context_label", "metadata.snippet.title", "metadata.inferred.operations",
-        "metadata.inferred.primary_operation", "metadata.inferred.tags", "stats.*")
+        "metadata.inferred.primary_operation", "metadata.inferred.tags", "stats.*", "place")
+
+
+@query("corpus_head", f"""{BLOCKS_SQL}, k AS (SELECT path, CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE 'root' END AS category FROM blocks),
+n AS (SELECT category, count(*) AS n FROM k GROUP BY 1)
+SELECT CAST(1 AS INTEGER) AS schema_version, 'corpus' AS source_root, (SELECT count(DISTINCT path) FROM k) AS file_count, (SELECT count(*) FROM k) AS snippet_count,
+  (SELECT string_agg(category || '=' || n, ';' ORDER BY category) FROM n) AS categories""")
+def corpus_head(spark, root):
+    folder = c.write_corpus(_records(spark, root), scratch_dir(spark, "corpus"), "corpus")
+    entries = F.transform(F.array_sort(F.map_entries("categories")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return c.read_head(spark, folder).withColumn("categories", F.array_join(entries, ";"))
 
 
 @query("corpus_summary", f"""{BLOCKS_SQL}, k AS (SELECT path, CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE 'root' END AS category FROM blocks)

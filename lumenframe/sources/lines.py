@@ -11,8 +11,9 @@ from ..operators.reshape import settle
 from .encodings import decode_bytes, decode_files
 
 
-def with_row_numbers(scan: DataFrame, name: str = "line") -> DataFrame:
-    """Number the rows of an unchanged file scan per file, from 1, in file order.
+def with_row_numbers(scan: DataFrame, name: str = "line", *, across: bool = False) -> DataFrame:
+    """Number the rows of an unchanged file scan from 1, per file in file order, or (`across`) over all files of one writer
+    in the order of their names.
 
     A file may be cut into blocks read by many tasks. Rows are counted per block, the
     counts are added up along the file (one row per block), and each row adds its
@@ -21,7 +22,9 @@ def with_row_numbers(scan: DataFrame, name: str = "line") -> DataFrame:
     rows = scan.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
                        F.monotonically_increasing_id().alias("_id"))
     blocks = rows.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
-    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    # Part numbers are padded to five digits: longer names come later.
+    order = Window.orderBy(F.char_length("file"), "file", "_block") if across else Window.partitionBy("file").orderBy("_block")
+    before = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1))
     offsets = blocks.select("file", "_block", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
     number = F.col("_before") + F.col("_id") - F.col("_first") + 1
     return join_back(rows, offsets, ["file", "_block"]).select("file", number.alias(name), *scan.columns)

@@ -51,3 +51,19 @@ def test_a_thousand_columns(spark):
     assert draft.startswith("wide v999 Col 0 Col 0 some code <T> {x} ") and time.time() - start < 60
     assert len(many) < 1.2 * len(few) + 500
     assert small.first()["message"].count("Representative columns:") == 1
+
+
+def test_snippet_files_of_all_kinds(spark):
+    files = [("a/b.c.py", "  print(1)\n"), ("x.txt", " \n"), ("l.json", '["one", {"id": 7, "code": "two"}, {"snippet": " "}, 5]'), ("o.json", '{"snippet": "s"}'),
+             ("e.json", "[]"), ("n.json", '{"snippets": []}'), ("bad.json", "{"), ("t.JSONL", '\n"one"\r\n\n{"id": "own", "snippet": "two"}\nnope\n3'), ("e.jsonl", "\n \n"), (None, "inline"), (None, None)]
+    got = {}
+    for r in context.load_snippets(spark.createDataFrame(files, "path string, text string")).collect():
+        got.setdefault(r.path, []).append((r.position, r.id, r.snippet, r.error))
+    kind, field = "entries must be JSON objects or strings", "entries must include a non-empty 'snippet' or 'code' field"
+    assert got.pop(None) == [(1, "snippet-1", "inline", None), (0, None, None, "empty file")]
+    assert got == {
+        "a/b.c.py": [(1, "b.c", "print(1)", None)], "x.txt": [(0, None, None, "empty file")],
+        "l.json": [(1, "snippet-1", "one", None), (2, "7", "two", None), (3, "snippet-3", None, field), (4, "snippet-4", None, kind)],
+        "o.json": [(1, "snippet-1", "s", None)], "e.json": [(0, None, None, "no snippets found")], "n.json": [(0, None, None, "no snippets found")],
+        "bad.json": [(0, None, None, "invalid JSON")], "e.jsonl": [(0, None, None, "no snippets found")],
+        "t.JSONL": [(2, "snippet-2", "one", None), (4, "own", "two", None), (5, "snippet-5", None, "invalid JSON"), (6, "snippet-6", None, kind)]}

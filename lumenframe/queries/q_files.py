@@ -179,16 +179,16 @@ def write_csv(spark, root):
     return files.scan_csv(spark, folder, schema="s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double")
 
 
-@query("scan_json_doc", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+@query("scan_json_doc", """
+SELECT doc_id, text, {'source': source, 'note': 'a } "b" ] \\'} AS inner FROM documents""")
 def scan_json_doc(spark, root):
-    # Array documents of at most 5,000 rows each, one per file.
-    rows = table(spark, root, "supplier")
-    docs = rows.groupBy(F.floor(F.col("s_suppkey") / 5000).alias("doc")).agg(
-        F.array_join(F.collect_list(F.to_json(F.struct(*rows.columns))), ",").alias("_body"))
+    # Documents of at most 500 rows each, one per file, with braces and quotes in texts and nested objects.
+    rows = table(spark, root, "documents")
+    entry = F.to_json(F.struct("doc_id", F.struct("source", F.lit('a } "b" ] \\').alias("note")).alias("inner"), "text"))
+    docs = rows.groupBy(F.floor(F.col("doc_id") / 500).alias("doc")).agg(F.array_join(F.collect_list(entry), ",\n").alias("_body"))
     folder = scratch_dir(spark, "docs")
     docs.select("doc", F.concat(F.lit("["), "_body", F.lit("]")).alias("value")).write.partitionBy("doc").text(folder)
-    return files.scan_json(spark, folder, "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
-                           lines=False).drop("doc")
+    return files.scan_json(spark, folder, "doc_id bigint, text string, inner struct<source:string,note:string>", lines=False)
 
 
 @query("scan_ndjson", "SELECT event_id, ts, user_id, event_type, value, props FROM events")

@@ -60,8 +60,10 @@ def scan_lines(spark: SparkSession, *paths: str) -> DataFrame:
     scan = spark.read.option("lineSep", "\n").text(list(paths))
     first = (F.col("_metadata.file_block_start") == 0) & F.startswith("value", F.lit(MARK))
     value = F.when(first, F.expr("right(value, char_length(value) - 1)")).otherwise(F.col("value"))
-    value = F.when(F.endswith(value, F.lit("\r")), F.substring(value, F.lit(1), F.char_length(value) - 1)).otherwise(value)
-    return decode_files(scan.select(F.col("_metadata.file_path").alias("file"), value.alias("value")))
+    lines = decode_files(scan.select(F.col("_metadata.file_path").alias("file"), value.alias("value")))
+    # Only decoded text can be cut by characters.
+    cut = F.when(F.endswith("value", F.lit("\r")), F.substring("value", F.lit(1), F.char_length("value") - 1)).otherwise(F.col("value"))
+    return lines.withColumn("value", cut)
 
 
 def scan_texts(spark: SparkSession, *paths: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from .csv import scan_csv, write_csv
 from .encodings import scan_lines, scan_texts
+from .json_documents import entries
 
 
 def scan_parquet(spark: SparkSession, *paths: str, glob: str | None = None, base: str | None = None) -> DataFrame:
@@ -36,17 +37,16 @@ def scan_leaves(spark: SparkSession, folders: Iterable[str]) -> DataFrame:
 
 def scan_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, *, lines: bool = True,
               any_encoding: bool = False) -> DataFrame:
-    """JSON lines, or whole documents holding an array (one file is one task then). With `any_encoding` each file's
-    encoding is found first (see `encodings`); otherwise all are UTF-8."""
-    if any_encoding:
-        texts = scan_lines(spark, path).select("value") if lines else scan_texts(spark, path).select("text")
-        reader = spark._jsparkSession.read()
-        if schema is not None:
-            reader = reader.schema((schema if isinstance(schema, str) else schema.simpleString().removeprefix("struct<").removesuffix(">")))
-        typed = getattr(texts._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
-        return DataFrame(reader.json(typed), spark)
-    reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.option("multiLine", not lines).json(path)
+    """JSON lines, or documents that hold a list of objects (see `json_documents`). With `any_encoding` the encoding of each
+    file of lines is found first; documents always have theirs found."""
+    if lines and not any_encoding:
+        return (spark.read.schema(schema) if schema is not None else spark.read).json(path)
+    texts = scan_lines(spark, path).select("value") if lines else entries(spark, path).select("json")
+    reader = spark._jsparkSession.read()
+    if schema is not None:
+        reader = reader.schema(schema if isinstance(schema, str) else schema.simpleString().removeprefix("struct<").removesuffix(">"))
+    typed = getattr(texts._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(reader.json(typed), spark)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:

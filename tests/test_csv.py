@@ -139,7 +139,7 @@ def test_one_record_is_picked_through_the_block_index(spark, tmp_path, small_blo
 def test_each_file_has_one_encoding(spark, tmp_path, small_blocks):
     # Most blocks of the first two files are plain ASCII: only the file as a whole tells its encoding.
     filler = "plain line\n" * 200
-    texts = {"cp1252": "é “quoted” €\n" + filler, "latin-1": "é \x81\n" + filler + "é\n", "utf-8-sig": "é “€”\n" + filler, "utf-8": "\x81é€\n"}
+    texts = {"cp1252": "é “quoted” €\r\n" + filler + "né\r\n", "latin-1": "é \x81\n" + filler + "é\n", "utf-8-sig": "é “€”\n" + filler, "utf-8": "\x81é€\n"}
     for kind, text in texts.items():
         (tmp_path / f"{kind}.txt").write_bytes(text.encode(kind))
     small_blocks(300)

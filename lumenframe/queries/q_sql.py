@@ -105,4 +105,4 @@ SELECT event_type, count(*) AS n, round(avg(value), 6) AS avg_value FROM events
 def bounded_stream(spark, root):
     schema = table(spark, root, "events").schema
     return run_once(spark, f"{root}/events.parquet", schema, lambda e: e.where("value > 5").groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("avg_value")))
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("avg_value")), ["event_type"])

@@ -102,12 +102,33 @@ def test_streams_read_folders_and_nothing(spark, tmp_path):
     spark.range(10).write.parquet(str(tmp_path / "t.parquet"))
     count = lambda df: df.agg(F.count("*").alias("n"))
     schema = spark.range(1).schema
-    assert run_once(spark, str(tmp_path / "t.parquet"), schema, count).first()["n"] == 10
+    assert run_once(spark, str(tmp_path / "t.parquet"), schema, count, []).first()["n"] == 10
     (tmp_path / "none").mkdir()
-    assert run_once(spark, str(tmp_path / "none"), schema, count).first()["n"] == 0
+    assert run_once(spark, str(tmp_path / "none"), schema, count, []).first()["n"] == 0
 
 
 def test_lists_in_both_forms(spark):
     df = spark.createDataFrame([("a", 3, None), ("a", 1, "x"), ("b", None, "z"), ("a", None, "y")], "k string, o int, v string")
     assert {r["k"]: r["v"] for r in aggregates.collect_lists(df, ["k"], "v", "o").collect()} == {"a": ["x", None, "y"], "b": ["z"]}
     assert sorted((r["k"], r["position"], r["v"]) for r in aggregates.list_positions(df, ["k"], "o").where("v is not null").collect()) == [("a", 1, "x"), ("a", 3, "y"), ("b", 1, "z")]
+
+
+def test_stream_batches_write_only_the_groups_they_touch(spark, tmp_path, monkeypatch):
+    from lumenframe.streaming import bounded
+    # Twelve files, one per batch: all have the key 0, each one key of its own, one in three a null.
+    for i in range(12):
+        rows = [(0, i), (i + 1, i), *([(None, i)] if i % 3 == 0 else [])]
+        spark.createDataFrame(rows, "k int, v int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    written = []
+    add = bounded.Versions.add
+    monkeypatch.setattr(bounded, "FANOUT", 4)
+    monkeypatch.setattr(bounded.Versions, "add", lambda self, df, n: (written.append(df.count()), add(self, df, n))[1])
+    held = []
+    result = bounded.Versions.result
+    monkeypatch.setattr(bounded.Versions, "result", lambda self: (held.append([t for c in self.classes for t in c]), result(self))[1])
+    total = lambda df: df.groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    got = run_once(spark, str(tmp_path / "in"), schema, total, ["k"], files_per_batch=1)
+    want = sorted(map(tuple, total(spark.read.parquet(str(tmp_path / "in"))).collect()), key=str)
+    assert sorted(map(tuple, got.collect()), key=str) == want
+    assert len([n for n in written if n]) == 12 and max(written) <= 3 and len(held[0]) <= 6

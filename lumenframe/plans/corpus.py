@@ -6,6 +6,7 @@ folder with very many files stays as parallel as its scan.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -192,16 +193,29 @@ def tag_label(name: Column, tags: list[Tag] = TAGS) -> Column:
     return F.coalesce(labels[name], F.translate(name, "_", " "))
 
 
+# The sentences on what a snippet is for, by role and by whether an operation was found ({label}).
+SENTENCES = {
+    ("setup", False): "Setup code for the {context} snippets.",
+    ("data", True): "Builds example input data for {label} in {context}.",
+    ("data", False): "Builds example input data for the {context} snippets.",
+    ("file", False): "Full source file from {context} when no explicit snippet markers are available.",
+    ("example", True): "Demonstrates {label} in {context}.",
+    ("example", False): "Example snippet from {context}.",
+}
+
+
 def purpose(role_: Column, context: Column, primary: Column, tags: list[Tag] = TAGS) -> Column:
-    """One sentence on what a snippet is for."""
-    label = tag_label(primary, tags)
-    about = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    return (F.when(role_ == "setup", about("Setup code for the ", context, " snippets."))
-            .when((role_ == "data") & primary.isNotNull(), about("Builds example input data for ", label, " in ", context, "."))
-            .when(role_ == "data", about("Builds example input data for the ", context, " snippets."))
-            .when(role_ == "file", about("Full source file from ", context, " when no explicit snippet markers are available."))
-            .when(primary.isNotNull(), about("Demonstrates ", label, " in ", context, "."))
-            .otherwise(about("Example snippet from ", context, ".")))
+    """One sentence on what a snippet is for: that of its role and operation, else that of its role, else an example's."""
+    held = {"context": context, "label": tag_label(primary, tags)}
+
+    def sentence(pattern: str) -> Column:
+        return F.concat(*[held[part] if i % 2 else F.lit(part) for i, part in enumerate(re.split(r"\{(\w+)\}", pattern))])
+
+    chosen = F
+    for (name, operated), pattern in SENTENCES.items():
+        if name != "example":
+            chosen = chosen.when((role_ == name) & primary.isNotNull() if operated else role_ == name, sentence(pattern))
+    return chosen.when(primary.isNotNull(), sentence(SENTENCES["example", True])).otherwise(sentence(SENTENCES["example", False]))
 
 
 def title(topic_label: Column, snippet_label: Column) -> Column:

@@ -148,7 +148,7 @@ def test_each_file_has_one_encoding(spark, tmp_path, small_blocks):
     whole = files.scan_sources(spark, str(tmp_path)).collect()
     assert {r.path: r.text for r in whole} == {f"{k}.txt": t for k, t in texts.items()}
     first = lines.numbered_lines(spark, str(tmp_path)).where("line = 1").collect()
-    assert sorted(r.value for r in first) == sorted(t.split("\n")[0] for t in texts.values())
+    assert sorted(r.value for r in first) == sorted(t.splitlines()[0] for t in texts.values())
 
 
 def test_json_in_any_encoding(spark, tmp_path):

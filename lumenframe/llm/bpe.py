@@ -16,12 +16,15 @@ characters), never cut short; ids are 32-bit little-endian numbers in one binary
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
 import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +32,10 @@ from pyspark.sql import functions as F
 from .registry import query, read
 
 SHORT_WORD = 64
-KEPT_WORDS = 200_000
+KEPT_BYTES = 40_000_000
+# About what a table entry takes beside its characters.
+ENTRY_BYTES = 190
+PART_BYTES = 1 << 20
 PIECE = 65_536
 MAX_VOCABULARY = 64_000_000
 # The split pattern of byte-level tokenizers, with white space spelled out.
@@ -67,6 +73,7 @@ class Vocabulary(dict):
 
     def __init__(self, definition: bytes):
         super().__init__()
+        self.held = 0
         spec = json.loads(definition)
         model, pre = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or spec.get("normalizer") or pre["type"] != "ByteLevel" or pre.get("add_prefix_space") or model.get("ignore_merges") or not pre.get("use_regex", True):
@@ -91,11 +98,13 @@ class Vocabulary(dict):
         self.lookup = [self.tokens.get(i, b"") for i in range(self.size)]
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT_WORDS:
+        if self.held >= KEPT_BYTES:
             self.clear()
+            self.held = 0
         ids = np.array(self.merge([self.first[b] for b in word.encode()]), "<u4").tobytes()
         if len(word) <= SHORT_WORD:
             self[word] = ids
+            self.held += len(word) + len(ids) + ENTRY_BYTES
         return ids
 
     def merge(self, parts: list[int]) -> list[int]:
@@ -202,21 +211,38 @@ def decode(shared, ids: Column) -> Column:
     return run(ids)
 
 
-def round_trip(shared, text: Column) -> Column:
-    """struct(ids, decoded): the text is encoded once, its ids decoded."""
-    @F.pandas_udf("ids binary, decoded string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def few(texts: pa.Array) -> Iterator[pa.Array]:
+    """A batch in parts of about `PART_BYTES`, or of one row."""
+    lo, held = 0, 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        held += n or 0
+        if held > PART_BYTES:
+            yield texts.slice(lo, i + 1 - lo)
+            lo, held = i + 1, 0
+    if lo < len(texts):
+        yield texts.slice(lo)
+
+
+def round_trip(shared, text: Column, digest: bool = False) -> Column:
+    """struct(ids, decoded): the text is encoded once, its ids decoded. With `digest` the decoded text stays in the worker,
+    and `decoded` is the lowercase hex SHA-256 of its UTF-8 bytes."""
+    @F.arrow_udf("ids binary, decoded string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(shared.value)
-        for texts in batches:
-            ids = list(map(v.encode, texts))
-            yield pd.DataFrame({"ids": ids, "decoded": list(map(v.decode, ids))})
+        shown = (lambda ids: hashlib.sha256(v.decode(ids).encode()).hexdigest()) if digest else v.decode
+        for batch in batches:
+            # Small parts: a worker holds one part's ids and texts beside the batch, whatever the batch's size.
+            for texts in few(batch):
+                ids = [v.encode(t.as_py()) for t in texts]
+                yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(shown, ids), pa.string())], ["ids", "decoded"])
     return run(text)
 
 
-def encode_rows(spark: SparkSession, docs: DataFrame, path: str, text_column: str = "text") -> DataFrame:
-    """All rows and columns, with ids (binary), n_tokens and decoded. Columns of these names are replaced."""
-    both = docs.withColumn("_both", round_trip(load(spark, path), F.col(text_column)))
-    return both.withColumns({"ids": F.col("_both.ids"), "n_tokens": (F.length("_both.ids") / 4).cast("bigint"), "decoded": F.col("_both.decoded")}).drop("_both")
+def encode_rows(spark: SparkSession, docs: DataFrame, path: str, text_column: str = "text", digest: bool = False) -> DataFrame:
+    """All rows and columns, with ids (binary), n_tokens and decoded, or decoded_sha256 with `digest`. Columns of these names are replaced."""
+    both = docs.withColumn("_both", round_trip(load(spark, path), F.col(text_column), digest))
+    return both.withColumns({"ids": F.col("_both.ids"), "n_tokens": (F.length("_both.ids") / 4).cast("bigint"),
+                             "decoded_sha256" if digest else "decoded": F.col("_both.decoded")}).drop("_both")
 
 
 def default_vocabulary() -> str:

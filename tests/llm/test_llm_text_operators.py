@@ -272,3 +272,17 @@ def test_scan_and_heap_merge_alike():
     for _ in range(300):
         parts = [v.first[b] for b in "".join(rng.choice("aabethnr ing") for _ in range(rng.randrange(1, 60))).encode()]
         assert v._scan(list(parts)) == v._heap(list(parts))
+
+
+def test_decoded_digests_and_small_parts(spark, monkeypatch):
+    import hashlib
+
+    import pyarrow as pa
+    monkeypatch.setattr(bpe, "PART_BYTES", 10)
+    batch = pa.array(["a" * 8, None, "b" * 8, "", "c" * 40, "d"])
+    assert [p.to_pylist() for p in bpe.few(batch)] == [["a" * 8, None, "b" * 8], ["", "c" * 40], ["d"]] and list(bpe.few(batch.slice(0, 0))) == []
+    texts = ["plain text", None, "", "Straße 漢字 😀", LONG]
+    path = bpe.default_vocabulary()
+    whole = {r["doc_id"]: r["decoded"] for r in bpe.encode_rows(spark, documents(spark, texts), path).collect()}
+    hashed = {r["doc_id"]: r["decoded_sha256"] for r in bpe.encode_rows(spark, documents(spark, texts), path, digest=True).collect()}
+    assert hashed == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in whole.items()} and whole[3] == texts[3]

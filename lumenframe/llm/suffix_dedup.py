@@ -90,7 +90,7 @@ def difference_cover_order(text: np.ndarray, length: int) -> np.ndarray:
     new = np.ones(len(sample), bool)
     if s.max() < 1 << 21:  # a triple fits one number
         triple = a << 42 | b << 21 | c
-        order = np.argsort(triple, kind="stable")
+        order = np.argsort(triple)
         new[1:] = np.diff(triple[order]) != 0
     else:
         order = np.lexsort((c, b, a))
@@ -104,27 +104,28 @@ def difference_cover_order(text: np.ndarray, length: int) -> np.ndarray:
     sampled = sample[order]
     sampled = sampled[sampled < n]
     zero = np.arange(0, n, 3)
-    zero = zero[np.lexsort((rank[zero + 1], s[zero]))]
+    zero = zero[np.argsort(s[zero] << 32 | rank[zero + 1])]
     return _merged(s, rank, sampled, zero)
 
 
 def _merged(s: np.ndarray, rank: np.ndarray, sampled: np.ndarray, zero: np.ndarray) -> np.ndarray:
-    """Binary search of each suffix at 0 mod 3 among the sampled ones."""
-    low, high = np.zeros(len(zero), np.int64), np.full(len(zero), len(sampled))
-    while True:
-        open_ = np.flatnonzero(low < high)
-        if not len(open_):
-            break
-        mid = (low[open_] + high[open_]) // 2
-        i, j = sampled[mid], zero[open_]
-        # i = 1 mod 3: (symbol, rank of i + 1); i = 2 mod 3: (two symbols, rank of i + 2); both ranks are sampled.
-        first = i % 3 == 1
-        x1, y1 = s[i], s[j]
-        x2, y2 = np.where(first, rank[i + 1], s[i + 1]), np.where(first, rank[j + 1], s[j + 1])
-        x3, y3 = np.where(first, 0, rank[np.minimum(i + 2, len(rank) - 1)]), np.where(first, 0, rank[np.minimum(j + 2, len(rank) - 1)])
-        before = (x1 < y1) | (x1 == y1) & ((x2 < y2) | (x2 == y2) & (x3 < y3))
-        low[open_[before]] = mid[before] + 1
-        high[open_[~before]] = mid[~before]
+    """Suffixes at 0 mod 3 put among the sampled ones.
+
+    They compare with those at 1 mod 3 by one symbol and the rank behind it, with those at 2 mod 3 by two symbols
+    and the rank behind them: one number each, so a place is the sum of two binary searches.
+    """
+    low = np.zeros(len(zero), np.int64)
+    for k in (1, 2):
+        others = sampled[sampled % 3 == k]
+        at = np.concatenate([others, zero])
+        key, behind = s[at], rank[at + k]
+        if k == 2:
+            narrow = max(s.max(), behind.max(initial=0)) < 1 << 21  # two symbols and a rank fit one number
+            pair = key << (21 if narrow else 32) | s[at + 1]
+            key = pair << 21 | behind if narrow else np.unique(pair, return_inverse=True)[1] << 32 | behind
+        else:
+            key = key << 32 | behind
+        low += np.searchsorted(key[:len(others)], key[len(others):])
     low = np.maximum.accumulate(low) if len(low) else low  # suffixes that are equal as far as sorted may come in any order
     out = np.empty(len(sampled) + len(zero), np.int64)
     at = low + np.arange(len(zero))

@@ -13,8 +13,9 @@ No pairs within large groups, and no loss of links:
 - lists are scanned in rounds: in each round a set scans one list (its smallest element under that round's
   hash) against one holder, checked exactly; found links make components; further rounds take several holders of
   other components;
-- last, lists of the rarest elements (prefix lemma) are scanned for pairs of different components. Sets that
-  share too little with other components were left out by the same lemma before.
+- last, lists of the rarest elements (prefix lemma) are scanned for pairs of different components; the smaller
+  set of a pair is indexed by a shorter prefix, and bounds from ranks and parity bits drop pairs before they leave
+  the join. Sets that share too little with other components were left out by the same lemma before.
 
 Defined results: null text, no words or an empty table give an empty set or no rows; empty sets link with nothing;
 a row without an id links with nothing and is its own component; rows with one id are one document; extra columns
@@ -45,6 +46,7 @@ ROUNDS = 3
 MORE_ROUNDS = 8
 BUCKET_HASHES = 4_000_000
 KEPT_WORDS = 400_000
+PARITY_BITS = 512
 #: Odd factors of a word's place in its shingle.
 FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
 
@@ -266,29 +268,54 @@ def more_links(sets: DataFrame, rounds: int) -> DataFrame:
     return _checked(pairs.join(x, "a").join(y, "b")).distinct()
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """How often, modulo 2, the elements fall on each of `PARITY_BITS` places."""
+    odd = np.bincount(((h >> np.uint64(7)) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def list_links(sets: DataFrame, boundary: int) -> DataFrame:
-    """sets: id, n, root, hashes. Links between sets of different components that share a rare element of both."""
+    """sets: id, n, root, hashes. Links between sets of different components that share a rare element of both.
+
+    Elements are in one order, rare ones first. The first common element of a linked pair is among the first
+    n - ceil(2 r n / (1 + r)) + 1 of the smaller set, which alone are indexed, and the first n - ceil(r n) + 1 of the
+    larger one. A pair is met at that element only, and stays if enough elements are left behind it in both sets, and if
+    the parities differ in no more places than the sets may in elements.
+    """
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("hashes")]
             at = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64)), *(c.take(pa.array(at)) for c in batch.select(["id", "n", "root"]).columns)], ["h", "id", "n", "root"])
 
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [parities(np.frombuffer(x.as_py(), np.uint64)).tolist() for x in batch.column("hashes")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), *(pa.array([w[k] for w in words], pa.int64()) for k in range(PARITY_BITS // 64))], ["id", "n", *names])
+
     from pyspark.sql import Window
 
+    names = [f"p{k}" for k in range(PARITY_BITS // 64)]
+    low, high = SIMILARITY
     entries = sets.select("id", "n", "root", "hashes").mapInArrow(elements, "h bigint, id bigint, n bigint, root bigint")
     lists = entries.groupBy("h").agg(F.count("*").alias("df"), F.min("root").alias("r0"), F.max("root").alias("r1"))
     known = entries.join(lists, "h")
     rank = F.row_number().over(Window.partitionBy("id", "n").orderBy("df", "h"))
-    prefix = F.col("n") - F.ceil(F.col("n") * SIMILARITY[0] / SIMILARITY[1]) + 1
+    prefix = F.col("n") - F.ceil(F.col("n") * low / high) + 1
     rare = known.withColumn("rank", rank).where((F.col("rank") <= prefix) & (F.col("r0") < F.col("r1")))
-    whole = Window.partitionBy("id", "n").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rare = rare.withColumn("all", F.collect_list("h").over(whole)).select("h", "id", "n", "root", "all")
-    left, right = rare.alias("l"), rare.alias("r")
-    near = (F.col("l.n") * SIMILARITY[1] >= F.col("r.n") * SIMILARITY[0]) & (F.col("r.n") * SIMILARITY[1] >= F.col("l.n") * SIMILARITY[0])
+    rarer = Window.partitionBy("id", "n").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, -1)
+    rare = rare.withColumn("rarer", F.collect_list("h").over(rarer)).select("h", "id", "n", "root", "rank", "rarer")
+    # Joined on the keys of the windows, so that lists are not shuffled for it.
+    rare = rare.join(sets.select("id", "n", "hashes").mapInArrow(marks, ", ".join(f"{c} bigint" for c in ["id", "n", *names])), ["id", "n"])
+    left, right = rare.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * (2 * low) / (low + high)) + 1).alias("l"), rare.alias("r")
+    near = (F.col("l.n") * high >= F.col("r.n") * low) & (F.struct("l.n", "l.id") < F.struct("r.n", "r.id")) & (F.col("r.n") > boundary)
+    both = F.col("l.n") + F.col("r.n")
+    need = F.ceil(both * low / (low + high))
+    left_over = F.least(F.col("l.n") - F.col("l.rank"), F.col("r.n") - F.col("r.rank")) + 1 >= need
+    apart = sum(F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"r.{c}"))) for c in names) <= both - 2 * need
     # A pair comes from the first list that both are in, not from every one.
-    first = F.get(F.array_intersect("l.all", "r.all"), F.lit(0)) == F.col("l.h")
-    pairs = (left.join(right, (F.col("l.h") == F.col("r.h")) & (F.col("l.root") < F.col("r.root")) & near & (F.greatest("l.n", "r.n") > boundary) & first)
+    first = ~F.arrays_overlap("l.rarer", "r.rarer")
+    pairs = (left.join(right, (F.col("l.h") == F.col("r.h")) & (F.col("l.root") != F.col("r.root")) & near & left_over & apart & first)
              .select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct())
     x = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))

@@ -88,11 +88,29 @@ def test_subset_and_list_sizes_agree():
             assert 100 * need >= 75 * (s + t - need) and 100 * (need - 1) < 75 * (s + t - need + 1)
 
 
+@pytest.mark.parametrize("boundary", [0, 6])
+def test_list_links_just_below_and_above_the_threshold(spark, boundary):
+    rng = random.Random(5)
+    sets = []
+    for _ in range(20):
+        base = [rng.getrandbits(63) for _ in range(rng.choice([1, 3, 5, 8, 12, 20, 40, 100, 300]))]
+        for _ in range(10):
+            loss = rng.choice([0.05, 0.1, 0.14, 0.18, 0.25])
+            kept = {h for h in base if rng.random() > loss} | {rng.getrandbits(63) for _ in range(int(len(base) * loss * rng.random()))}
+            sets += [np.unique(np.array(sorted(kept), np.uint64))] if kept else []
+    rows = spark.createDataFrame([(i, len(s), i, s.tobytes()) for i, s in enumerate(sets)], "id bigint, n bigint, root bigint, hashes binary")
+    got = [tuple(sorted(r)) for r in jaccard_join.list_links(rows, boundary).collect()]
+    want = [(i, j) for j in range(len(sets)) for i in range(j) if max(len(sets[i]), len(sets[j])) > boundary and jaccard_join.similar(sets[i], sets[j])]
+    assert sorted(got) == sorted(want)
+
+
 def test_suffix_order():
     rng = random.Random(4)
     for n in [*range(12), 50, 200]:
         t = np.array([rng.randrange(3) for _ in range(n)], np.int64)
         assert suffix_dedup.difference_cover_order(t, 300).tolist() == sorted(range(n), key=lambda i: t[i:].tolist())
+    t = np.array([rng.choice([5, rng.randrange(1 << 22)]) for _ in range(500)] + [1 << 22], np.int64)  # symbols too wide to pack three
+    assert suffix_dedup.difference_cover_order(t, 1000).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
 
 
 @pytest.mark.parametrize("most", [3000, 1])  # 1: every anchor with several texts goes window by window

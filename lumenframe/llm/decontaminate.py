@@ -60,7 +60,7 @@ FOLD = _fold_table()
 def normalize(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Folded characters, and the place of each in the text."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where(codes < 0x10000, FOLD[np.minimum(codes, 0xFFFF)], codes)
+    codes = FOLD[codes] if codes.max(initial=0) < 0x10000 else np.where(codes < 0x10000, FOLD[np.minimum(codes, 0xFFFF)], codes)
     blank = codes == 32
     keep = ~blank
     keep[1:] |= ~blank[:-1]
@@ -98,18 +98,17 @@ class Grams:
         self.reach = int((size + self.edits).max()) if len(size) else 0
         self.fewest = int(self.least.min()) if len(size) else 0
 
-    def find(self, codes: np.ndarray, h: np.ndarray, hit: np.ndarray, upto: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
-        """Per window: (start, stop, edits) of regions in the characters. hit: hashes h that may be known; upto: their running count from 0."""
+    def find(self, codes: np.ndarray, h: np.ndarray, hit: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+        """Per window: (start, stop, edits) of regions in the characters. hit: places, in order, of hashes h that may be known."""
         out = defaultdict(list)
-        if not len(self.keys):
+        if not len(self.keys) or len(hit) < self.fewest:
             return out
         # A region has at least `fewest` hits in `reach` characters: other hits cannot matter.
-        stop = np.minimum(np.arange(len(h)) + self.reach, len(h))
-        dense = upto[stop] - upto[:-1] >= self.fewest
-        edge = np.zeros(len(h) + 1, np.int64)
-        np.add.at(edge, np.flatnonzero(dense), 1)
-        np.subtract.at(edge, stop[dense], 1)
-        at = np.flatnonzero(hit & (np.cumsum(edge[:-1]) > 0))
+        first = np.flatnonzero(hit[self.fewest - 1:] - hit[:len(hit) - self.fewest + 1] < self.reach)
+        edge = np.zeros(len(hit) + 1, np.int64)
+        edge[first] = 1
+        edge -= np.bincount(np.searchsorted(hit, hit[first] + self.reach), minlength=len(edge))
+        at = hit[np.cumsum(edge[:-1]) > 0]
         if not len(at):
             return out
         key = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
@@ -123,8 +122,9 @@ class Grams:
         # Each place of a window counts once in a band, however often its q-gram occurs there.
         shift, wide = int(band.max() + 2).bit_length() if len(band) else 1, int(self.size.max()).bit_length()
         cell = np.concatenate([owner << shift | band + 1, owner << shift | band])
-        cell = np.unique(cell << wide | np.concatenate([place, place])) >> wide
-        cell, counts = np.unique(cell, return_counts=True)
+        cell = _distinct(cell << wide | np.concatenate([place, place])) >> wide
+        begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        cell, counts = cell[begin], np.diff(np.append(begin, len(cell)))
         done = {}
         for c in cell[counts >= self.least[cell >> shift]].tolist():
             w, b = c >> shift, (c & (1 << shift) - 1) - 1
@@ -170,10 +170,9 @@ class Windows:
         if not self.reach or len(codes) < Q:
             return out
         h = gram_hashes(codes)
-        hit = self.seen[h >> np.uint64(64 - BITS)]
-        upto = np.concatenate([[0], np.cumsum(hit)])
+        hit = np.flatnonzero(self.seen[h >> np.uint64(64 - BITS)])
         for g, before in zip(self.grams, (0, len(self.grams[0].items))):
-            out |= {w + before: found for w, found in g.find(codes, h, hit, upto).items()}
+            out |= {w + before: found for w, found in g.find(codes, h, hit).items()}
         return out
 
     def hits(self, text: str | None) -> list[dict]:
@@ -236,6 +235,12 @@ class Windows:
                 out[i] = self.report(regions.get(n, {}), codes, where)
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting: np.unique hashes them first, which takes several times as long."""
+    values.sort()
+    return values[np.concatenate([[True], values[1:] != values[:-1]])]
+
+
 def _stripped(codes: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(codes != 32)
     return codes[at[0]:at[-1] + 1] if len(at) else codes[:0]

@@ -304,3 +304,39 @@ def test_decoded_digests_and_small_parts(spark, monkeypatch):
     whole = {r["doc_id"]: r["decoded"] for r in bpe.encode_rows(spark, documents(spark, texts), path).collect()}
     hashed = {r["doc_id"]: r["decoded_sha256"] for r in bpe.encode_rows(spark, documents(spark, texts), path, digest=True).collect()}
     assert hashed == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in whole.items()} and whole[3] == texts[3]
+
+
+def test_words_split_alike_for_latin_texts():
+    exact, latin = bpe.regex.compile(bpe.EXACT_PATTERN, bpe.regex.V1), bpe.re.compile(bpe.LATIN_PATTERN)
+    rng = random.Random(11)
+    texts = [t for c in map(chr, range(256)) for t in (c, "a" + c, " " + c, "1" + c + "1", c + " ", c + c + " x", "'" + c, c + "\n")]
+    texts += ["".join(rng.choice("ab'sstmdrelv  \n\t1 9²¼éªµ×÷!.\x85\xa0\x1c\x1f\x0b") for _ in range(rng.randrange(25))) for _ in range(3000)]
+    assert all(latin.findall(t) == exact.findall(t) for t in texts)
+
+
+def test_a_full_word_table_keeps_its_later_words(monkeypatch):
+    with open(bpe.default_vocabulary(), "rb") as f:
+        v = bpe.Vocabulary(f.read())
+    words = [f" word{i}" for i in range(100)]
+    want = [v[w] for w in words]
+    v.clear()
+    v.held = 0
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 20 * bpe.ENTRY_BYTES)
+    assert [v[w] for w in words] == want
+    assert words[-2] in v and words[0] not in v and len(v) < 30
+    assert v.held == sum(len(w) + len(ids) + bpe.ENTRY_BYTES for w, ids in v.items())
+
+
+def test_decontamination_scans_without_hashing_its_hits(monkeypatch):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9))) for _ in range(300)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(40))) for i in range(20)]
+    index = decontaminate.Windows(items)
+    texts = [" ".join(rng.choice(words) for _ in range(50)) + (" " + items[i][1] + " tail" if i < 20 else "") for i in range(60)] + [None, "", "漢字 😀 " + items[3][1].upper()]
+
+    def unique(*args, **kwargs):
+        raise AssertionError("np.unique hashes integers, at several times the cost of a sort")
+
+    monkeypatch.setattr(decontaminate.np, "unique", unique)
+    got = [[h["item_id"] for h in x] for x in index.search(pd.Series(texts))]
+    assert got == [[i] for i in range(20)] + [[]] * 42 + [[3]]

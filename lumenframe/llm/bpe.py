@@ -18,7 +18,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +52,12 @@ _LATER = ("\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce\ua7cf\u
           "\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe\U0001e6ff"
           "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f")
 EXACT_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}--[{_LATER}]]+| ?[\p{{N}}--[{_LATER}]]+| ?(?:[^{_SPACE}\p{{L}}\p{{N}}]|[{_LATER}])+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+# The same pattern for texts of characters below 256, which the re module takes from a table.
+_LETTER, _NUMBER = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+_BLANK = r"\t-\r \x85\xa0"
+LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
+ID_BITS = 32
+MADE = (1 << ID_BITS) - 1
 NEVER = 1 << 62
 
 
@@ -82,26 +90,28 @@ class Vocabulary(dict):
         self.tokens = {i: bytes(letters[c] for c in t) for t, i in model["vocab"].items() if all(c in letters for c in t)}
         self.first = [model["vocab"][c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        # By pair: the merge's rank and, in the low bits, the id it makes. Plain numbers compare faster than tuples.
         self.ranks = {}
         for rank, (a, b) in enumerate(pairs):
-            self.ranks.setdefault((model["vocab"][a], model["vocab"][b]), (rank, model["vocab"][a + b]))
+            self.ranks.setdefault((model["vocab"][a], model["vocab"][b]), rank << ID_BITS | model["vocab"][a + b])
         self.added = {}
         for t in spec.get("added_tokens", []):
             if t["single_word"] or t["lstrip"] or t["rstrip"]:
                 raise ValueError("added tokens that take white space or whole words are not supported")
             self.added[t["content"]] = t["id"]
             self.tokens[t["id"]] = t["content"].encode()
-        self.words, self.exact_words = regex.compile(WORD_PATTERN), regex.compile(EXACT_PATTERN, regex.V1)
+        self.words, self.exact_words = re.compile(LATIN_PATTERN), regex.compile(EXACT_PATTERN, regex.V1)
         self.cut = regex.compile(rf"(?<=[^{_SPACE}]) (?=[^{_SPACE}])")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.size = max(self.tokens) + 1
         self.lookup = [self.tokens.get(i, b"") for i in range(self.size)]
+        self.packed = [i.to_bytes(4, "little") for i in range(max(self.size, *model["vocab"].values()) + 1)]
 
     def __missing__(self, word: str) -> bytes:
         if self.held >= KEPT_BYTES:
-            self.clear()
-            self.held = 0
-        ids = np.array(self.merge([self.first[b] for b in word.encode()]), "<u4").tobytes()
+            for old in list(itertools.islice(self, (len(self) + 1) // 2)):
+                self.held -= len(old) + len(self.pop(old)) + ENTRY_BYTES
+        ids = b"".join(map(self.packed.__getitem__, self.merge(list(map(self.first.__getitem__, word.encode())))))
         if len(word) <= SHORT_WORD:
             self[word] = ids
             self.held += len(word) + len(ids) + ENTRY_BYTES
@@ -111,37 +121,37 @@ class Vocabulary(dict):
         return self._scan(parts) if len(parts) <= SHORT_WORD else self._heap(parts)
 
     def _scan(self, parts: list[int]) -> list[int]:
-        none = (NEVER, 0)
-        found = [self.ranks.get(p, none) for p in zip(parts, parts[1:])]
+        look = self.ranks.get
+        found = list(map(look, zip(parts, parts[1:]), itertools.repeat(NEVER)))
         while found:
             best = min(found)
-            if best is none:
+            if best == NEVER:
                 break
             at = found.index(best)
-            parts[at:at + 2] = [best[1]]
-            del found[at]
+            parts[at] = made = best & MADE
+            del parts[at + 1], found[at]
             if at < len(found):
-                found[at] = self.ranks.get((parts[at], parts[at + 1]), none)
+                found[at] = look((made, parts[at + 1]), NEVER)
             if at:
-                found[at - 1] = self.ranks.get((parts[at - 1], parts[at]), none)
+                found[at - 1] = look((parts[at - 1], made), NEVER)
         return parts
 
     def _heap(self, parts: list[int]) -> list[int]:
         n = len(parts)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(r[0], i, parts[i], parts[i + 1], r[1]) for i in range(n - 1) if (r := self.ranks.get((parts[i], parts[i + 1])))]
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := self.ranks.get((parts[i], parts[i + 1]))) is not None]
         heapq.heapify(heap)
 
         def offer(i: int) -> None:
-            if i >= 0 and right[i] >= 0 and (r := self.ranks.get((parts[i], parts[right[i]]))):
-                heapq.heappush(heap, (r[0], i, parts[i], parts[right[i]], r[1]))
+            if i >= 0 and right[i] >= 0 and (r := self.ranks.get((parts[i], parts[right[i]]))) is not None:
+                heapq.heappush(heap, (r, i, parts[i], parts[right[i]]))
 
         while heap:
-            _, i, a, b, made = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = right[i]
             if parts[i] != a or j < 0 or parts[j] != b:
                 continue
-            parts[i], parts[j] = made, -1
+            parts[i], parts[j] = r & MADE, -1
             right[i] = right[j]
             if right[j] >= 0:
                 left[right[j]] = i

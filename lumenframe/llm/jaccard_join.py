@@ -325,7 +325,7 @@ def list_links(sets: DataFrame, boundary: int) -> DataFrame:
 def similar_documents(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id, rep_id (smallest document with the same set)."""
     slim = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
-    store = lambda name, df: (df.write.parquet(path := scratch_dir(spark, name)), spark.read.parquet(path))[1]
+    store = lambda name, df: (df.write.parquet(path := scratch_dir(spark, name)), spark.read.schema(df.schema).parquet(path))[1]
     rows = store("set-rows", set_classes(slim, words))
     reps = rows.where("id is not null and n > 0").groupBy("high", "low").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -355,19 +355,18 @@ def similar_documents(spark: SparkSession, docs: DataFrame, id_column: str = "do
         for batch in batches:
             yield from _packed(batch.column("id").to_pylist(), batch.column("root").to_pylist(), [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("hashes")], buckets)
 
-    def crossing(left: DataFrame, links: DataFrame) -> DataFrame:
-        """Sets that share enough with sets of other components, with their root."""
-        roots = components(spark, links).withColumnRenamed("node", "id")
-        rooted = store("rooted", left.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    def crossing(left: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Sets that share enough with sets of other components, with their root; the components as links to roots."""
+        stars = components(spark, links)
+        rooted = store("rooted", left.join(stars.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
         counts = shared_counts(rooted.select("id", "root", "hashes").mapInArrow(pack_roots, PACKED), buckets)
         kept = rooted.join(counts, F.col("id") == F.col("name")).where(F.col("n_shared") >= needed_share(F.col("n")))
-        return store("crossing", kept.select("id", "n", "root", "hashes"))
+        return store("crossing", kept.select("id", "n", "root", "hashes")), stars.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
     # A set left out here shares too little with other components, and components only grow.
-    first = crossing(heavy, links)
-    links = links.unionByName(store("links-more", more_links(first, MORE_ROUNDS)))
-    last = list_links(crossing(first.drop("root"), links), boundary)
-    final = components(spark, links.unionByName(store("links-last", last)))
+    first, stars = crossing(heavy, links)
+    second, stars = crossing(first.drop("root"), stars.unionByName(store("links-more", more_links(first, MORE_ROUNDS))))
+    final = components(spark, stars.unionByName(store("links-last", list_links(second, boundary))))
     named = rows.join(reps.select("high", "low", "rep"), ["high", "low"], "left")
     named = named.withColumn("rep", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("rep")).otherwise(F.col("id")))
     done = named.join(final.withColumnRenamed("node", "rep"), "rep", "left")

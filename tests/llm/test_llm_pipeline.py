@@ -45,3 +45,21 @@ def test_stages_take_odd_rows(spark):
         for name, stage in pipe.STAGES:
             made = stage(spark, docs, SF)
             assert made.count() <= docs.count(), name
+
+
+def test_components_run_in_small_plans(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from lumenframe.llm.components import components
+    plans, write = [], DataFrameWriter.parquet
+
+    def kept(self, path, *args, **kwargs):
+        plans.append(self._df._jdf.queryExecution().optimizedPlan().toString())
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", kept)
+    links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (60, 59), (61, 60), (60, 61)]
+    got = {r["node"]: r["root"] for r in components(spark, spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 130)} | {60: 59, 61: 59}
+    # The driver holds each plan with its generated code, hash tables and threads: no step reads its input more than twice.
+    assert plans and all(p.count("Relation [") <= 2 for p in plans)

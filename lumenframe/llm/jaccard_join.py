@@ -24,6 +24,7 @@ are not looked at.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -51,6 +52,11 @@ PARITY_BITS = 512
 FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
 
 
+def _stored(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
+    df.write.parquet(path := scratch_dir(spark, name))
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > KEPT_WORDS:
@@ -222,13 +228,54 @@ def light_links(sets: DataFrame, boundary: int) -> DataFrame:
     return joined.select(F.col("id").alias("a"), F.when(F.col("side") == 1, F.col("small")).otherwise(F.coalesce("large", "small")).alias("b")).where("b is not null and a <> b").distinct()
 
 
-def _checked(pairs: DataFrame) -> DataFrame:
-    """pairs: a, b, x, y (hashes). Those that are similar."""
+def parities(h: np.ndarray) -> np.ndarray:
+    """How often, modulo 2, the elements fall on each of `PARITY_BITS` places."""
+    odd = np.bincount(((h >> np.uint64(7)) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+PARITIES = [f"p{k}" for k in range(PARITY_BITS // 64)]
+
+
+def set_parities(sets: DataFrame) -> DataFrame:
+    """sets: id, n, hashes. id, n and the parities."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [parities(np.frombuffer(x.as_py(), np.uint64)).tolist() for x in batch.column("hashes")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), *(pa.array([w[k] for w in words], pa.int64()) for k in range(len(PARITIES)))], ["id", "n", *PARITIES])
+    return sets.select("id", "n", "hashes").mapInArrow(run, ", ".join(f"{c} bigint" for c in ["id", "n", *PARITIES]))
+
+
+def _need(left: str, right: str):
+    """Shared elements that two sets need, as a column. left, right: aliases of tables with n."""
+    low, high = SIMILARITY
+    return F.ceil((F.col(f"{left}.n") + F.col(f"{right}.n")) * low / (low + high))
+
+
+def _close(left: str, right: str):
+    """Whether the parities differ in no more places than the sets may in elements."""
+    apart = sum(F.bit_count(F.col(f"{left}.{c}").bitwiseXOR(F.col(f"{right}.{c}"))) for c in PARITIES)
+    return apart <= F.col(f"{left}.n") + F.col(f"{right}.n") - 2 * _need(left, right)
+
+
+def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs: a, b. Those whose sizes and parities allow it, so that hashes are moved for these only."""
+    low, high = SIMILARITY
+    marks = set_parities(sets)
+    joined = pairs.join(marks.alias("l"), F.col("a") == F.col("l.id")).join(marks.alias("r"), F.col("b") == F.col("r.id"))
+    sizes = F.least("l.n", "r.n") * high >= F.greatest("l.n", "r.n") * low
+    return joined.where(sizes & _close("l", "r")).select("a", "b").distinct()
+
+
+def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs: a, b. Those that are similar."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column("x"), batch.column("y"))]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+    x, y = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def round_links(sets: DataFrame, rounds: int) -> DataFrame:
@@ -238,19 +285,18 @@ def round_links(sets: DataFrame, rounds: int) -> DataFrame:
             hashes = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("hashes")]
             for k in range(rounds):
                 keys = np.array([mix(h, 101 + k).min() if len(h) else 0 for h in hashes], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), pa.array(keys), *batch.columns], ["round", "key", "id", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), pa.array(keys), batch.column("id")], ["round", "key", "id"])
 
-    entries = sets.select("id", "hashes").mapInArrow(run, "round int, key bigint, id bigint, hashes binary")
+    entries = sets.select("id", "hashes").mapInArrow(run, "round int, key bigint, id bigint")
     # Even rounds take the smallest holder, odd rounds any other, so that one unlucky holder does not decide.
     order = F.when(F.col("round") % 2 == 0, F.col("id")).otherwise(F.xxhash64("round", "id"))
     heads = entries.groupBy("round", "key").agg(F.min_by("id", order).alias("head"), F.count("*").alias("m")).where("m > 1").select("round", "key", "head")
-    heads = heads.join(sets.select(F.col("id").alias("head"), F.col("hashes").alias("y")), "head")
-    pairs = entries.join(heads, ["round", "key"]).where("id <> head")
-    return _checked(pairs.select(F.col("id").alias("a"), F.col("head").alias("b"), F.col("hashes").alias("x"), "y")).distinct()
+    pairs = entries.join(heads, ["round", "key"]).where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    return _checked(_possible(pairs, sets), sets)
 
 
 def more_links(sets: DataFrame, rounds: int) -> DataFrame:
-    """sets: id, root, hashes. Further rounds, with several holders of each list, between different components only."""
+    """sets: id, n, root, hashes. Further rounds, with several holders of each list, between different components only."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("hashes")]
@@ -264,23 +310,15 @@ def more_links(sets: DataFrame, rounds: int) -> DataFrame:
     heads = (entries.groupBy("round", "key").agg(holders.alias("heads"), F.min("root").alias("r0"), F.max("root").alias("r1"))
              .where("r0 < r1").select("round", "key", F.explode(F.array_distinct("heads")).alias("head")))
     pairs = entries.join(heads, ["round", "key"]).where(F.col("root") != F.col("head.root")).select(F.col("id").alias("a"), F.col("head.id").alias("b")).distinct()
-    x, y = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    return _checked(pairs.join(x, "a").join(y, "b")).distinct()
+    return _checked(_possible(pairs, sets), sets)
 
 
-def parities(h: np.ndarray) -> np.ndarray:
-    """How often, modulo 2, the elements fall on each of `PARITY_BITS` places."""
-    odd = np.bincount(((h >> np.uint64(7)) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def list_links(sets: DataFrame, boundary: int) -> DataFrame:
-    """sets: id, n, root, hashes. Links between sets of different components that share a rare element of both.
+def rare_elements(sets: DataFrame) -> DataFrame:
+    """sets: id, n, root, hashes. The prefix of each set: h, its rank, the rarer elements, and the set's root and parities.
 
-    Elements are in one order, rare ones first. The first common element of a linked pair is among the first
-    n - ceil(2 r n / (1 + r)) + 1 of the smaller set, which alone are indexed, and the first n - ceil(r n) + 1 of the
-    larger one. A pair is met at that element only, and stays if enough elements are left behind it in both sets, and if
-    the parities differ in no more places than the sets may in elements.
+    The order is one for all sets: elements held by one component only, which link nothing, come first, then rare ones.
+    The former are not moved: what lacks in a set's n are such elements. (Where rows share id and n, ranks come out
+    too small, which keeps more.)
     """
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,44 +326,44 @@ def list_links(sets: DataFrame, boundary: int) -> DataFrame:
             at = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64)), *(c.take(pa.array(at)) for c in batch.select(["id", "n", "root"]).columns)], ["h", "id", "n", "root"])
 
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [parities(np.frombuffer(x.as_py(), np.uint64)).tolist() for x in batch.column("hashes")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), *(pa.array([w[k] for w in words], pa.int64()) for k in range(PARITY_BITS // 64))], ["id", "n", *names])
-
     from pyspark.sql import Window
 
-    names = [f"p{k}" for k in range(PARITY_BITS // 64)]
     low, high = SIMILARITY
     entries = sets.select("id", "n", "root", "hashes").mapInArrow(elements, "h bigint, id bigint, n bigint, root bigint")
-    lists = entries.groupBy("h").agg(F.count("*").alias("df"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    known = entries.join(lists, "h")
-    rank = F.row_number().over(Window.partitionBy("id", "n").orderBy("df", "h"))
-    prefix = F.col("n") - F.ceil(F.col("n") * low / high) + 1
-    rare = known.withColumn("rank", rank).where((F.col("rank") <= prefix) & (F.col("r0") < F.col("r1")))
-    rarer = Window.partitionBy("id", "n").orderBy("df", "h").rowsBetween(Window.unboundedPreceding, -1)
+    lists = entries.groupBy("h").agg(F.count("*").alias("df"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("h", "df")
+    own = Window.partitionBy("id", "n")
+    rank = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "h"))
+    rare = entries.join(lists, "h").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * low / high) + 1)
+    rarer = own.orderBy("df", "h").rowsBetween(Window.unboundedPreceding, -1)
     rare = rare.withColumn("rarer", F.collect_list("h").over(rarer)).select("h", "id", "n", "root", "rank", "rarer")
     # Joined on the keys of the windows, so that lists are not shuffled for it.
-    rare = rare.join(sets.select("id", "n", "hashes").mapInArrow(marks, ", ".join(f"{c} bigint" for c in ["id", "n", *names])), ["id", "n"])
+    return rare.join(set_parities(sets), ["id", "n"])
+
+
+def list_links(sets: DataFrame, boundary: int) -> DataFrame:
+    """sets: id, n, root, hashes. Links between sets of different components that share a rare element of both.
+
+    The first common element of a linked pair is among the first n - ceil(2 r n / (1 + r)) + 1 of the smaller set, which
+    alone are indexed, and the first n - ceil(r n) + 1 of the larger one. A pair is met at that element only, and stays if
+    enough elements are left behind it in both sets, and if the parities differ in no more places than the sets may in
+    elements.
+    """
+    low, high = SIMILARITY
+    rare = _stored(sets.sparkSession, "rare", rare_elements(sets))  # read twice
     left, right = rare.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * (2 * low) / (low + high)) + 1).alias("l"), rare.alias("r")
     near = (F.col("l.n") * high >= F.col("r.n") * low) & (F.struct("l.n", "l.id") < F.struct("r.n", "r.id")) & (F.col("r.n") > boundary)
-    both = F.col("l.n") + F.col("r.n")
-    need = F.ceil(both * low / (low + high))
-    left_over = F.least(F.col("l.n") - F.col("l.rank"), F.col("r.n") - F.col("r.rank")) + 1 >= need
-    apart = sum(F.bit_count(F.col(f"l.{c}").bitwiseXOR(F.col(f"r.{c}"))) for c in names) <= both - 2 * need
+    left_over = F.least(F.col("l.n") - F.col("l.rank"), F.col("r.n") - F.col("r.rank")) + 1 >= _need("l", "r")
     # A pair comes from the first list that both are in, not from every one.
     first = ~F.arrays_overlap("l.rarer", "r.rarer")
-    pairs = (left.join(right, (F.col("l.h") == F.col("r.h")) & (F.col("l.root") != F.col("r.root")) & near & left_over & apart & first)
+    pairs = (left.join(right, (F.col("l.h") == F.col("r.h")) & (F.col("l.root") != F.col("r.root")) & near & left_over & _close("l", "r") & first)
              .select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct())
-    x = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-    return _checked(pairs.join(x, "a").join(y, "b")).distinct()
+    return _checked(pairs, sets)
 
 
 def similar_documents(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id, rep_id (smallest document with the same set)."""
     slim = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text"))
-    store = lambda name, df: (df.write.parquet(path := scratch_dir(spark, name)), spark.read.schema(df.schema).parquet(path))[1]
+    store = functools.partial(_stored, spark)
     rows = store("set-rows", set_classes(slim, words))
     reps = rows.where("id is not null and n > 0").groupBy("high", "low").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

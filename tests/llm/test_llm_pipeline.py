@@ -63,3 +63,16 @@ def test_components_run_in_small_plans(spark, monkeypatch):
     assert got == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 130)} | {60: 59, 61: 59}
     # The driver holds each plan with its generated code, hash tables and threads: no step reads its input more than twice.
     assert plans and all(p.count("Relation [") <= 2 for p in plans)
+
+
+def test_near_duplicates_leaves_texts_where_they_are(spark):
+    docs, limit = spark.read.parquet(f"{SF}/documents.parquet"), "spark.sql.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(limit)
+    spark.conf.set(limit, "20000")
+    try:
+        done = pipe.near_duplicates(spark, docs, SF)
+        plan = done._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert 0 < done.count() < docs.count()
+    finally:
+        spark.conf.set(limit, usual)

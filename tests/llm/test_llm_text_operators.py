@@ -104,6 +104,37 @@ def test_list_links_just_below_and_above_the_threshold(spark, boundary):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("rounds", ["round_links", "more_links"])
+def test_hashes_are_joined_to_possible_pairs_only(spark, monkeypatch, rounds):
+    rng = random.Random(6)
+    common = [rng.getrandbits(63) for _ in range(60)]
+    sets = [np.unique(np.array(common + [rng.getrandbits(63) for _ in range(rng.choice([60, 70, 200]))], np.uint64)) for _ in range(40)]
+    sets += [np.delete(s, slice(3)) for s in sets[:10]]  # the only links
+    rows = spark.createDataFrame([(i, len(s), i, s.tobytes()) for i, s in enumerate(sets)], "id bigint, n bigint, root bigint, hashes binary")
+    checked, seen = jaccard_join._checked, []
+
+    def kept(pairs, *rest):
+        seen.extend((r["a"], r["b"]) for r in pairs.select("a", "b").collect())
+        return checked(pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_checked", kept)
+    got = {tuple(sorted(r)) for r in getattr(jaccard_join, rounds)(rows, 8).collect()}
+    assert got and got <= {(i, 40 + i) for i in range(10)}
+    # A pair brings both sets' hashes along, so pairs that sizes and parities rule out are gone by then, and none comes twice.
+    assert {tuple(sorted(p)) for p in seen} == got and len(seen) == len(set(seen))
+
+
+def test_list_links_of_repeated_rows(spark):
+    rng = random.Random(7)
+    sets = []
+    for _ in range(30):
+        base = [rng.getrandbits(63) for _ in range(40)]
+        sets += [np.unique(np.array(base[:36] + [rng.getrandbits(63) for _ in range(4)], np.uint64)) for _ in range(3)]
+    rows = spark.createDataFrame([(i, len(s), i, s.tobytes()) for i, s in enumerate(sets) for _ in range(3)], "id bigint, n bigint, root bigint, hashes binary")
+    got = {tuple(sorted(r)) for r in jaccard_join.list_links(rows, 0).collect()}
+    assert got == {(i, j) for j in range(len(sets)) for i in range(j) if jaccard_join.similar(sets[i], sets[j])} and len(got) == 90
+
+
 def test_suffix_order():
     rng = random.Random(4)
     for n in [*range(12), 50, 200]:

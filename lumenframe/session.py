@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 4 << 20
+
 
 def build_session(app: str = "lumenframe", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators expect."""
@@ -34,6 +36,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Batches of rows for Python hold about `BATCH_BYTES`, however long the texts are, or one row.
+
+    Spark's default is 10,000 rows, which a task holds several times: as rows, as Arrow buffers
+    and in its Python worker. What these grow to stays with the executor for later stages.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def is_local(spark: SparkSession) -> bool:
     return spark.conf.get("spark.master", "").startswith("local")
 

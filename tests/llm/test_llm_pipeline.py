@@ -76,3 +76,25 @@ def test_near_duplicates_leaves_texts_where_they_are(spark):
         assert 0 < done.count() < docs.count()
     finally:
         spark.conf.set(limit, usual)
+
+
+def test_stages_bound_the_batches_of_python(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    def seen(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [sum(len(t.as_py()) for t in b.column(0))]})
+
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    usual, size = spark.conf.get(limit), 1 << 20
+    texts = spark.range(0, 24, 1, 1).select(F.repeat(F.lit("x"), size).alias("text"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    try:
+        for name, stage in pipe.STAGES:
+            spark.conf.set(limit, usual)
+            stage(spark, docs, SF)
+            got = texts.mapInArrow(seen, "rows bigint, bytes bigint").collect()
+            assert sum(r["rows"] for r in got) == 24 and max(r["bytes"] for r in got) <= 6 * size, name
+    finally:
+        spark.conf.set(limit, usual)

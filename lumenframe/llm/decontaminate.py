@@ -114,13 +114,15 @@ class Grams:
         key = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
         known = self.keys[key] == h[at]
         at, key = at[known], key[known]
+        if not len(at):
+            return out  # places that only may be known, such as a run of one word, or known to other windows
         many = self.many[key]
         entry = np.repeat(self.first[key] - np.cumsum(many) + many, many) + np.arange(many.sum())
         owner, place = self.owner[entry], self.place[entry]
         half = self.edits[owner] + 1
         band = (np.repeat(at, many) - place + self.reach) // half  # diagonals may be below 0
         # Each place of a window counts once in a band, however often its q-gram occurs there.
-        shift, wide = int(band.max() + 2).bit_length() if len(band) else 1, int(self.size.max()).bit_length()
+        shift, wide = int(band.max() + 2).bit_length(), int(self.size.max()).bit_length()
         cell = np.concatenate([owner << shift | band + 1, owner << shift | band])
         cell = _distinct(cell << wide | np.concatenate([place, place])) >> wide
         begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))

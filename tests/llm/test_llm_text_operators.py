@@ -371,3 +371,25 @@ def test_decontamination_scans_without_hashing_its_hits(monkeypatch):
     monkeypatch.setattr(decontaminate.np, "unique", unique)
     got = [[h["item_id"] for h in x] for x in index.search(pd.Series(texts))]
     assert got == [[i] for i in range(20)] + [[]] * 42 + [[3]]
+
+
+def test_decontamination_takes_runs_that_only_seem_known(spark):
+    rng = random.Random(5)
+    items = [(k, " ".join("".join(rng.choices("abcdefghij", k=rng.randint(3, 9))) for _ in range(60))) for k in range(30)]
+    index = decontaminate.Windows(items)
+    letters = [chr(c) for c in range(0x100, 0x3000) if chr(c).lower() == chr(c) and not chr(c).isspace()]
+    h = np.concatenate([decontaminate.gram_hashes(decontaminate.normalize(c * decontaminate.Q)[0]) for c in letters])
+    seen = index.seen[h >> np.uint64(64 - decontaminate.BITS)]
+    runs = [c * 200 for c, one in zip(letters, seen) if one][:5]
+    # Their hashes begin as those of items do, but none is one.
+    assert len(runs) == 5 and not any(np.isin(h, g.keys).any() for g in index.grams)
+    assert index.search(pd.Series(runs)) == [[]] * 5
+    copy = "before it. " + items[7][1] + " after it."
+    assert [[x["item_id"] for x in found] for found in index.search(pd.Series([runs[0], copy, runs[1]]))] == [[], [7], []]
+    # Grams of an item that is too short for short windows are known to long windows only.
+    short = decontaminate.Windows([(1, "one short item of fewer characters"), items[0]])
+    got = short.search(pd.Series(["it holds one short item of fewer characters."]))
+    assert [[x["item_id"] for x in found] for found in got] == [[1]]
+    docs, bench = documents(spark, [*runs, copy]), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r["doc_id"]: [x["item_id"] for x in r["leaks"]] for r in decontaminate.with_leaks(spark, docs, bench).collect()}
+    assert got == {k: [] for k in range(5)} | {5: [7]}
